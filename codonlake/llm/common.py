@@ -48,3 +48,16 @@ def near(docs: DataFrame, wanted: DataFrame, key: str, bits: int = 20) -> DataFr
     """
     cells = wanted.select(cell(F.col(key), bits).alias("_cell")).distinct()
     return docs.withColumn("_cell", cell(F.col(key), bits)).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+
+
+SMALL_ROWS = 100_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``ids``, a stored one-column table.
+
+    ``ids`` is counted first: up to SMALL_ROWS keys are broadcast and ``docs``
+    stays where it is; more meet it in a shuffle by key. A null key is never in.
+    """
+    ids = ids.select(key).dropna().distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, key, "left_anti").select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, slots, warc
+from . import chat, decontam, jaccard, packing, pii, slots, warc
 from .common import table
 
 
@@ -31,17 +31,38 @@ def op4_virtual_slots(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op5_jaccard_components(spark, sf_dir):
+    return jaccard.near_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_warc_revisits(spark, sf_dir):
     return warc.roundtrip(table(spark, sf_dir, "pages")).drop("url", "html")
 
 
+def op8_benchmark_containment(spark, sf_dir):
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packed_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op4_virtual_slots, op7_warc_revisits, op9_packed_sequences)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op4_virtual_slots, op5_jaccard_components, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences)}
 
 ORACLE_SQL = {
+    "op8_benchmark_containment": """
+        WITH words AS (
+            SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+            FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)),
+        shingles AS (
+            SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS h
+            FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM words)),
+        items AS (SELECT id AS item_id, h, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b')
+        SELECT s.id AS doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n AS containment
+        FROM shingles s JOIN items USING (h)
+        WHERE kind = 'd'
+        GROUP BY s.id, item_id, n
+        HAVING 100 * count(*) >= 80 * n""",
     "op7_warc_revisits": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
