@@ -156,7 +156,7 @@ def fill_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 def _ranked(pieces: DataFrame, rows: int) -> DataFrame:
     """``pieces`` with ``rank``, from 0 within each length."""
-    salts = max(1, -(-rows // RANK_ROWS))
+    salts = max(16, -(-rows // RANK_ROWS))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = base.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, packing, pii, slots, warc
+from . import chat, decontam, jaccard, packing, pii, slots, toxicity, warc
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op5_jaccard_components(spark, sf_dir):
     return jaccard.near_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_toxicity_chain(spark, sf_dir):
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.drop("text")
+
+
 def op7_warc_revisits(spark, sf_dir):
     return warc.roundtrip(table(spark, sf_dir, "pages")).drop("url", "html")
 
@@ -47,7 +52,7 @@ def op9_packed_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op4_virtual_slots, op5_jaccard_components, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op4_virtual_slots, op5_jaccard_components, op6_toxicity_chain, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences)}
 
 ORACLE_SQL = {
     "op8_benchmark_containment": """
