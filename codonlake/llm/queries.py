@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, packing, pii, slots, toxicity, warc
+from . import ann, chat, decontam, jaccard, packing, pii, slots, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op2_pii_spans(spark, sf_dir):
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_graph_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op4_virtual_slots(spark, sf_dir):
     placed, _ = slots.shard_documents(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -52,7 +57,7 @@ def op9_packed_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op4_virtual_slots, op5_jaccard_components, op6_toxicity_chain, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op3_graph_neighbours, op4_virtual_slots, op5_jaccard_components, op6_toxicity_chain, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences)}
 
 ORACLE_SQL = {
     "op8_benchmark_containment": """
