@@ -77,9 +77,9 @@ ORF_ORDER = "peptide_length_aa DESC, CASE start_codon WHEN 'ATG' THEN 0 WHEN 'GT
 def nms_sql(name: str, source: str, by: str, a: str, b: str, order: str) -> str:
     """Greedy suppression as a fold over lists, one for each island of overlaps."""
     return f"""{name}_new AS (
-    SELECT *, {a} AS lo, {b} AS hi, CASE WHEN max({b}) OVER (PARTITION BY {by} ORDER BY {a}, {b} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {a} THEN 0 ELSE 1 END AS fresh
+    SELECT *, {a} AS lo, {b} AS hi, CASE WHEN max({b}) OVER (PARTITION BY {by} ORDER BY {a}, {b}, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {a} THEN 0 ELSE 1 END AS fresh
     FROM {source}),
-{name}_isl AS (SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isl FROM {name}_new),
+{name}_isl AS (SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY lo, hi, {order} ROWS UNBOUNDED PRECEDING) AS isl FROM {name}_new),
 {name}_grp AS (SELECT list(h ORDER BY {order}) AS hs FROM (SELECT *, x AS h FROM {name}_isl x) GROUP BY {by}, isl),
 {name} AS (
     SELECT k.* FROM (
@@ -95,12 +95,12 @@ def promoters_sql(keys: str = "seq_id") -> str:
 b10 AS (
     SELECT *, {ham("substr(s, i + 7 + sp, 6)", promoters.BOX10)} AS mm10, substr(s, i + 7, sp) AS spacer
     FROM (SELECT *, unnest(range(16, 20)) AS sp FROM b35 WHERE mm35 <= 2)),
-sc AS (SELECT *, (length(spacer) - length(translate(spacer, 'AT', ''))) / CAST(sp AS DOUBLE) AS at FROM b10 WHERE mm10 <= 2),
+sc AS (SELECT *, (length(spacer) - length(translate(spacer, 'AT', ''))) / CAST(sp AS DOUBLE) AS atf FROM b10 WHERE mm10 <= 2),
 praw AS (
     SELECT {keys}, strand, {s35} AS box35_start, {e35} AS box35_end, substr(s, i + 1, 6) AS box35_seq, mm35 AS box35_mismatches,
            {s10} AS box10_start, {e10} AS box10_end, substr(s, i + 7 + sp, 6) AS box10_seq, mm10 AS box10_mismatches,
-           sp AS spacing, spacer AS spacer_seq, floor(at * 1000 + 0.5) / 1000 AS spacer_at_fraction,
-           floor((CAST(30 AS DOUBLE) - mm35 * CAST(5 AS DOUBLE) - mm10 * CAST(6 AS DOUBLE) - abs(sp - 17) * CAST(1.5 AS DOUBLE) + at * CAST(4 AS DOUBLE)) * 1000 + 0.5) / 1000 AS score,
+           sp AS spacing, spacer AS spacer_seq, floor(atf * 1000 + 0.5) / 1000 AS spacer_at_fraction,
+           floor((CAST(30 AS DOUBLE) - mm35 * CAST(5 AS DOUBLE) - mm10 * CAST(6 AS DOUBLE) - abs(sp - 17) * CAST(1.5 AS DOUBLE) + atf * CAST(4 AS DOUBLE)) * 1000 + 0.5) / 1000 AS score,
            i AS i35, i + 6 + sp AS i10
     FROM sc)"""
 

@@ -116,20 +116,36 @@ def wrapped(seq: Column, width: int = 80) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def protein(seq: Column) -> Column:
-    """Translation up to the first stop; unknown codons are X, a partial codon is left out."""
-    dna = F.translate(F.upper(seq), "U", "T")
-    codons = list(map("".join, product(BASES, repeat=3)))
-    table = F.create_map(*[F.lit(x) for pair in zip(codons, AMINO_ACIDS) for x in pair])
-    n = F.floor(F.length(dna) / 3).cast("int")
-    acids = F.transform(F.sequence(F.lit(1), n), lambda k: F.coalesce(F.try_element_at(table, F.substr(dna, 3 * k - 2, F.lit(3))), F.lit("X")))
-    return F.when(n > 0, F.split_part(F.array_join(acids, ""), F.lit("*"), F.lit(1))).otherwise("")
+    """Translation up to the first stop; unknown codons are X, a partial codon is left out.
+
+    A codon is a number in base 5, N and other letters being 4; its amino acid
+    is a letter of one string.
+    """
+    table = "".join(AMINO_ACIDS[16 * a + 4 * b + c] if max(a, b, c) < 4 else "X" for a, b, c in product(range(5), repeat=3))
+
+    def acids(digits):
+        n = F.floor(F.length(digits) / 3).cast("int")
+        number = lambda k: F.conv(F.substr(digits, 3 * k - 2, F.lit(3)), 5, 10).cast("int")
+        letters = F.transform(F.sequence(F.lit(1), n), lambda k: F.substr(F.lit(table), number(k) + 1, F.lit(1)))
+        return F.when(n > 0, F.split_part(F.array_join(letters, ""), F.lit("*"), F.lit(1))).otherwise("")
+
+    bases = F.regexp_replace(F.translate(F.upper(seq), "U", "T"), f"[^{BASES}]", "4")
+    return _bound(F.translate(bases, BASES, "0123"), acids)
 
 
 def kmers(text: Column, k: int = 3) -> Column:
     """Different words of length k; none if the text is shorter."""
-    words = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(text, i, F.lit(k)))
-    return F.when(F.length(text) >= k, F.array_distinct(words)).otherwise(F.array().cast("array<string>"))
+
+    def words(t):
+        return F.when(F.length(t) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substr(t, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+
+    return _bound(text, words)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -16,7 +16,7 @@ def keep_best(hits: DataFrame, within: list[str], start: str, end: str, order: l
 
     Intervals are inclusive; ``order`` must be total within a group of ``within``.
     """
-    by = W.partitionBy(*within).orderBy(start, end)
+    by = W.partitionBy(*within).orderBy(start, end, *order)
     reach = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
     rows = hits.withColumn("_new", F.when(reach >= F.col(start), 0).otherwise(1))
     rows = rows.withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_new")

@@ -23,15 +23,20 @@ def sd_sites(sequences: DataFrame, max_mismatches: int = 2, keys=KEYS) -> DataFr
     rows = positions(sequences, back, 2, keys).withColumn("codon", look(F.col("at"), 0, 3)).filter(F.col("codon").isin(*dna.START_CODONS)).filter("n >= 13")
     words = dna.neighbourhood(CONSENSUS, max_mismatches)
 
-    def candidate(d: int):
-        window = look(F.col("at"), -d - 6, 6)
-        mismatches = dna.mismatches_with(window, CONSENSUS)
-        bonus = F.when(F.col("codon") == "ATG", 5.0).when(F.col("codon") == "GTG", 3.0).otherwise(2.0)
-        score = 20.0 - mismatches * 4.0 + max(0.0, 10.0 - abs(d - BEST_DISTANCE) * 2.0) + bonus
-        site = F.struct((-score).alias("k"), mismatches.cast("long").alias("mm"), F.lit(abs(d - BEST_DISTANCE)).alias("off"), (F.col("i") - d - 6).alias("site"), F.lit(d).cast("long").alias("d"), window.alias("window"))
-        return F.when(window.isin(words), site)
-
-    rows = rows.withColumn("best", F.array_min(F.array(*map(candidate, DISTANCES)))).filter("best IS NOT NULL")
+    def candidate(d):
+        window = F.substr(F.col("t"), (F.col("at") - d - 6).cast("int"), F.lit(6)).cast("string")
+        off = F.abs(d - BEST_DISTANCE)
+
+        def rated(w):
+            mismatches = F.lit(6) - sum(F.when(F.substring(w, k + 1, 1) == base, 1).otherwise(0) for k, base in enumerate(CONSENSUS))
+            bonus = F.when(F.col("codon") == "ATG", 5.0).when(F.col("codon") == "GTG", 3.0).otherwise(2.0)
+            score = 20.0 - mismatches * 4.0 + F.greatest(F.lit(0.0), 10.0 - off * 2.0) + bonus
+            return F.when(w.isin(words), F.struct((-score).alias("k"), mismatches.cast("long").alias("mm"), off.alias("off"), (F.col("i") - d - 6).alias("site"), d.alias("d"), w.alias("window")))
+
+        return F.element_at(F.transform(F.array(window), rated), 1)
+
+    distances = F.array(*[F.lit(d).cast("long") for d in DISTANCES])
+    rows = rows.withColumn("best", F.array_min(F.filter(F.transform(distances, candidate), lambda c: c.isNotNull()))).filter("best IS NOT NULL")
     site, strand, n = F.col("best.site"), F.col("strand"), F.col("n")
     return rows.select(
         *keys,
