@@ -61,3 +61,21 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """
     ids = ids.select(key).dropna().distinct()
     return docs.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, key, "left_anti").select(docs.columns)
+
+
+class WordMemory(dict):
+    """What an operator remembers of words in a Python worker.
+
+    Workers live on between stages; only the operator that ran last keeps its
+    memory, and that is emptied when it has grown over its bound.
+    """
+
+    last: "WordMemory | None" = None
+
+    def ready(self, most: int) -> None:
+        if WordMemory.last is not self:
+            if WordMemory.last is not None:
+                WordMemory.last.clear()
+            WordMemory.last = self
+        if len(self) > most:
+            self.clear()

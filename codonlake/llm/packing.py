@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import WordMemory, cut
 
 CAPACITY = 4096
 END_ID = 1
@@ -52,14 +52,13 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.of, self.known = path, Tokenizer.from_file(path), {}
+        self.path, self.of, self.known = path, Tokenizer.from_file(path), WordMemory()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode().split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
         known = self.known
+        known.ready(CACHED_WORDS)
         new = list(set().union(*split).difference(known))
         for at in range(0, len(new), 20_000):
             words = new[at : at + 20_000]
