@@ -420,9 +420,9 @@ def window_sd_sites(spark, sf_dir):
            FROM (SELECT *, unnest(range(length(sequence) // 3)) AS k FROM ranked WHERE rank <= 500), (SELECT MAP {{{CODE}}} AS m) GROUP BY ALL),
     pr AS (SELECT seq_id, rank, p, list_distinct(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i, 3))) AS w
            FROM (SELECT seq_id, rank, split_part(p, '*', 1) AS p FROM aa) WHERE p <> ''),
-    both AS (SELECT a.seq_id, a.rank AS i, b.rank AS j, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS x, len(b.w) AS y
+    met AS (SELECT a.seq_id, a.rank AS i, b.rank AS j, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS x, len(b.w) AS y
              FROM pr a JOIN pr b ON a.seq_id = b.seq_id AND a.rank < b.rank AND least(length(a.p), length(b.p)) / greatest(length(a.p), length(b.p)) >= 0.8)
-    SELECT seq_id, i, j, c / CAST(x + y - c AS DOUBLE) AS jaccard FROM both WHERE c > 0 AND c / CAST(x + y - c AS DOUBLE) >= 0.5""")
+    SELECT seq_id, i, j, c / CAST(x + y - c AS DOUBLE) AS jaccard FROM met WHERE c > 0 AND c / CAST(x + y - c AS DOUBLE) >= 0.5""")
 def kmer_jaccard_pairs(spark, sf_dir):
     return similarity.kmer_pairs(similarity.proteins(analysis.Analysis(sequences(spark, sf_dir)).ranked_coding_orfs()))
 
