@@ -62,6 +62,19 @@ def test_jaccard_regions_lose_no_link(spark, texts, percent, monkeypatch):
     assert got == brute_components(texts, 4, percent)
 
 
+def test_jaccard_links_the_smallest_sets(spark):
+    rng = random.Random(21)
+    short = []
+    for n in (7, 8, 9, 12):
+        a = text(rng, n).split()
+        short += [" ".join(a), " ".join([*a, "added"]), " ".join(["added", *a])]
+    for n, k in ((4, 5), (8, 10)):  # linked at 80 %: some region holds both
+        a, b = (np.arange(m, dtype=np.uint64) * jaccard.MULT for m in (n, k))
+        assert np.intersect1d(jaccard.signatures(a, jaccard.Rings(80)), jaccard.signatures(b, jaccard.Rings(80))).size
+    got = sorted(map(tuple, jaccard.near_components(docs_of(spark, short), 5, 80).collect()))
+    assert got == brute_components(short, 5, 80) and got[3][2] == got[4][2] == got[5][2] == 3
+
+
 def test_jaccard_keeps_one(spark, texts):
     docs = docs_of(spark, texts)
     docs = docs.unionByName(docs.filter("doc_id = 0"))
