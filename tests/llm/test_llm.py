@@ -75,6 +75,18 @@ def test_jaccard_links_the_smallest_sets(spark):
     assert got == brute_components(short, 5, 80) and got[3][2] == got[4][2] == got[5][2] == 3
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    rng = random.Random(22)
+    base, lone = text(rng, 100).split(), text(rng, 100)
+    star = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in range(10, 90, 8)]  # linked with the base only
+    rows = [(None, " ".join(base)), *enumerate(star), (None, lone), (None, lone + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.near_components(df, 4, 85).collect()]
+    want = [(0 if n <= len(star) else None) for n in range(len(rows))]
+    assert [c for *_, c in brute_components([t for _, t in rows], 4, 85)] == [0] * (len(star) + 1) + [len(star) + 1] * 2
+    assert sorted(map(str, got)) == sorted(str((i, n, c)) for (i, _), (_, n, _), c in zip(rows, brute_components([t for _, t in rows], 4, 85), want))
+
+
 def test_jaccard_keeps_one(spark, texts):
     docs = docs_of(spark, texts)
     docs = docs.unionByName(docs.filter("doc_id = 0"))
