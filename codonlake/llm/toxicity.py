@@ -42,6 +42,8 @@ THRESHOLD = 0.5
 CACHED_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+_NOT_CAPS = bytes(b for b in range(128) if not chr(b).isupper())
 
 
 class _WordIds(WordMemory):
@@ -58,11 +60,17 @@ class _WordIds(WordMemory):
 _IDS = _WordIds()
 
 
+def capitals(text: str) -> int:
+    """The number of upper-case characters of the whole text, of any script."""
+    plain = len(text.encode("ascii", "ignore").translate(None, _NOT_CAPS))
+    return plain if text.isascii() else plain + sum(map(str.isupper, "".join(_NOT_ASCII.findall(text))))
+
+
 def features(text: str) -> np.ndarray:
     """Sorted different feature ids of a text."""
     _IDS.ready(CACHED_WORDS)
     words = _WORD.findall(text.lower())
-    marks = [w for share, w in ((sum(map(str.isupper, text[:4000])), "caps"), (len(re.findall(r"[^\w\s]", text)), "marks")) if text for w in [f"\0{w}{min(9, 20 * share // len(text))}"]]
+    marks = [w for share, w in ((capitals(text), "caps"), (len(re.findall(r"[^\w\s]", text)), "marks")) if text for w in [f"\0{w}{min(9, 20 * share // len(text))}"]]
     shape = [*marks, f"\0repeats{10 * len(set(words)) // max(1, len(words))}", f"\0size{len(words).bit_length()}"]
     return np.unique(np.fromiter(chain.from_iterable(map(_IDS.__getitem__, {*words, *shape})), np.int64))
 

@@ -197,6 +197,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_shape_is_of_the_whole_text():
+    rng = random.Random(23)
+    for n in (0, 1, 50, 4000, 9000):
+        t = "".join(rng.choices("aZ Éßж Ж9_.ΣǅΩ", k=n))
+        assert toxicity.capitals(t) == sum(map(str.isupper, t))
+    late, early = "a" * 20_000 + "B" * 20_000, "B" * 20_000 + "a" * 20_000
+    bin9, bin2 = (toxicity._IDS[f"\0caps{k}"][0] for k in (9, 2))
+    for t in (late, early, "B" * 40_000, "É" * 40_000):
+        assert bin9 in toxicity.features(t) and bin2 not in toxicity.features(t)
+
+
 def test_warc(spark):
     long = "<p>é" + "x" * 1200
     rows = [(1, "http://a b/\r\nX: y", long), (2, None, long), (7, "u", long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "a\r\n\r\nWARC/1.1\r\n\r\n" + "y" * 990), (None, "u", long), (3, "u", "short")]
