@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,14 +66,21 @@ def near(docs: DataFrame, wanted: DataFrame, key: str, bits: int = 20) -> DataFr
 SMALL_ROWS = 100_000
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key is not in ``ids``, a stored one-column table.
+def row_key() -> Column:
+    """128-bit digest of a row's doc_id and text; tells rows apart where ids repeat or are null."""
+    parts = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
-    ``ids`` is counted first: up to SMALL_ROWS keys are broadcast and ``docs``
-    stays where it is; more meet it in a shuffle by key. A null key is never in.
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose row_key is not in ``rows``, a stored table with the column ``row`` alone.
+
+    ``rows`` is counted first: up to SMALL_ROWS keys are broadcast and ``docs``
+    stays where it is; more meet it in a shuffle by key.
     """
-    ids = ids.select(key).dropna().distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, key, "left_anti").select(docs.columns)
+    keys = rows.select(F.col("row").alias("_row"))
+    keys = F.broadcast(keys) if rows.count() <= SMALL_ROWS else keys
+    return docs.join(keys, row_key() == keys["_row"], "left_anti")
 
 
 class WordMemory(dict):

@@ -10,8 +10,9 @@ with their hashes below the largest sketched one; hits are candidates, which an
 exact count of shared shingles confirms. Nothing is missed at any length.
 
 Cases: null texts and items under five words have no shingles and match
-nothing; rows of equal id count as one document or item; no items or documents
-give no rows; other columns are ignored.
+nothing; rows of equal id count as one document or item, but ``drop_contaminated``
+judges each row alone; no items or documents give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, near, without
+from .common import cut, near, row_key, without
 
 WORDS = 5
 PERCENT = 80
@@ -47,26 +48,31 @@ def _side(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared, containment)."""
+def _contained(texts: DataFrame, key: str, items: DataFrame, percent: int) -> DataFrame:
+    """(key, item_id, n, n_shared); the rows of ``texts`` (key, text) of equal key count as one."""
     items = cut(item_shingles(items, percent), "item-shingles")
     n, top = items.agg(F.count("*"), F.max(F.when(F.col("sketched"), F.col("h")))).first()
     top = top if top is not None else -(1 << 63)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
 
-    probes = texts.select("doc_id", F.explode(F.filter(shingle_hashes(F.col("text")), lambda h: h <= F.lit(top))).alias("h"))
+    probes = texts.select(key, F.explode(F.filter(shingle_hashes(F.col("text")), lambda h: h <= F.lit(top))).alias("h"))
     sketch = items.filter("sketched").select("h", "item_id")
-    found = cut(probes.join(_side(sketch, n), "h").select("doc_id", "item_id").distinct(), "item-candidates")
+    found = cut(probes.join(_side(sketch, n), "h").select(key, "item_id").distinct(), "item-candidates")
 
-    again = near(texts, found, "doc_id").select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
+    again = near(texts, found, key).select(key, F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
     shared = again.join(_side(items.select("h", "item_id", "n", "needed"), n), "h")
-    shared = shared.groupBy("doc_id", "item_id", "n", "needed").agg(F.countDistinct("h").alias("n_shared")).filter("n_shared >= needed")
-    pairs = found.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"))
-    held = shared.join(pairs, shared["doc_id"].eqNullSafe(pairs["_doc"]) & (shared["item_id"] == pairs["_item"]), "left_semi")
+    shared = shared.groupBy(key, "item_id", "n", "needed").agg(F.countDistinct("h").alias("n_shared")).filter("n_shared >= needed")
+    pairs = found.select(F.col(key).alias("_key"), F.col("item_id").alias("_item"))
+    held = shared.join(pairs, shared[key].eqNullSafe(pairs["_key"]) & (shared["item_id"] == pairs["_item"]), "left_semi")
+    return held.select(key, "item_id", "n", "n_shared")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared, containment)."""
+    held = _contained(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", items, percent)
     return held.select("doc_id", "item_id", F.col("n").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those that contain a benchmark item."""
-    hits = cut(contained_items(docs, items, percent).select("doc_id").distinct(), "contaminated")
-    return without(docs, hits, "doc_id")
+    """``docs`` without the rows whose own text contains a benchmark item, whatever their ids."""
+    hits = _contained(docs.select(row_key().alias("row"), "text"), "row", items, percent)
+    return without(docs, cut(hits.select("row").distinct(), "contaminated"))

@@ -96,6 +96,25 @@ def test_jaccard_keeps_one(spark, texts):
     assert jaccard.near_components(docs.limit(0)).count() == 0
 
 
+def test_filters_decide_by_row(spark):
+    rng = random.Random(24)
+    a, b, c, d, e = (text(rng, 60) for _ in range(5))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (3, d), (None, e), (None, e), (None, e + " end"), (None, d), (None, text(rng, 60)), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df, 5, 80).collect()]
+    one = [x for x in got if x[0] is None and x[1] in (e, e + " end")]
+    assert len(one) == 1
+    want = [(1, a), (1, b), (3, c), (3, d), one[0], *[(None, t) for _, t in rows[10:]]]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+    item = text(rng, 40)
+    parts = [" ".join(item.split()[:22]), " ".join(item.split()[18:])]
+    rows = [(1, parts[0]), (1, parts[1]), (2, item), (2, a), (None, item), (None, item), (None, parts[0]), (None, parts[1]), (None, b), (4, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r["row"] for r in decontam.drop_contaminated(df, bench).collect()) == [0, 1, 3, 6, 7, 8, 9]
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     odd = ["</turn>", "<turn>", "\\", "\\</turn> \\\\", "\n", "", None, "é" * 50]
