@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from copy import copy
 from functools import cache
 
 import pyarrow as pa
@@ -94,17 +95,30 @@ INVISIBLE = "­​‌‍‎‏⁠﻿"
 _ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～﹐-﹫٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
 _WORD = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ ,-]+)?(?:{_WORD}|[0-9]+)(?:[ ,()-]*(?:[ ](?:dot|point)[ ]+)?(?:(?<![^\W\d_])(?:{_WORD})(?![^\W\d_])|[0-9]+))+(?![^\W\d_])")
-_SPELLED_HINT = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD})(?:[ ,()-]+(?:(?:dot|point)[ ]+)?(?:{_WORD})(?![^\W_])){{2}}")
-_SPELLED_PART = re.compile(rf"(?i)plus[ ,-]+|[ ]*(?:dot|point)[ ]+|{_WORD}|[ ,-]+|[0-9]|[()]")
-_BRACKETED = re.compile(r"(?i)[ ]*[(\[{<][ ]*(at|dot)[ ]*[)\]}>][ ]*")
-# Endings without which bare "at ... dot ..." is taken for ordinary prose (fixed values).
-SUFFIXES = "com org net edu gov info io co uk de fr es eu us ca au ch at it nl se jp cn br in"
-_SAID = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+([ ]+at[ ]+)[A-Za-z0-9-]+(?:[ ]+dot[ ]+[A-Za-z0-9-]+)*"
-    rf"[ ]+dot[ ]+(?:{SUFFIXES.replace(' ', '|')})(?![A-Za-z0-9-])"
+_NUMBER = re.compile(rf"(?i)[0-9]+|(?<![^\W\d_])(?:plus|{_WORD})(?![^\W\d_])")
+_NUMBER_HINTS = {*DIGIT_WORDS, "dot", "point", "plus"}
+_LETTERS = re.compile("[a-z]+")
+_SPELLED_DOT = re.compile(r"(?i)[ ]*(?:dot|point)[ ]*|\.")
+_SPELLED_GAP = re.compile(r"[ ,()-]*")
+LEAST_DIGITS = 4  # those of an ip
+_BRACKETED = re.compile(r"(?i)(?<![ ])[ ]*[(\[{<][ ]*(at|dot)[ ]*[)\]}>][ ]*")
+# Endings without which bare "at ... dot ..." is taken for ordinary prose: all country codes, and the older and common generic ones.
+SUFFIXES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+    "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "com org net edu gov mil int arpa info biz name pro aero asia cat coop jobs mobi museum post tel travel "
+    "academy agency app art bank berlin blog careers center chat city cloud club company consulting data dev digital email energy engineering events example expert finance fun fund global group health "
+    "help host hosting house icu inc international invalid law legal life link live llc local london ltd mail market marketing media money network news ngo nyc one online page paris partners photo "
+    "press school science services shop site social software solutions space store studio support systems tech technology test today tools top university ventures video vip website wiki work works world xyz zone"
 )
-_SAID_PART = re.compile(r"(?i)[ ]+(at|dot)[ ]+")
+_BRACKET_HINT = re.compile(r"[(\[{<][ ]*(?:at|dot)[ ]*[)\]}>]")
+_AT_HINT = re.compile(r" at +[a-z0-9-]+\.[a-z0-9]")
+_SUFFIXES = frozenset(SUFFIXES.split())
+_JOINT = re.compile(r"(?i)(?<![ ])[ ]*(@)[ ]*|(?<![ ])[ ]+(at|dot)(?=[ ])")
+_ATOM = re.compile(r"[ ]*([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)")
 
 
 @cache
@@ -143,40 +157,115 @@ class Rewritten:
     def fold(self) -> None:
         self.replace([(m.start(), m.end(), new) for m in _ODD.finditer(self.text) if (new := _plain(m.group())) != m.group()])
 
-    def spelled(self) -> None:
+    def said(self) -> None:
+        """Signs for every at and dot that are bracketed, or join the parts of an address."""
+        sign = {"at": "@", "dot": "."}
+        if _BRACKET_HINT.search(self.text.lower()):
+            self.replace([(m.start(), m.end(), sign[m[1].lower()]) for m in _BRACKETED.finditer(self.text)])
+        low = self.text.lower()
+        if not ("dot" in low or "@ " in low or " @" in low or _AT_HINT.search(low)):
+            return  # no joint to rewrite
+        text, last = self.text, 0
+        joints = [(m.start(), m.end(), (m[1] or m[2]).lower()) for m in _JOINT.finditer(text)]
         parts = []
-        for run in _SPELLED.finditer(self.text):
-            if _SPELLED_HINT.search(run.group()):
-                for m in _SPELLED_PART.finditer(self.text, run.start(), run.end()):
-                    word = m.group().strip(" ,-").lower()
-                    new = {"plus": "+", "dot": ".", "point": ".", "": "", "(": "", ")": ""}.get(word, DIGIT_WORDS.get(word, word))
-                    parts.append((m.start(), m.end(), new))
+        for k, (at, after, word) in enumerate(joints):
+            if word == "dot":
+                continue
+            first, i = at, k  # the local part, leftwards over dots
+            before = []
+            while True:
+                stop = max(last, joints[i - 1][1] if i else 0)
+                while first > stop and _LOCAL.match(text, first - 1):
+                    first -= 1
+                back = i and joints[i - 1][2] == "dot" and first < joints[i][0] and joints[i - 1][0] > last and not text[joints[i - 1][1] : first].strip(" ")
+                if not (back and _LOCAL.match(text, joints[i - 1][0] - 1)):
+                    break
+                i -= 1
+                before.append((joints[i][0], first, "."))
+                first = joints[i][0]
+            if first == at or not (m := _ATOM.match(text, after)):
+                continue
+            bare = word == "at" or after - at > 1
+            head, ends, behind = m.start(1), [m.end()], []  # the domain, rightwards over dots
+            inner = "." in m[1]
+            known = [inner and m[1].rpartition(".")[2].lower() in _SUFFIXES]
+            for start, end, kind in map(joints.__getitem__, range(k + 1, len(joints))):
+                if kind != "dot" or start != ends[-1] or not (m := _ATOM.match(text, end)):
+                    break
+                behind.append((start, m.start(1), "."))
+                ends.append(m.end())
+                known.append(m[1].rpartition(".")[2].lower() in _SUFFIXES)
+            disguised = any(self.ends[j] - self.starts[j] > 1 for j in range(first, ends[0]) if text[j] in "@.")
+            if any(known):
+                n = max(j for j, x in enumerate(known) if x)
+            elif (disguised or not bare) and (inner or behind):
+                n = 0 if inner else len(behind)
+            else:
+                continue
+            parts += [*before[::-1], *([(at, head, "@")] if bare else []), *behind[:n]]
+            last = ends[n]
         self.replace(parts)
 
-    def said(self) -> None:
-        sign = {"at": "@", "dot": "."}
-        self.replace([(m.start(), m.end(), sign[m[1].lower()]) for m in _BRACKETED.finditer(self.text)])
-        self.replace([(m.start(), m.end(), sign[m[1].lower()]) for run in _SAID.finditer(self.text) for m in _SAID_PART.finditer(self.text, run.start(1), run.end())])
+    def spelled(self, apart: bool) -> None:
+        """Digits for every run of numbers in which some are words, or joined by spelled dots.
+
+        A space stays between figures, and with ``apart`` between words and figures.
+        """
+        if _NUMBER_HINTS.isdisjoint(_LETTERS.findall(self.text.lower())):
+            return
+        text, parts, run = self.text, [], []
+
+        def close():
+            if sum(len(w) if w.isdigit() else w.lower() in DIGIT_WORDS for w, *_ in run) < LEAST_DIGITS:
+                return
+            if all(w.isdigit() and (dot in (None, ".")) for w, _, _, dot in run):
+                return
+            for k, (w, a, b, dot) in enumerate(run):
+                if k:
+                    end = run[k - 1][2]
+                    figures = w.isdigit() + run[k - 1][0].isdigit()
+                    gap = "." if dot else " " if end < a and run[k - 1][0].lower() != "plus" and (figures == 2 or figures == 1 and apart) else ""
+                    if text[end:a] != gap:
+                        parts.append((end, a, gap))
+                if not w.isdigit():
+                    parts.append((a, b, "+" if w.lower() == "plus" else DIGIT_WORDS[w.lower()]))
+
+        for m in _NUMBER.finditer(text):
+            dot = None
+            if run:
+                gap = (run[-1][2], m.start())
+                if run[-1][0].lower() != "plus" and _SPELLED_DOT.fullmatch(text, *gap):
+                    dot = text[slice(*gap)].strip().lower()
+                elif m[0].lower() == "plus" or not _SPELLED_GAP.fullmatch(text, *gap):
+                    close()
+                    run = []
+            run.append((m[0], m.start(), m.end(), dot))
+        if run:
+            close()
+        self.replace(parts)
 
 
 def added_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of disguised identifiers; each is apart from, or larger than, any plain one of its kind."""
-    low = text.lower()
-    odd = not text.isascii() and _ODD.search(text)
-    if not (odd or "dot" in low or _BRACKETED.search(low) or _SPELLED_HINT.search(low)):
-        return []
-    new = Rewritten(text)
-    new.fold()
-    new.said()
-    new.spelled()
-    if new.text == text:
-        return []
+    said = Rewritten(text)
+    if not text.isascii():
+        said.fold()
+    said.said()
     found = []
-    for a, kind, b in plain_spans(new.text):
-        start, end = new.starts[a], new.ends[b - 1]
-        if text[start:end] != new.text[a:b] and not any(k == kind and (s < end and start < e) and not (start <= s and e <= end and end - start > e - s) for s, k, e in plain):
-            found.append((start, kind, end))
-    return found
+    for apart in (True, False):
+        new = copy(said)
+        new.spelled(apart)
+        if new.text == (text if apart else said.text):  # nothing new to read
+            continue
+        for a, kind, b in plain_spans(new.text):
+            start, end = new.starts[a], new.ends[b - 1]
+            if text[start:end] != new.text[a:b] and not any(k == kind and (s < end and start < e) and not (start <= s and e <= end and end - start > e - s) for s, k, e in plain):
+                found.append((start, kind, end))
+    out = []  # of the two readings the larger span
+    for start, kind, end in sorted(set(found), key=lambda f: (f[0] - f[2], f)):
+        if not any(k == kind and s < end and start < e for s, k, e in out):
+            out.append((start, kind, end))
+    return sorted(out)
 
 
 def joined(spans) -> str:

@@ -158,6 +158,39 @@ def test_pii(spark):
     assert red[0] == "write to [EMAIL] now" and red[len(cases)] is None
 
 
+def test_pii_mixed_disguises():
+    cases = {
+        "192 dot 168 dot 1 dot 20": "ip:0:24",
+        "192 dot 168 dot one dot one": "ip:0:27",
+        "port 80, 10 dot 0 dot 0 dot 1": "ip:9:29",
+        "1 nine two dot one six eight dot one point 1": "ip:0:44",
+        "ten one.two.three.4": "ip:4:19",
+        "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one": "card:0:47",
+        "+1 five 5 five 1 two 3 four 5 six 7": "phone:0:35",
+        "ann (at) mail dot org": "email:0:21",
+        "ann@mail dot org": "email:0:16",
+        "ann at mail [dot] org": "email:0:21",
+        "ann at mail.org": "email:0:15",
+        "ann at mail dot ru": "email:0:18",
+        "ann at mail dot app.": "email:0:19",
+        "ann (at) mail dot internal": "email:0:26",
+        "ann at mail [dot] internal": "email:0:26",
+        "jane dot doe at example dot com": "email:0:31",
+        "jane (dot) doe at mail dot example dot co dot uk now": "email:0:48",
+        "jane dot doe@example.com": "email:0:24,email:9:24",
+        "look at the dot on page one, two or three": "",
+        "we sat at the table. one two three": "",
+        "dates 12, 13, 14, 15, 16, 17, 18": "",
+    }
+    for t, want in cases.items():
+        plain = pii.plain_spans(t)
+        assert pii.joined(plain + pii.added_spans(t, plain)) == want, t
+    assert pii.redacted("jane dot doe at example dot com") == "[EMAIL]"
+    n = 30_000
+    for t in (" " * n, "a@" * n, "a at " * n, "a dot " * n, "a at b dot " * n, "1" * n + "a one", "one dot " * n, "one " * n, "1 dot " * n + "x"):
+        pii.added_spans(t, [])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 16)).astype(np.float32) * rng.uniform(0.5, 2, (4000, 1)).astype(np.float32)
