@@ -6,8 +6,8 @@ change of the shard count edits that table: every shard keeps its largest slots
 up to the mean load, and what it gives up goes to the lightest shard.
 
 Cases: a null text has no bytes (size 1); a null or repeated doc_id is hashed
-with the text's checksum; equal rows share a slot and are counted before the
-shuffle by slot, so a row repeated often stays one row there; an empty table
+with the text's checksum; equal rows are counted first and dealt over as many
+slots as there are copies, so a row repeated often can be split; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -20,17 +20,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 N_SLOTS = 4096
+BLOCK = 4096
 
 
 def hash_records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """(vslot, doc_id, size, text_crc32, n, before): one row per different record.
+    """(vslot, doc_id, size, text_crc32, n, before): one row per different record and slot.
 
-    ``n`` counts equal records, ``before`` the records of the slot ahead of it.
+    Copy k of a record goes k slots on from its hash, round and round; ``n``
+    counts its copies in the slot, ``before`` the records of the slot ahead.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     thin = docs.select(F.col("doc_id").cast("long"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    thin = thin.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
-    rows = thin.groupBy("vslot", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = thin.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("k", F.explode(F.expr(f"sequence(0L, least(copies, {n_slots}) - 1)")))
+    rows = rows.withColumn("vslot", F.pmod(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)) + F.col("k"), F.lit(n_slots)).cast("int"))
+    rows = rows.select("vslot", "doc_id", "size", "text_crc32", F.expr(f"(copies - k + {n_slots - 1}) div {n_slots}").alias("n"))
     ahead = W.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
 
@@ -89,6 +93,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS)
     ahead = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
     starts = current.select("vslot", "shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("start"))
     placed = records.join(F.broadcast(starts), "vslot")  # n_slots rows
-    placed = placed.withColumn("k", F.explode(F.expr("sequence(0L, n - 1)")))
+    placed = placed.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
+    placed = placed.withColumn("k", F.explode(F.expr(f"sequence(block * {BLOCK}, least(n, (block + 1) * {BLOCK}) - 1)")))
     placed = placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("before") + F.col("k")).alias("slot"))
     return placed, base.unionByName(current)

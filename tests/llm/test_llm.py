@@ -229,6 +229,18 @@ def test_slots(spark, texts):
     assert slots.shard_documents(df.limit(0), 3)[0].count() == 0
 
 
+def test_slots_split_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(slots, "BLOCK", 7)
+    rows = [(None, "x" * 99)] * 3000 + [(i, "y" * 99) for i in range(3000)]
+    placed, _ = slots.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, 64)
+    got = [(r["shard"], r["slot"], r["size"], r["doc_id"]) for r in placed.collect()]
+    assert sorted(r[3] for r in got if r[3] is not None) == list(range(3000)) and len(got) == 6000
+    load = [sum(size for s, _, size, _ in got if s == k) for k in range(8)]
+    assert max(load) - min(load) < 0.2 * sum(load) / 8
+    for k in range(8):
+        assert sorted(slot for s, slot, *_ in got if s == k) == list(range(load[k] // 100))
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     rows = []
