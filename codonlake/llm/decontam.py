@@ -2,12 +2,14 @@
 
 Words are runs of letters and digits in lower case; a shingle is five words in
 a row, hashed. An item is contained in a document when at least 80 % of its
-different shingles are among the document's. Items are partitioned by size, and
-each size class keeps a bottom-k MinHash sketch just long enough: an item of q
+different shingles are among the document's. Every item keeps a bottom-k MinHash
+sketch just long enough for its size: an item of q
 shingles that needs m of them can miss q - m, so that of its q - m + 1 smallest
 hashes at least one is in every document that contains it. Documents are probed
 with their hashes below the largest sketched one; hits are candidates, which an
-exact count of shared shingles confirms. Nothing is missed at any length.
+exact count of shared shingles confirms. Nothing is missed at any length. Items
+are not partitioned by size: each probe is one hash of a document whatever the
+size, and probing class by class would repeat it for each class (README).
 
 Cases: null texts and items under five words have no shingles and match
 nothing; rows of equal id count as one document or item, but ``drop_contaminated``
@@ -36,11 +38,10 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 
 
 def item_shingles(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(item_id, h, n, needed, size_class, sketched): the different shingles of every item."""
+    """(item_id, h, n, needed, sketched): the different shingles of every item."""
     rows = items.select(F.col("item_id").cast("long"), F.explode(shingle_hashes(F.col("text"))).alias("h")).distinct()
     by_item = W.partitionBy("item_id")
     rows = rows.withColumn("n", F.count("*").over(by_item)).withColumn("needed", F.expr(f"({percent} * n + 99) div 100"))
-    rows = rows.withColumn("size_class", F.floor(F.log2("n")).cast("int"))
     return rows.withColumn("sketched", F.row_number().over(by_item.orderBy("h")) <= F.col("n") - F.col("needed") + 1)
 
 
