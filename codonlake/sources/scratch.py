@@ -17,6 +17,8 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/codonlake/{name}-{uuid.uuid4().hex}"

@@ -20,6 +20,57 @@ def test_fasta(spark, tmp_path):
         fasta.as_sequences(bad).collect()
 
 
+def test_fasta_records_begin_at_line_starts_only(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">s1 length>500 a\nACGT>\n\nACGT\r\n>s2\tx\r\nTT\n>\nGG\n>s4")
+    (tmp_path / "b.fna").write_text("; a note\nACGT\n>s5\nCC\n")
+    (tmp_path / "c.txt").write_text("no record here\n")
+    got = [(r["file"], r["header"], r["sequence"]) for r in fasta.in_order(fasta.read_fasta(spark, str(tmp_path))).collect()]
+    assert got == [("a.fa", "s1", "ACGT>ACGT"), ("a.fa", "s2", "TT"), ("a.fa", "", "GG"), ("a.fa", "s4", ""), ("b.fna", "s5", "CC")]
+    assert [r["path"].rpartition("/")[2] for r in fasta.without_records(spark, str(tmp_path)).collect()] == ["c.txt"]
+    with pytest.raises(ValueError, match="No FASTA record found in file: .*c.txt"):
+        fasta.require_records(spark, str(tmp_path))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.csv").write_text(">a\nA\n")
+    with pytest.raises(ValueError, match="No FASTA files"):
+        fasta.read_fasta(spark, str(tmp_path / "d"))
+    with pytest.raises(Exception, match="(?i)path.*not.*exist"):
+        fasta.read_fasta(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_fasta_of_many_splits(spark, tmp_path):
+    lines = [f">r{k} a>b >c\n" + "ACGT" * (k % 50) + "\n" + "GG\n" for k in range(3000)]
+    (tmp_path / "a.fa").write_text("".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = fasta.in_order(fasta.read_fasta(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["header"], r["sequence"]) for r in got] == [(f"r{k}", "ACGT" * (k % 50) + "GG") for k in range(3000)]
+
+
+def test_chunks_of_results_and_states(spark, tmp_path):
+    store = results.ResultStore(spark, str(tmp_path))
+    rows = spark.range(10).withColumnRenamed("id", "start")
+    for k in (0, 1):
+        store.replace("a/b=c", "sd", rows, kind="chunk", chunk_index=k)
+    store.replace("a/b=c", "sd", rows.limit(4), kind="chunk", chunk_index=1)
+    got = store.rows("a/b=c", "sd", "chunk").groupBy("chunk_index").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 10), (1, 4)]
+    store.replace("a/b=c", "sd", rows.limit(2), kind="chunk")
+    assert [tuple(r) for r in store.rows("a/b=c", "sd", "chunk").groupBy("chunk_index").count().collect()] == [(None, 2)]
+    run = store.create(500, "all", {"min_aa": "30"})
+    store.set_module_status(run, "promoters", "done")
+    store.append_error(run, "terminators", "one")
+    store.append_error(run, "terminators", "two")
+    store.set_summary(run, {"promoters": 3})
+    store.set_status(run, "failed")
+    store.set_status("unknown", "failed")
+    state = store.get(run)
+    assert (state["status"], state["modules"]["promoters"], state["modules"]["ranking"], state["summary"]) == ("failed", "done", "pending", {"promoters": 3})
+    assert [e["message"] for e in state["errors"]] == ["one", "two"] and state["sequence_length"] == 500
+    assert store.get("unknown") is None and store.analyses().count() == 1
+
+
 def test_requests(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"mode": "folder", "files": [{"sequence": "acgt"}, {"name": "n", "sequence": "TT"}]}))
     assert sorted(tuple(r) for r in fasta.read_requests(spark, str(tmp_path / "r.json")).collect()) == [("n", None, "TT"), ("unknown", None, "ACGT")]
@@ -34,8 +85,9 @@ def test_store_and_pages(spark, tmp_path):
     assert store.count("a", "promoters") == 25 and store.count("b", "promoters") == 3
     page = store.page("a", "promoters", limit=5, skip=2, sort_field="start", sort_direction="desc")
     assert [r["start"] for r in page.collect()] == [22, 21, 20, 19, 18]
-    store.record("a", "done", {"promoters": "done"}, {"min_aa": "30"}, {"promoters": 25})
-    assert store.analyses().first()["summary"] == {"promoters": 25}
+    store.replace("a", "promoters", rows.limit(0))
+    assert store.count("a", "promoters") == 0 and store.rows("a", "promoters").columns == store.rows("b", "promoters").columns
+    assert store.count("b", "promoters") == 3 and store.count("none", "promoters") == 0
     assert results.page_limit(0) == 20 and results.page_limit(999) == 200 and results.page_numbers(5, 20) == [2, 3, 4, 5, 6, 7, 8]
     with pytest.raises(ValueError):
         results.module_name("nothing")
@@ -44,8 +96,9 @@ def test_store_and_pages(spark, tmp_path):
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.fa").write_text(">s\nATG" + "GCA" * 40 + "TAA\n")
+    (folder / "a.fa").write_text(">s x>y\nATG" + "GCA" * 40 + "TAA\n>bad\nACGX\n")
     store = results.ResultStore(spark, str(tmp_path / "out"))
     q = store_features(fasta_stream(spark, str(folder)), lambda b: orfs.coding_orfs(b, 30), store, "coding_orfs", str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert store.rows("batch-0", "coding_orfs").first()["peptide_length_aa"] == 41
+    assert [(r["seq_id"], r["file"], r["reason"]) for r in store.rows("batch-0", "rejected", "rejected").collect()] == [("bad", "a.fa", "Invalid DNA characters found: X")]
