@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,6 +12,7 @@ from .operators import chunks, orfs, promoters, ranking, reports, shine_dalgarno
 from .plans import analysis
 from .plans.derived import SQL as SEQS
 from .plans.derived import sequences
+from .sources import fasta, scratch
 from .sources.results import page
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -171,20 +174,22 @@ BEST_SD = """bsd AS (
     SELECT o.*, d.mismatches AS sd_mm, d.distance_to_start AS sd_d, d.score AS sd_score FROM orf o LEFT JOIN (
         SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY seq_id, strand, linked_start_position ORDER BY score DESC, mismatches, abs(distance_to_start - 7), start) = 1) d
     ON o.seq_id = d.seq_id AND o.strand = d.strand AND o.start = d.linked_start_position)"""
-BEST_PROM = """bprom AS (
-    SELECT seq_id, strand, start, "end", box10_start, box35_start, p_score, p_d FROM (
-        SELECT o.seq_id, o.strand, o.start, o."end", p.box10_start, p.box35_start, p.score AS p_score,
-               CASE WHEN o.strand = '+' THEN o.start - p.box10_end ELSE p.box10_start - o."end" END AS p_d
-        FROM orf o JOIN prom p ON o.seq_id = p.seq_id AND o.strand = p.strand)
-    WHERE p_d BETWEEN 1 AND 300
-    QUALIFY row_number() OVER (PARTITION BY seq_id, strand, start, "end" ORDER BY p_d, p_score DESC, box10_start, box35_start) = 1)"""
-BEST_TERM = """bterm AS (
-    SELECT seq_id, strand, start, "end", stem_left_start, poly_t_start, t_score, t_d FROM (
-        SELECT o.seq_id, o.strand, o.start, o."end", t.stem_left_start, t.poly_t_start, t.score AS t_score,
-               CASE WHEN o.strand = '+' THEN t.stem_left_start - o."end" ELSE o.start - t.stem_right_end END AS t_d
-        FROM orf o JOIN term t ON o.seq_id = t.seq_id AND o.strand = t.strand)
-    WHERE t_d BETWEEN 1 AND 300
-    QUALIFY row_number() OVER (PARTITION BY seq_id, strand, start, "end" ORDER BY t_d, t_score DESC, stem_left_start, poly_t_start) = 1)"""
+
+
+def nearest_sql(name: str, hits: str, anchor: str, low: str, order: str, columns: str) -> str:
+    """The first hit in ``order`` whose anchor lies among the 300 places from ``low`` on: both meet in bins of 300 places."""
+    return f"""{name} AS (
+    SELECT seq_id, strand, start, "end", {columns} FROM (
+        SELECT o.seq_id, o.strand, o.start, o."end", o.low, h.* EXCLUDE (seq_id, strand),
+               CASE WHEN (o.strand = '+') = {"TRUE" if hits == "prom" else "FALSE"} THEN o.low + 300 - h.anchor ELSE h.anchor - o.low + 1 END AS d
+        FROM (SELECT *, unnest([low // 300, low // 300 + 1]) AS bin FROM (SELECT seq_id, strand, start, "end", {low} AS low FROM orf)) o
+        JOIN (SELECT *, {anchor} AS anchor, ({anchor}) // 300 AS bin FROM {hits}) h
+        ON o.seq_id = h.seq_id AND o.strand = h.strand AND o.bin = h.bin AND h.anchor BETWEEN o.low AND o.low + 299)
+    QUALIFY row_number() OVER (PARTITION BY seq_id, strand, start, "end" ORDER BY {order}) = 1)"""
+
+
+BEST_PROM = nearest_sql("bprom", "prom", "CASE WHEN strand = '+' THEN box10_end ELSE box10_start END", "CASE WHEN strand = '+' THEN start - 300 ELSE \"end\" + 1 END", "d, score DESC, box10_start, box35_start", "box10_start, box35_start, score AS p_score, d AS p_d")
+BEST_TERM = nearest_sql("bterm", "term", "CASE WHEN strand = '+' THEN stem_left_start ELSE stem_right_end END", "CASE WHEN strand = '+' THEN \"end\" + 1 ELSE start - 300 END", "d, score DESC, stem_left_start, poly_t_start", "stem_left_start, poly_t_start, score AS t_score, d AS t_d")
 FEATURES = f"{base()},\n{orfs_sql()},\n{promoters_sql()},\n{promoter_nms()},\n{sd_sql()},\n{terminators_sql()},\n{terminator_nms()}"
 RANKED = f"""{FEATURES},\n{BEST_SD},\n{BEST_PROM},\n{BEST_TERM},
 parts AS (
@@ -242,12 +247,29 @@ def codon_scan(spark, sf_dir):
     return orfs.codons(sequences(spark, sf_dir)).groupBy("seq_id", "strand", "frame", "codon").agg(F.count("*").alias("n"))
 
 
-@query(f"{base()} SELECT seq_id, strand, count(*) AS n, min(i) AS first, max(i) AS last FROM pos WHERE {ham('substr(s, i + 1, 6)', 'AGGAGG')} <= 1 GROUP BY seq_id, strand")
+MOTIF_AT = "SELECT seq_id, strand, i FROM pos WHERE i + 6 <= n AND hamming(substr(s, i + 1, 6), 'AGGAGG') <= 1"
+
+
+@query(f"{base()} SELECT seq_id, strand, count(*) AS n, min(i) AS first, max(i) AS last FROM ({MOTIF_AT}) GROUP BY seq_id, strand")
 def motif_scan(spark, sf_dir):
-    rows = strands.positions(sequences(spark, sf_dir), 0, 6).filter(strands.look(F.col("at"), 0, 6).isin(dna.neighbourhood("AGGAGG", 1)))
+    rows = strands.motif_hits(sequences(spark, sf_dir), "AGGAGG", 1)
     return rows.groupBy("seq_id", "strand").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"))
 
 
+@query(f"{base()} SELECT seq_id, strand, i FROM ({MOTIF_AT}) QUALIFY row_number() OVER (PARTITION BY seq_id, strand ORDER BY i) <= 3")
+def motif_positions(spark, sf_dir):
+    return strands.motif_hits(sequences(spark, sf_dir), "AGGAGG", 1, max_hits=3).select("seq_id", "strand", "i")
+
+
+@query(f"WITH {SEQS} SELECT 'doc' || seq_id AS header, CAST(length(seq) AS INTEGER) AS length, md5(seq) AS sequence_md5 FROM seqs")
+def fasta_records(spark, sf_dir):
+    """Documents as FASTA files, whose headers hold the sign that begins a record, written and read back."""
+    path = scratch.fresh(spark, "fasta")
+    lines = F.concat(F.lit(">doc"), F.col("seq_id").cast("string"), F.lit(" length>"), F.length("seq").cast("string"), F.lit("\n"), F.col("seq"))
+    sequences(spark, sf_dir).select(lines.alias("value")).write.text(path)
+    return fasta.read_fasta(spark, path).select("header", "length", F.md5("sequence").alias("sequence_md5"))
+
+
 @query(f"""{base()}, {orfs_sql(longest=True)},
     aa AS (SELECT seq_id, strand, start, "end", string_agg(coalesce(m[substr(sequence, CAST(3 * k + 1 AS BIGINT), 3)], 'X'), '' ORDER BY k) AS p
            FROM (SELECT *, unnest(range(length(sequence) // 3)) AS k FROM orf), (SELECT MAP {{{CODE}}} AS m) GROUP BY ALL)
@@ -412,6 +434,37 @@ def window_sd_sites(spark, sf_dir):
     return chunks.window_features(sequences(spark, sf_dir), 101, 500, "sd_sites")
 
 
+@query(f"""WITH {SEQS}, win AS (SELECT seq_id, substr(seq, 101, 400) AS seq FROM seqs), {strands_of('win')},
+    pos AS (SELECT seq_id, strand, n, s, unnest(range(n)) AS i FROM strands), {orfs_sql()}
+    SELECT seq_id, strand, frame, start + 100 AS start, "end" + 100 AS "end", md5(sequence) AS sequence_md5 FROM orf""")
+def window_coding_orfs(spark, sf_dir):
+    rows = chunks.window_features(sequences(spark, sf_dir), 101, 500, "coding_orfs")
+    return with_md5(rows.select("seq_id", "strand", "frame", "start", "end", "sequence"))
+
+
+@query(f"""{base()}, {terminators_sql()}, {terminator_nms()} SELECT seq_id, {TERM}, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, poly_t_length DESC, stem_length DESC, mismatches, loop_length, CASE strand WHEN '+' THEN 0 ELSE 1 END, least(stem_left_start, poly_t_start), poly_t_start, stem_left_start) AS INTEGER) AS rank FROM term""")
+def terminators_in_order(spark, sf_dir):
+    hits = terminators.terminators(sequences(spark, sf_dir))
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("seq_id").orderBy(*terminators.order(), "poly_t_start", "stem_left_start")))
+
+
+def report_sql(kind: str, source: str, order: str) -> str:
+    """The lines of a report as SQL: the template's columns between its words."""
+    what, one, none, lines = reports.REPORTS[kind]
+    fill = lambda t: "'" + re.sub(r"[{](\w+)[}]", r"' || CAST(\1 AS VARCHAR) || '", t).replace("CAST(end AS", 'CAST("end" AS') + "'"
+    body = " || ".join(f"chr(10) || '  {label}' || {fill(t)}" for label, t in lines)
+    return f"""rep AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY {order}) AS rank FROM {source})
+    SELECT seq_id, CAST(rank AS INTEGER) AS rank, '{one} ' || rank || {body} || chr(10) AS line FROM rep
+    UNION ALL SELECT seq_id, 0, CASE WHEN n > 0 THEN 'Detected ' || n || ' {what}:' || chr(10) ELSE '{none}' END
+    FROM (SELECT seqs.seq_id, (SELECT count(*) FROM {source} x WHERE x.seq_id = seqs.seq_id) AS n FROM seqs)"""
+
+
+@query(f"""{base()}, {sd_sql()}, {report_sql("sd_sites", "sd", "score DESC, mismatches, abs(distance_to_start - 7), CASE linked_start_codon WHEN 'ATG' THEN 0 WHEN 'GTG' THEN 1 ELSE 2 END, CASE strand WHEN '+' THEN 0 ELSE 1 END, start, linked_start_position")}""")
+def sd_text_report(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    return reports.report(shine_dalgarno.sd_sites(seqs), "sd_sites", [*shine_dalgarno.order(), F.asc("linked_start_position")], seqs)
+
+
 # ---- similarity, tracks, pages, reports ----------------------------------
 
 

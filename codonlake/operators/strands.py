@@ -9,6 +9,7 @@ exactly one tile.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -67,3 +68,17 @@ def look(at: Column, shift, length) -> Column:
     """The ``length`` letters that begin ``shift`` after (or before) a position of a tile."""
     shift, length = (F.lit(x) if isinstance(x, int) else x for x in (shift, length))
     return F.substr(F.col("t"), (at + shift).cast("int"), length.cast("int")).cast("string")
+
+
+def motif_hits(sequences: DataFrame, motif: str, max_mismatches: int, max_hits: int | None = None, keys=KEYS) -> DataFrame:
+    """(keys, strand, i): 0-based places where ``motif`` fits with so few mismatches; N is a mismatch like any other.
+
+    With ``max_hits`` the first so many of every strand.
+    """
+    if not motif:
+        return positions(sequences, 0, 1, keys).select(*keys, "strand", "i").limit(0)
+    rows = positions(sequences, 0, len(motif), keys).filter(F.col("i") + len(motif) <= F.col("n"))
+    rows = rows.filter(dna.mismatches_with(look(F.col("at"), 0, len(motif)), motif) <= max_mismatches).select(*keys, "strand", "i")
+    if max_hits is None:
+        return rows
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "strand").orderBy("i"))).filter(F.col("_r") <= max_hits).drop("_r")

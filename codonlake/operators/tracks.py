@@ -39,3 +39,9 @@ def covered_positions(intervals: DataFrame, keys=KEYS) -> DataFrame:
 def display_range(strand, start, end):
     """(from, to) as shown: '-' features run from their higher end."""
     return F.when(strand == "-", end).otherwise(start), F.when(strand == "-", start).otherwise(end)
+
+
+def display_codon_range(strand, start):
+    """A start codon as shown, by its lower place: "from-to", from the higher end on '-'; null without one."""
+    low, high = start.cast("string"), (start + 2).cast("string")
+    return F.when(strand == "-", F.concat(high, F.lit("-"), low)).otherwise(F.concat(low, F.lit("-"), high))

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written once to the folder that driver and executors share, and read back.
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
     missing, on a single machine, a temporary one is made.
     """
-    spark = rows.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/codonlake/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/codonlake/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder, and read back."""
+    path = fresh(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

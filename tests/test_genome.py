@@ -162,6 +162,73 @@ def test_ranking_and_clusters(spark, made):
         Analysis(twice, 0)
 
 
+def test_clusters_equal_a_plain_greedy_pass(spark):
+    import random
+
+    rng = random.Random(5)
+    gene = lambda n: "ATG" + "".join(rng.choice(["GCA", "TTC", "AAA", "CCG", "GAT", "TGG"]) for _ in range(n)) + "TAA"
+    genes = [gene(60) for _ in range(3)]
+    for k in range(9):
+        g = list(genes[k % 3])
+        for _ in range(k):
+            g[3 * rng.randrange(1, 60)] = "G"
+        genes.append("".join(g))
+    rows = similarity.proteins(Analysis(sequences(spark, ["CC".join(genes), "C".join(genes[:6])]), 30).ranked_coding_orfs()).collect()
+    got = similarity.star_clusters(Analysis(sequences(spark, ["CC".join(genes), "C".join(genes[:6])]), 30).ranked_coding_orfs()).collect()
+    kmers = lambda p: {p[i : i + 3] for i in range(len(p) - 2)}
+    want = []
+    for s in {r["seq_id"] for r in rows}:
+        own = sorted((r["rank"], r["protein"], r["score"]) for r in rows if r["seq_id"] == s)
+        taken, n = set(), 0
+        for i, p, score in own:
+            if i in taken:
+                continue
+            members = [(i, p, score)]
+            for j, q, other in own:
+                if j <= i or j in taken or min(len(p), len(q)) / max(len(p), len(q)) < 0.8:
+                    continue
+                a, b = kmers(p), kmers(q)
+                if len(a & b) / max(1, len(a | b)) >= 0.5 and global_alignment(p, q)[0] >= 0.9:
+                    members.append((j, q, other))
+                    taken.add(j)
+            if len(members) > 1:
+                taken.add(i)
+                n += 1
+                want.append((s, n, [f"ORF_{k}" for k, *_ in members], f"ORF_{max(members, key=lambda m: m[2])[0]}"))
+    assert sorted((r["seq_id"], r["cluster_id"], [o["orf_uid"] for o in r["orfs"]], r["best_orf_uid"]) for r in got) == sorted(want) and want
+    assert all(len(r["alignments"]) == r["orf_count"] - 1 for r in got)
+
+
+def test_reports(spark):
+    from codonlake.operators import reports
+
+    seqs = sequences(spark, [PROMOTER + "ATG" + "GCA" * 40 + "TAA", "ACGT"])
+    found = Analysis(seqs, 30)
+    for kind, rows, by in (("coding_orfs", found.coding_orfs(), ["start"]), ("promoters", found.promoters(), ["box35_start"]), ("orfs", found.orfs(), ["strand", "frame"]), ("terminators", found.terminators(), ["poly_t_start"])):
+        lines = {(r["seq_id"], r["rank"]): r["line"] for r in reports.report(rows, kind, by, seqs).collect()}
+        n = rows.filter("seq_id = 0").count()
+        what, one, none, fields = reports.REPORTS[kind]
+        assert lines[0, 0] == (f"Detected {n} {what}:\n" if n else none) and sum(s == 0 for s, _ in lines) == n + 1
+        assert kind == "orfs" or lines[1, 0] == none
+        if n:
+            assert lines[0, 1].startswith(f"{one} 1\n  {fields[0][0]}") and lines[0, 1].count("\n") == len(fields) + 1 and "{" not in lines[0, 1]
+    assert "Sequence: ATG" + "GCA" * 29 + "..." in reports.report(found.coding_orfs(), "coding_orfs", ["start"], seqs).filter("seq_id = 0 AND rank = 1").first()["line"]
+
+
+def test_windows_and_orders(spark):
+    inner = PROMOTER + "ATG" + "GCA" * 40 + "TAA"
+    seqs = sequences(spark, ["C" * 50 + inner + "C" * 30])
+    alone = Analysis(sequences(spark, [inner]), 30).ranked_coding_orfs().collect()
+    moved = chunks.window_ranked(seqs, 51, 50 + len(inner), lambda s: Analysis(s, 30).ranked_coding_orfs()).collect()
+    assert sorted((r["rank"], r["orf"]["start"] + 50, r["best_promoter"] and r["best_promoter"]["box10_start"] + 50) for r in alone) == sorted((r["rank"], r["orf"]["start"], r["best_promoter"] and r["best_promoter"]["box10_start"]) for r in moved) and alone
+    hits = chunks.in_place_order(chunks.chunked_features(seqs, "sd_sites", 100, 50), "sd_sites").collect()
+    assert [(r["strand"] == "-", r["start"], r["end"]) for r in hits] == sorted((r["strand"] == "-", r["start"], r["end"]) for r in hits)
+    shown = spark.createDataFrame([("+", 5), ("-", 5)], "s string, a int").select(tracks.display_codon_range(F.col("s"), F.col("a"))).collect()
+    assert [r[0] for r in shown] == ["5-7", "7-5"]
+    n = spark.createDataFrame([(0, "CCAGGNGGCC")], "seq_id long, seq string")
+    assert [r["i"] for r in strands.motif_hits(n, "AGGAGG", 1).filter("strand = '+'").collect()] == [2]
+
+
 def test_chunks(spark):
     rows = chunks.chunks(sequences(spark, ["A" * 10, "A" * 11, ""]), 4, 1).collect()
     assert [(r["chunk_start"], r["chunk_end"]) for r in rows if r["seq_id"] == 0] == [(1, 4), (4, 7), (7, 10)]

@@ -8,7 +8,7 @@ import pytest
 from codonlake import catalog
 
 DATA = Path("/root/testdata/sf0.001")
-SLOW = {"ranked_orfs", "best_ranked_orf", "confidence_buckets", "summary_counts", "kmer_jaccard_pairs", "orf_clusters", "orf_promoter_range_join", "orf_terminator_range_join", "orf_sd_join", "highlights"}
+SLOW = {"ranked_orfs", "best_ranked_orf", "confidence_buckets", "summary_counts", "kmer_jaccard_pairs", "orf_clusters", "orf_sd_join", "highlights"}
 FAST = sorted(set(catalog.ORACLE_SQL) - SLOW)
 
 
