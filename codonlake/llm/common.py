@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/codonlake/{name}-{uuid.uuid4().hex}"
@@ -83,19 +91,41 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(keys, row_key() == keys["_row"], "left_anti")
 
 
-class WordMemory(dict):
-    """What an operator remembers of words in a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def pieces_of(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have about ``most`` bytes; a longer text stands alone."""
+    size = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)], dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
 
-    Workers live on between stages; only the operator that ran last keeps its
-    memory, and that is emptied when it has grown over its bound.
-    """
 
-    last: "WordMemory | None" = None
+def give_back() -> None:
+    """Hand freed memory back to the system. Python workers live on between stages, so each task ends with this."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
-    def ready(self, most: int) -> None:
-        if WordMemory.last is not self:
-            if WordMemory.last is not None:
-                WordMemory.last.clear()
-            WordMemory.last = self
-        if len(self) > most:
-            self.clear()
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """White-space separated words: (bounds of each text, word numbers of all texts, different words).
+
+    Separators are \\x20 and \\x09-\\x0D. Text i has the numbers from bounds[i] to
+    bounds[i + 1]; each different word is handed out once, so what is costly
+    for a word is done once a batch.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    numbers, words = coded.indices.to_numpy(), coded.dictionary
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:  # a text begins or ends in white space
+        some = numbers != empty
+        bounds = np.r_[0, np.cumsum(some)][bounds]
+        numbers = numbers[some]
+    return bounds, numbers, words
