@@ -9,7 +9,9 @@ in two levels (ranges of turns, then turns), so that a conversation with any
 number of turns is spread over many tasks. Each stretch of BLOCK_WINDOWS budgets
 is cut into windows on its own: a window takes new turns while they fit beside
 the system turn and a limited, repeated history; a turn over the budget stands
-alone. The loss mask covers assistant texts that are new in the window.
+alone. A system turn is repeated if it takes at most half of the budget; a longer
+one stands in its first window only, so that windows hold new turns for at least
+half of what they cost. The loss mask covers assistant texts that are new in the window.
 
 Cases: null role or text: empty; turns with equal number go by role and text; a
 null turn comes first, a null conv_id is a conversation of its own; repeated
@@ -120,7 +122,10 @@ class _Block:
         self.system, self.past, self.new, self.no = None, [], [], 0
 
     def room(self) -> int:
-        return self.budget - (self.system["tokens"] if self.system and self.new[0]["idx"] > 0 else 0)
+        return self.budget - (self.system["tokens"] if self.repeats_system() else 0)
+
+    def repeats_system(self) -> bool:
+        return bool(self.system) and self.new[0]["idx"] > 0 and 2 * self.system["tokens"] <= self.budget
 
     def add(self, row):
         self.system = self.system or row["system"]
@@ -150,7 +155,7 @@ class _Block:
             self.past.pop(0)
 
     def close(self):
-        kept = [self.system["seg"]] if self.system and self.new[0]["idx"] > 0 else []
+        kept = [self.system["seg"]] if self.repeats_system() else []
         kept += [x["seg"] for x in self.repeated]
         used = self.used + self.budget - self.room()
         at, loss = sum(map(len, kept)), []
