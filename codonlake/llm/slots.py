@@ -80,20 +80,54 @@ def rebalance(slot_map: DataFrame, n_shards: int) -> DataFrame:
     return edited.select((F.col("version") + 1).alias("version"), "vslot", F.coalesce("to", "shard").cast("int").alias("shard"), "bytes", "rows")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(placed records, slot map with its versions 0 and 1); both stored.
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Keep a version of the map below ``path``; a version is written once."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.coalesce(1).write.parquet(f"{path.rstrip('/')}/v{version:09d}")
 
-    Placed: doc_id, size, text_crc32, vslot, shard, slot. ``slot`` numbers the
-    records of a shard without gaps, by virtual slot and then by record.
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The given version of a kept map, or its last."""
+    kept = spark.read.parquet(f"{path.rstrip('/')}/v*")
+    version = kept.agg(F.max("version")).first()[0] if version is None else version
+    return spark.read.parquet(f"{path.rstrip('/')}/v{version:09d}")
+
+
+def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """The hashed ``records`` in the shards of a map: doc_id, size, text_crc32, vslot, shard, slot.
+
+    ``slot`` numbers the records of a shard without gaps, by virtual slot and then by record.
     """
-    spark = docs.sparkSession
-    records = cut(hash_records(docs, n_slots), "slot-records")
-    base = cut(first_map(slot_loads(spark, records, n_slots), n_shards), "slot-map-0")
-    current = cut(rebalance(base, n_shards), "slot-map-1")
+    rows = records.groupBy("vslot").agg(F.sum("n").alias("n_rows"))
     ahead = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
-    starts = current.select("vslot", "shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("start"))
+    starts = slot_map.join(rows, "vslot", "left").select("vslot", "shard", F.coalesce(F.sum("n_rows").over(ahead), F.lit(0)).alias("start"))
     placed = records.join(F.broadcast(starts), "vslot")  # n_slots rows
     placed = placed.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
     placed = placed.withColumn("k", F.explode(F.expr(f"sequence(block * {BLOCK}, least(n, (block + 1) * {BLOCK}) - 1)")))
-    placed = placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("before") + F.col("k")).alias("slot"))
-    return placed, base.unionByName(current)
+    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("before") + F.col("k")).alias("slot"))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed records, slot map with the versions it went through); stored.
+
+    With ``map_path`` the map is kept there: a first run makes and keeps its
+    versions 0 and 1, a later one loads the last, counts the slots of its own
+    documents, and keeps the version it has edited from it.
+    """
+    spark = docs.sparkSession
+    records = cut(hash_records(docs, n_slots), "slot-records")
+    loads = slot_loads(spark, records, n_slots)
+    base = first_map(loads, n_shards)
+    if map_path and _kept(spark, map_path):
+        base = load_map(spark, map_path).select("version", "vslot", "shard").join(loads, "vslot").select("version", "vslot", "shard", "bytes", "rows")
+    base = cut(base, "slot-map-before")
+    current = cut(rebalance(base, n_shards), "slot-map")
+    if map_path:
+        for version in (current,) if _kept(spark, map_path) else (base, current):
+            save_map(version, map_path)
+    return place(records, current), base.unionByName(current)
+
+
+def _kept(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
