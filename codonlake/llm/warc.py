@@ -5,7 +5,9 @@ that share a long enough payload, the one with the largest page_id keeps it and
 the others become revisits. The decision then meets the payloads in one shuffle
 by page, and every partition writes gzip archives through Spark's text sink:
 a record is a row, the record terminator is the sink's line separator, so a
-lost task is simply written again.
+lost task is simply written again. An archive is one gzip member; it ends after
+so many records that those of the largest payload fit ARCHIVE_BYTES, as it is
+read back as a whole.
 
 Cases: null html is an empty payload; a null url is an empty target; rows with
 equal page_id and payload share their decision; a null page_id is a key like
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 MIN_REVISIT_BYTES = 1000
+ARCHIVE_BYTES = 256 << 20
 SALTS = 16
 END = "\r\n\r\n"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string"
@@ -55,8 +58,8 @@ def _record_id(page_id, digest):
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
 
 
-def archive_lines(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """One WARC record per page in the column ``value``, without its terminator."""
+def archive_lines(pages: DataFrame, date: str | None = None, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """One WARC record per page in the column ``value``, without its terminator; dated now, or as given."""
     heads = headers(pages)
     revisits = resolve_revisits(heads, min_bytes).withColumnRenamed("page_id", "_page").withColumnRenamed("payload_digest", "_digest")
     same = heads.page_id.eqNullSafe(revisits["_page"]) & (heads.payload_digest == revisits["_digest"])
@@ -75,7 +78,9 @@ def archive_lines(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", min_byte
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "),
         _record_id(F.col("page_id"), F.col("payload_digest")),
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
+        F.lit("\r\nWARC-Date: "),
+        F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("\r\nWARC-Target-URI: "),
         F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("payload_digest"),
@@ -88,10 +93,11 @@ def archive_lines(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", min_byte
     return rows.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_archive: int = 1000, **how) -> None:
-    """Write gzip archives of at most ``records_per_archive`` records below ``path``."""
-    lines = archive_lines(pages, **how)
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+def write_archives(pages: DataFrame, path: str, records_per_archive: int = 1000, archive_bytes: int = ARCHIVE_BYTES, **how) -> None:
+    """Write gzip archives below ``path``, of at most ``records_per_archive`` records and about ``archive_bytes``."""
+    largest = pages.agg(F.max(F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
+    most = max(1, min(records_per_archive, archive_bytes // (largest + 1000)))
+    archive_lines(pages, **how).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _records(data: bytes):
