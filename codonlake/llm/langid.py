@@ -6,7 +6,11 @@ language that the markup declares, the ending of the host name, a language tag
 that opens the path, and the host. How far a declared language, an ending or a
 tag can be trusted is counted from the text posteriors of all rows that carry
 it. Host priors are smoothed by their domain and that by the whole, all by
-grouped sums; a row's own text is taken out of its host's sum.
+grouped sums; a row's own text is taken out of all sums that it is judged by.
+
+Letter groups of a text are not independent: their mean log likelihood counts
+as that of at most TEXT_GRAMS of them, each with TEXT_WEIGHT. The model has the
+``most_languages`` languages with most labelled documents.
 
 Hosts with more than a ten-thousandth of all rows (at most ten thousand of
 them) are broadcast, the others meet their rows in a shuffle.
@@ -33,6 +37,7 @@ TEXT_GRAMS = 400
 TEXT_WEIGHT = 0.25
 SMOOTH = 20.0
 HOT_SHARE = 10_000
+MOST_LANGUAGES = 200
 
 _TAG = re.compile(rb"<[^<>]*>")
 
@@ -72,9 +77,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of every bucket in each)."""
-    rows = gram_counts(docs).toArrow().to_pydict()
+def train(docs: DataFrame, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """(languages, log probability of every bucket in each): BUCKETS x ``most_languages`` numbers at most."""
+    often = docs.filter("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    rows = gram_counts(docs).join(F.broadcast(often.select("lang")), "lang").toArrow().to_pydict()
     langs = sorted(set(rows["lang"]))
     counts = np.full((BUCKETS, len(langs)), 0.5)
     np.add.at(counts, (np.array(rows["bucket"], np.int64), np.searchsorted(langs, rows["lang"]) if langs else []), rows["n"])
@@ -137,18 +143,25 @@ def _sums(n: int):
 
 
 def _trust(rows: DataFrame, kind: str, total: list[float]) -> DataFrame:
-    """(kind, lr_kind): log P(value | language) for every value of a kind of evidence."""
-    n = len(total)
-    by = rows.filter(F.col(kind).isNotNull()).groupBy(kind).agg(_sums(n).alias("s"), F.count("*").alias("m"))
-    every = sum(total)
-    share = F.col("m") / F.lit(every)
-    by = by.select(kind, F.array(*[F.log((F.col("s")[k] + SMOOTH * share) / F.lit(total[k] + SMOOTH)) for k in range(n)]).alias(f"lr_{kind}"))
+    """(kind, s_kind, m_kind): the summed text posteriors and the number of the rows with each value of a kind of evidence."""
+    by = rows.filter(F.col(kind).isNotNull()).groupBy(kind).agg(_sums(len(total)).alias(f"s_{kind}"), F.count("*").alias(f"m_{kind}"))
     return cut(by, f"trust-{kind}")
 
 
 def _joined(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Left join; a small side, counted first, is broadcast."""
-    return rows.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side, key, "left")
+    """Left join; a small side, counted first, is broadcast. Rows without a key, often most of them, are not shuffled by it."""
+    if side.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(side), key, "left")
+    known = rows.filter(F.col(key).isNotNull()).join(side, key, "left")
+    return known.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def _log_ratio(kind: str, k: int, total: list[float]):
+    """log P(value | language k) of a row's evidence, counted without the row; 0 where it has none."""
+    own = F.col("q")[k]
+    share = (F.col(f"m_{kind}") - 1) / F.lit(sum(total))
+    ratio = F.log((F.greatest(F.col(f"s_{kind}")[k] - own, F.lit(0.0)) + SMOOTH * share + 1e-9) / (F.greatest(F.lit(total[k]) - own, F.lit(0.0)) + SMOOTH))
+    return F.when(F.col(f"m_{kind}") > 1, ratio).otherwise(0.0)
 
 
 def _with_prior(rows: DataFrame, total: list[float]) -> DataFrame:
@@ -158,13 +171,13 @@ def _with_prior(rows: DataFrame, total: list[float]) -> DataFrame:
     domains = rows.filter("host IS NOT NULL").groupBy("domain").agg(_sums(n).alias("ds"), F.count("*").alias("dm"))
     hosts = rows.filter("host IS NOT NULL").groupBy("host").agg(F.first("domain").alias("domain"), _sums(n).alias("s"), F.count("*").alias("m"))
     hosts = hosts.join(domains, hosts["domain"].eqNullSafe(domains["domain"]), "left")
-    back = F.array(*[(F.col("ds")[k] + SMOOTH * whole[k]) / (F.col("dm") + SMOOTH) for k in range(n)])
-    hosts = cut(hosts.select("host", "s", "m", back.alias("back")), "hosts")
+    hosts = cut(hosts.select("host", "s", "m", "ds", "dm"), "hosts")
     hot = F.broadcast(hosts.filter(F.col("m") > every / HOT_SHARE))  # at most HOT_SHARE rows
     known = rows.filter("host IS NOT NULL")
     both = known.join(hot, "host").unionByName(known.join(hot, "host", "left_anti").join(hosts, "host"))
-    own = F.array(*[(F.col("s")[k] - F.col("q")[k] + SMOOTH * F.col("back")[k]) / (F.col("m") - 1 + SMOOTH) for k in range(n)])
-    both = both.withColumn("prior", own).drop("s", "m", "back")
+    back = [(F.col("ds")[k] - F.col("q")[k] + SMOOTH * whole[k]) / (F.col("dm") - 1 + SMOOTH) for k in range(n)]
+    own = F.array(*[(F.col("s")[k] - F.col("q")[k] + SMOOTH * back[k]) / (F.col("m") - 1 + SMOOTH) for k in range(n)])
+    both = both.withColumn("prior", own).drop("s", "m", "ds", "dm")
     return both.unionByName(rows.filter("host IS NULL").withColumn("prior", whole))
 
 
@@ -187,7 +200,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     kinds = ("declared", "suffix", "tag")
     for kind in kinds:
         out = _joined(out, _trust(rows, kind, total), kind)
-    says = lambda k: sum((F.coalesce(F.col(f"lr_{kind}")[k], F.lit(0.0)) for kind in kinds), F.log(F.greatest(F.col("prior")[k], F.lit(1e-9))) + F.col("t")[k])
+    says = lambda k: sum((_log_ratio(kind, k, total) for kind in kinds), F.log(F.greatest(F.col("prior")[k], F.lit(1e-9))) + F.col("t")[k])
     out = out.withColumn("z", F.array(*[says(k) for k in range(n)])).withColumn("top", F.array_max("z"))
     names = F.array(*map(F.lit, langs))
     p = 1 / F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
