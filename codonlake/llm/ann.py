@@ -3,14 +3,16 @@
 Different vectors are dealt over shards by hash; equal ones are one node that
 knows its smallest ids. A task builds the graph of its shard: greedy searches
 from the entry point propose neighbours for a batch of new nodes, relaxed
-distance pruning keeps diverse ones, and reverse edges are pruned likewise. The
-index - vectors with their edges - is stored. Queries then meet every shard in
-a stream sorted so that the index comes first; a beam search answers them in
-blocks, and the best of all shards are kept.
+distance pruning keeps diverse ones, and reverse edges are pruned likewise (of
+the reverse edges that one batch proposes to a node, twice its degree are looked
+at). The index - vectors with their edges - is stored. Queries then meet every
+shard in a stream sorted so that the index comes first; a beam search answers
+them in blocks, and the best of all shards are kept. A shard of no more vectors
+than are asked for is returned whole; every other one is searched by its graph.
 
 Nearness is the largest inner product. Graphs work on Euclidean distance after
 one more component has made all norms equal, which orders vectors alike; scores
-are inner products of the original vectors in double precision.
+are inner products of the original vectors, float or double, in double precision.
 
 Cases: vectors that are null, empty, zero or hold null, NaN or infinite
 components take no part, nor do rows without an id; vectors of different length
@@ -33,24 +35,35 @@ BEAM = 72
 ALPHA = 1.2
 SHARD_ROWS = 100_000
 LEAST_SHARDS = 12
-EXACT_ROWS = 256
 BLOCK_CELLS = 32_000_000
 
-INDEX = "dim int, shard int, pos int, ids array<long>, vector array<float>, edges array<int>"
+INDEX = "dim int, shard int, pos int, ids array<long>, vector array<{kind}>, edges array<int>"
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of the rows that take part; an array of doubles stays one, others become float."""
     good = "size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{_kind(embeddings)}>"))
     return rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(good)
 
 
+def _kind(embeddings: DataFrame) -> str:
+    return "float" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "double"
+
+
 def _lift(x: np.ndarray) -> np.ndarray:
-    """``x`` with a component that makes all norms equal."""
+    """``x``, scaled, with a component that makes all norms equal."""
+    x = x / max(np.abs(x).max(initial=0).astype(np.float64), np.finfo(np.float64).tiny)
     norms = np.einsum("ij,ij->i", x, x, dtype=np.float64)
     return np.c_[x, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))].astype(np.float32)
 
 
+def _asked(q: np.ndarray) -> np.ndarray:
+    """Queries among lifted vectors; their own lengths don't matter."""
+    q = q / np.abs(q).max(axis=1, keepdims=True).astype(np.float64)
+    return np.c_[q, np.zeros(len(q))].astype(np.float32)
+
+
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, squared distances less the query's norm), nearest first; node -1 where there are fewer."""
     b = len(queries)
@@ -152,21 +165,23 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, least_
     nodes = cut(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     shards = max(least_shards, -(-nodes.count() // shard_rows))
     nodes = nodes.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
+    nodes = nodes.repartitionByRange(shards, "dim", "shard")  # a task a shard
+    fields = INDEX.format(kind=_kind(vectors))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         flat = table.column("embedding").combine_chunks()
         x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        edges, entry = build_graph(_lift(x)) if len(x) > EXACT_ROWS else (np.full((len(x), 1), -1, np.int32), 0)
+        edges, entry = build_graph(_lift(x)) if len(x) > k + 1 else (np.full((len(x), 1), -1, np.int32), 0)
         order = np.r_[entry, np.delete(np.arange(len(x)), entry)]  # the entry is node 0
         place = np.empty(len(x) + 1, np.int32)
         place[order], place[-1] = np.arange(len(x)), -1
         table = table.take(order)
         edges = pa.FixedSizeListArray.from_arrays(pa.array(place[edges[order]].ravel()), edges.shape[1]).cast(pa.list_(pa.int32()))
         cols = [table.column("dim"), table.column("shard"), pa.array(range(len(x)), pa.int32()), table.column("ids"), table.column("embedding"), edges]
-        return pa.table(dict(zip([c.split()[0] for c in INDEX.split(", ")], cols)))
+        return pa.table(dict(zip([c.split()[0] for c in fields.split(", ")], cols)))
 
-    return cut(nodes.select("dim", "shard", "ids", "embedding").groupBy("dim", "shard").applyInArrow(build, INDEX), "graph-index")
+    return cut(nodes.select("dim", "shard", "ids", "embedding").groupBy("dim", "shard").applyInArrow(build, fields), "graph-index")
 
 
 class _Shard:
@@ -194,10 +209,10 @@ class _Shard:
         step = max(1, min(1024, BLOCK_CELLS // max(n, 1)))
         for at in range(0, len(queries), step):
             q, own = queries[at : at + step], query_ids[at : at + step]
-            if n <= EXACT_ROWS:
+            if n <= k + 1:
                 found = np.tile(np.arange(n), (len(q), 1))
             else:
-                found, _ = beam_search(self.lifted, self.edges, 0, np.c_[q, np.zeros(len(q), np.float32)], max(beam, k + 2))
+                found, _ = beam_search(self.lifted, self.edges, 0, _asked(q), max(beam, k + 2))
             row, col = np.nonzero(found >= 0)
             node = found[row, col]
             score = np.einsum("ij,ij->i", self.x[node].astype(np.float64), q[row].astype(np.float64))
@@ -221,7 +236,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
     asked = asked.join(F.broadcast(shards), "dim")  # a row a shard
     asked = asked.select("dim", "shard", F.lit(None).cast("int").alias("pos"), F.array("vec_id").alias("ids"), F.col("embedding").alias("vector"), F.lit(None).cast("array<int>").alias("edges"))
     rows = index.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)))
-    rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    parts = max(1, shards.count())
+    rows = rows.repartitionByRange(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
 
     def search(batches):
         shard = None
