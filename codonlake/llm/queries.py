@@ -64,6 +64,20 @@ def op10_language_evidence(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op3_graph_neighbours, op4_virtual_slots, op5_jaccard_components, op6_toxicity_chain, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences, op10_language_evidence)}
 
 ORACLE_SQL = {
+    "op5_jaccard_components": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS h
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM words)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT ways.b, reach.r FROM reach JOIN ways ON ways.a = reach.a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM documents d JOIN (SELECT a, min(r) AS component_id FROM reach GROUP BY a) ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
     "op8_benchmark_containment": """
         WITH words AS (
             SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
