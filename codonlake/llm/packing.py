@@ -16,23 +16,27 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordMemory, cut
+from .common import cut, give_back, pieces_of, split_words
 
 CAPACITY = 4096
 END_ID = 1
 RANK_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHED_WORDS = 400_000
+SLICE_BYTES = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -41,57 +45,150 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def split_pattern(tokenizer: dict):
+    """The pattern whose matches a tokenizer encodes one by one, or None where it isn't known to work so.
+
+    Asked for are lower case, matches without white space, nothing kept between
+    them, no special tokens to find in lower-case words, and merges inside a match only.
+    """
+    import regex
+
+    steps = lambda part, name: part.get(name, [part]) if part else []
+    before = [x["type"] for x in steps(tokenizer.get("normalizer"), "normalizers")]
+    first, *rest = steps(tokenizer.get("pre_tokenizer"), "pretokenizers") or [{}]
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "Regex" in first.get("pattern", {})
+    plain = all(x["type"] == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in rest)
+    if before[:1] != ["NFC"] or before[-1:] != ["Lowercase"] or not {*before} <= {"NFC", "Replace", "Lowercase"} or not split or not plain:
+        return None
+    if any(x["type"] == "Replace" and (x["pattern"].get("Regex"), x["content"]) != ("\\s+", " ") for x in steps(tokenizer["normalizer"], "normalizers")):
+        return None
+    pattern = regex.compile(first["pattern"]["Regex"])
+    odd = any(not x["special"] or x["normalized"] for x in tokenizer.get("added_tokens", []))
+    return None if odd or pattern.findall("a \t b") != ["a", "b"] or tokenizer["model"].get("end_of_word_suffix") is None else pattern
+
+
 class WordIds:
     """Token ids of texts, by white-space separated words, each encoded once.
 
-    For tokenizers that drop white space and never merge across it, the ids of
-    a text are those of its words in order. The memory is emptied when full.
+    Holds for tokenizers with a ``split_pattern``: they drop white space and
+    never merge across it. Words of common letters are split by the pattern,
+    and all new parts encoded in one call, which tells them apart by the ends
+    of words among the ids. Texts with a special token's string, and all texts
+    of other tokenizers, are encoded whole. What is known of words and parts is
+    forgotten when it has grown over CACHED_WORDS.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.of, self.known = path, Tokenizer.from_file(path), WordMemory()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        known = self.known
-        known.ready(CACHED_WORDS)
-        new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 20_000):
-            words = new[at : at + 20_000]
-            for word, enc in zip(words, self.of.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-                known[word] = array("I", enc.ids).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-_WORDS: dict[str, WordIds] = {}
-
-
-def _ids(path: str) -> WordIds:
-    """One per Python worker, kept between tasks."""
-    return _WORDS.get(path) or _WORDS.setdefault(path, WordIds(path))
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.path, self.of = path, Tokenizer.from_file(path)
+        self.pattern = split_pattern(described)
+        self.special = [x["content"] for x in described.get("added_tokens", [])]
+        if self.pattern:
+            suffix, vocabulary = described["model"]["end_of_word_suffix"], self.of.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.parts: dict[str, int] = {}
+        self.ids = np.empty(1 << 20, np.uint32)  # of every part and every word of several parts
+        self.n_ids = 0
+        self.word_at, self.part_at = np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)  # start and length
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where runs of ``ids`` of these sizes stand from now on."""
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        start = self.n_ids + np.cumsum(size) - size
+        self.n_ids += len(ids)
+        return np.stack([start, size])
+
+    def _taken(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        new = []
+        for at in range(0, len(parts), 50_000):
+            some = parts[at : at + 50_000]
+            ids = self._whole([" ".join(some)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                each = self._whole(some)
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            new.append(self._keep(ids, np.diff(ends, prepend=0)))
+        self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts))))
+        self.part_at = np.concatenate([self.part_at, *new], axis=1)
+
+    def _learn(self, words: list[str]) -> None:
+        common = [w for w in words if w.isascii() or max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)]
+        split = list(map(self.pattern.findall, map(str.lower, common)))
+        every = list(chain.from_iterable(split))
+        self._learn_parts([x for x in dict.fromkeys(every) if x not in self.parts])
+        start, size = self.part_at[:, np.fromiter(map(self.parts.__getitem__, every), np.int64, len(every))]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        first, several = np.cumsum(n) - n, n != 1
+        total = np.diff(np.r_[0, np.cumsum(size)][np.r_[first, len(every)]])
+        at = np.stack([start[np.minimum(first, max(0, len(every) - 1))], total]) if len(every) else np.zeros((2, len(split)), np.int64)
+        of_several = np.repeat(several, n)
+        at[:, several] = self._keep(self._taken(start[of_several], size[of_several]), total[several])
+        known = set(common)
+        others = [w for w in words if w not in known]
+        each = self._whole(others)
+        rest = self._keep(np.concatenate(each) if each else np.empty(0, np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
+        self.words = pa.concat_arrays([self.words, pa.array(common, pa.string()), pa.array(others, pa.string())])
+        self.word_at = np.concatenate([self.word_at, at, rest], axis=1)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.pattern is None:
+            return self._whole(texts.to_pylist())
+        bounds, numbers, different = split_words(texts)
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        new = different.filter(pc.invert(pc.is_in(different, value_set=self.words)))
+        if len(new):
+            self._learn(new.to_pylist())
+        place = pc.index_in(different, value_set=self.words).to_numpy()
+        start, size = self.word_at[:, place[numbers]]
+        ids, ends = self._taken(start, size), np.cumsum(size)
+        at = np.r_[0, ends][bounds]
+        out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        for token in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self._whole([texts[i].as_py()])[0]
+        return out
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document."""
     path = tokenizer or default_tokenizer()
-    end = array("I", [END_ID]).tobytes()
+    end = np.array([END_ID], np.uint32)
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def pieces(batches):
+        words = WordIds(path)
         for batch in batches:
-            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+            for part in pieces_of(batch, most=SLICE_BYTES):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), _ids(path).encode(part.column("text").to_pylist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text"))):
+                    data = np.r_[ids, end].astype("<u4").tobytes()
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        piece = data[at : at + 4 * capacity]
                         rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        del words
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return texts.mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
