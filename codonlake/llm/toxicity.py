@@ -21,16 +21,16 @@ value's rate; other columns are kept by ``reject``.
 from __future__ import annotations
 
 import math
-import re
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordMemory, cut
+from .common import cut, give_back, pieces_of, split_words
 
 #: (name, 0/1 expression over the labels), in the order of the chain
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -39,40 +39,77 @@ BITS = 40
 PREFIXES = (3, 4, 5, 6, 7)
 FOLDS = 3
 THRESHOLD = 0.5
-CACHED_WORDS = 100_000
+UPPER, MARK, WORD = 1, 2, 4
 
-_WORD = re.compile(r"[^\W_]+")
-_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
-_NOT_CAPS = bytes(b for b in range(128) if not chr(b).isupper())
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: what it is (UPPER, MARK, WORD bits), and its lower case where that is one character."""
+    every = range(0x110000)
+    kind = (c.isupper() * UPPER | (not (c.isalnum() or c == "_" or c.isspace())) * MARK | c.isalnum() * WORD for c in map(chr, every))
+    lower = (ord(x) if len(x := c.lower()) == 1 else ord(c) for c in map(chr, every))
+    return np.fromiter(kind, np.uint8, len(every)), np.fromiter(lower, np.uint32, len(every))
 
-class _WordIds(WordMemory):
-    """The features of a word: itself and its beginnings, for inflected and compound forms."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        from xxhash import xxh3_64_intdigest
+@cache
+def _hashed(name: str) -> int:
+    from xxhash import xxh3_64_intdigest
 
-        parts = [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) >= k)]
-        self[word] = ids = tuple(xxh3_64_intdigest(p) >> (64 - BITS) for p in parts)
-        return ids
+    return xxh3_64_intdigest(name) >> (64 - BITS)
 
 
-_IDS = _WordIds()
+def _word_features(words: list[str]) -> np.ndarray:
+    """A row a word: the word itself and its beginnings, for inflected and compound forms; -1 where it is too short."""
+    from xxhash import xxh3_64_intdigest
 
+    out = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
+    out[:, 0] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - BITS)
+    most = max(PREFIXES)
+    points = np.array(words, f"U{most}").view(np.uint32).reshape(len(words), most) if words else np.empty((0, most), np.uint32)
+    h = np.zeros(len(words), np.uint64)
+    for j in range(most):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[:, j] + np.uint64(1)
+        if j + 1 in PREFIXES:
+            mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            long_enough = points[:, j] > 0
+            out[long_enough, 1 + PREFIXES.index(j + 1)] = (mixed >> np.uint64(64 - BITS))[long_enough]
+    return out
 
-def capitals(text: str) -> int:
-    """The number of upper-case characters of the whole text, of any script."""
-    plain = len(text.encode("ascii", "ignore").translate(None, _NOT_CAPS))
-    return plain if text.isascii() else plain + sum(map(str.isupper, "".join(_NOT_ASCII.findall(text))))
 
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word) of the different words of each text, the features of every word, and those of every text's shape.
 
-def features(text: str) -> np.ndarray:
-    """Sorted different feature ids of a text."""
-    _IDS.ready(CACHED_WORDS)
-    words = _WORD.findall(text.lower())
-    marks = [w for share, w in ((capitals(text), "caps"), (len(re.findall(r"[^\w\s]", text)), "marks")) if text for w in [f"\0{w}{min(9, 20 * share // len(text))}"]]
-    shape = [*marks, f"\0repeats{10 * len(set(words)) // max(1, len(words))}", f"\0size{len(words).bit_length()}"]
-    return np.unique(np.fromiter(chain.from_iterable(map(_IDS.__getitem__, {*words, *shape})), np.int64))
+    Words are runs of letters and digits in lower case. All is counted over whole texts, for a batch at once.
+    """
+    kinds, lower = _characters()
+    strings = texts.to_pylist()
+    n = len(strings)
+    length = np.fromiter(map(len, strings), np.int64, n)
+    ends = np.r_[0, np.cumsum(length)]
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+    kind = kinds[points]
+    share = lambda bit: np.minimum(9, 20 * np.diff(np.r_[0, np.cumsum(kind & bit > 0, dtype=np.int32)][ends]) // np.maximum(length, 1))
+    caps, marks = share(UPPER), share(MARK)
+    plain = np.where(kind & WORD > 0, lower[points], np.uint32(32)).tobytes().decode("utf-32-le")
+    bounds, numbers, words = split_words(pa.array([plain[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
+    counts = np.diff(bounds)
+    pairs = np.unique(np.repeat(np.arange(n), counts) * max(1, len(words)) + numbers)
+    row, word = np.divmod(pairs, max(1, len(words)))
+    repeats = 10 * np.bincount(row, minlength=n) // np.maximum(counts, 1)
+    shape = np.full((n, 4), -1, np.int64)
+    for i, (c, m, r, k) in enumerate(zip(caps.tolist(), marks.tolist(), repeats.tolist(), counts.tolist())):
+        shape[i, 2:] = _hashed(f"\0repeats{r}"), _hashed(f"\0size{k.bit_length()}")
+        if length[i]:
+            shape[i, :2] = _hashed(f"\0caps{c}"), _hashed(f"\0marks{m}")
+    return row, word, _word_features(words.to_pylist()), shape
+
+
+def bags(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted different feature ids of each text."""
+    row, word, of_word, shape = features(texts)
+    at = np.searchsorted(row, np.arange(len(texts) + 1))
+    every = [np.unique(np.r_[of_word[word[a:b]].ravel(), s]) for a, b, s in zip(at[:-1], at[1:], shape)]
+    return [x[np.searchsorted(x, 0) :] for x in every]
 
 
 def _sigmoid(z):
@@ -86,7 +123,7 @@ class Linear:
         self.words, self.weights, self.dense, self.base = words, weights, dense, base
 
     def odds(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        """Log odds of each row of feature ids with its dense inputs."""
+        """Log odds of each row of features, numbered as ``words`` are, with its dense inputs."""
         z = self.base + dense @ self.dense
         if not rows or not len(self.words):
             return z
@@ -96,29 +133,95 @@ class Linear:
         return z + np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), value, len(rows))
 
 
-def _select(row, col, n, size, y, count):
-    """Features with a weight under an L1 penalty at the level that noise reaches."""
-    p = count / n
+def chain_odds(models: list[Linear], texts: pa.Array) -> np.ndarray:
+    """Log odds of every text under each model of a chain, a column a model."""
+    row, word, of_word, shape = features(texts)
+    n = len(texts)
+    every = np.unique(np.concatenate([m.words for m in models]))
+    if len(every):
+        place = lambda ids: np.where(every[at := np.searchsorted(every, ids).clip(max=len(every) - 1)] == ids, at, -1)
+        hits = place(of_word)
+        some = (hits >= 0).any(axis=1)[word]
+        found = np.r_[hits[word[some]].ravel(), place(shape).ravel()]
+        pairs = (np.r_[np.repeat(row[some], hits.shape[1]), np.repeat(np.arange(n), shape.shape[1])] * len(every) + found)[found >= 0]
+        row, at = np.divmod(np.unique(pairs), len(every))
+    dense = np.zeros((n, 0))
+    for m in models:
+        z = m.base + dense @ m.dense
+        if len(m.words):
+            weights = np.zeros(len(every))
+            weights[np.searchsorted(every, m.words)] = m.weights
+            z = z + np.bincount(row, weights[at], n)
+        dense = np.c_[dense, z]
+    return dense
+
+
+class Bags:
+    """Feature numbers below ``size`` of many rows, end to end."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, size: int):
+        self.flat, self.ends, self.size = flat, np.r_[0, ends], size
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def row(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
+
+    def only(self, rows: np.ndarray) -> "Bags":
+        """The given rows, in this order."""
+        length = np.diff(self.ends)[rows]
+        return Bags(np.concatenate([self.flat[:0], *map(self.row, rows)]), np.cumsum(length), self.size)
+
+    def sums(self, of_row: np.ndarray) -> np.ndarray:
+        """For each feature the sum of ``of_row`` over the rows that have it; in blocks of rows."""
+        out = np.zeros(self.size)
+        for a in range(0, len(self), 512):
+            ends = self.ends[a : a + 513]
+            out += np.bincount(self.flat[ends[0] : ends[-1]], np.repeat(of_row[a : a + 512], np.diff(ends)), self.size)
+        return out
+
+    def entries(self, features: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``rows``, place among ``features``) of every such row that has such a feature."""
+        pos, place = np.full(self.size, -1, np.int32), np.full(len(self), -1, np.int32)
+        pos[features], place[rows] = np.arange(len(features)), np.arange(len(rows))
+        at = np.flatnonzero(pos[self.flat] >= 0)
+        row = place[np.searchsorted(self.ends, at, "right") - 1]
+        return row[row >= 0], pos[self.flat[at]][row >= 0]
+
+
+def _select(bags: Bags, rows: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Features with a weight under an L1 penalty at the level that noise reaches.
+
+    Fitted over the few features that need a weight; the one hundred whose
+    gradient most exceeds the penalty join them, until none does.
+    """
+    n = len(rows)
+    used = (count >= 3) & (count <= n - 3)
+    p = np.where(used, count / n, 0.5)
     scale = np.sqrt(p * (1 - p))
-    penalty = math.sqrt(2 * math.log(max(2, size)) / n) * math.sqrt(max(1e-9, y.mean() * (1 - y.mean())))
-    gradient = lambda r: (np.bincount(col, r[row], size) - p * r.sum()) / (n * scale)
-    z0 = math.log(y.mean() / (1 - y.mean()))
-    near = np.flatnonzero(np.abs(gradient(_sigmoid(np.full(n, z0)) - y)) > penalty / 2)
-    if not len(near):
-        return near
-    for _ in range(4):  # features that the penalty leaves out are checked again with the fitted rest
-        pos = np.full(size, -1)
-        pos[near] = np.arange(len(near))
-        keep = pos[col] >= 0
-        r, c, mean, sd = row[keep], pos[col[keep]], p[near], scale[near]
+    penalty = math.sqrt(2 * math.log(max(2, used.sum())) / n) * math.sqrt(max(1e-9, y.mean() * (1 - y.mean())))
+    base = math.log(y.mean() / (1 - y.mean()))
+    near, w, z = np.empty(0, np.int64), np.empty(0), np.full(n, base)
+    for _ in range(20):
+        e = np.zeros(len(bags))
+        e[rows] = _sigmoid(z) - y
+        gradient = np.where(used, np.abs(bags.sums(e) - p * e.sum()) / (n * scale), 0)
+        gradient[near] = 0
+        more = np.argsort(-gradient, kind="stable")[:100]
+        more = more[gradient[more] > penalty]
+        if not len(more):
+            break
+        w, near = np.r_[w, np.zeros(len(more))], np.r_[near, more]
+        r, c = bags.entries(near, rows)
+        mean, sd = p[near], scale[near]
         times = lambda w: np.bincount(r, (w / sd)[c], n) - (w / sd) @ mean  # noqa: B023, E731
         back = lambda e: (np.bincount(c, e[r], len(near)) - mean * e.sum()) / (n * sd)  # noqa: B023, E731
         v = np.ones(len(near))
         for _ in range(12):
             v = back(times(v / np.linalg.norm(v)))
         step = 1 / (0.25 * np.linalg.norm(v) * 1.2 + 1e-9)
-        w = u = np.zeros(len(near))
-        base, t = z0, 1.0
+        u, t = w, 1.0
         for _ in range(200):
             e = _sigmoid(base + times(u)) - y
             x = u - step * back(e)
@@ -126,51 +229,42 @@ def _select(row, col, n, size, y, count):
             base -= min(4.0, step) * e.mean()
             t, before = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
             u, w = new + (before - 1) / t * (new - w), new
-        more = np.setdiff1d(np.flatnonzero(np.abs(gradient(_sigmoid(base + times(w)) - y)) > penalty), near)
-        if not len(more):
-            break
-        near = np.union1d(near, more)
-        w = None
-    if w is None:
-        return near
-    return near[np.abs(w) > 0]
+        near, w, z = near[w != 0], w[w != 0], base + times(w)
+    return np.sort(near)
 
 
-def fit_linear(rows: list[np.ndarray], vocabulary: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Linear:
-    """``rows`` hold positions in the sorted feature ids of ``vocabulary``."""
+def fit_linear(bags: Bags, rows: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Linear:
+    """A model of the given rows of ``bags``; its words are feature numbers."""
     n = len(rows)
     none = np.empty(0)
     rate = (y.sum() + 0.5) / (n + 1)
     if not 0 < y.sum() < n:
         return Linear(none.astype(np.int64), none, np.zeros(dense.shape[1]), math.log(rate / (1 - rate)))
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    count = np.bincount(col, minlength=len(vocabulary))
-    used = (count >= 3) & (count <= n - 3)
-    pos = (np.cumsum(used) - 1).astype(np.int32)
-    keep = used[col]
-    row, col, ids, count = row[keep], pos[col[keep]], vocabulary[used], count[used]
-    chosen = _select(row, col, n, len(ids), y, count) if len(ids) else np.empty(0, np.int64)
+    among = np.zeros(len(bags))
+    among[rows] = 1
+    count = bags.sums(among)
+    chosen = _select(bags, rows, y, count)
     if len(chosen) > n // 5:
         chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")][: n // 5])
-    at = np.full(len(ids) + 1, -1)
-    at[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float64)
-    keep = at[col] >= 0
-    x[row[keep], at[col[keep]]] = 1
-    x = np.c_[x, dense, np.ones(n)]
+    x = np.zeros((n, len(chosen) + dense.shape[1] + 1), np.float32)
+    x[bags.entries(chosen, rows)] = 1
+    x[:, len(chosen) : -1], x[:, -1] = dense, 1
     w = np.zeros(x.shape[1])
     w[-1] = math.log(rate / (1 - rate))
     own = np.full(x.shape[1], ridge)
     own[-1] = 1e-6
     for _ in range(30):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(own), x.T @ (p - y) + own * w)
+        p = _sigmoid((x @ w.astype(np.float32)).astype(np.float64))
+        curve = np.diag(own)
+        for a in range(0, n, 2048):  # in blocks: no second matrix of that size
+            part = x[a : a + 2048]
+            curve += (part * (p * (1 - p))[a : a + 2048, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(curve, x.T @ (p - y).astype(np.float32) + own * w)
         w = w - step * min(1, 5 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     k = len(chosen)
-    return Linear(ids[chosen], w[:k], w[k:-1], w[-1])
+    return Linear(chosen, w[:k], w[k:-1], w[-1])
 
 
 def one_of_copies(rows: list[np.ndarray], similar: float = 0.6, bands: int = 16, width: int = 5) -> np.ndarray:
@@ -183,9 +277,11 @@ def one_of_copies(rows: list[np.ndarray], similar: float = 0.6, bands: int = 16,
     a, b = rng.integers(1, 1 << 62, bands * width, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, bands * width, dtype=np.uint64)
     first, seen = np.arange(len(rows)), {}
     for i, ids in enumerate(rows):
-        x = ids.astype(np.uint64)[None, :] * a[:, None] + b[:, None]
-        low = (x ^ (x >> np.uint64(32))).min(axis=1).reshape(bands, width) if len(ids) else np.zeros((bands, width), np.uint64)
-        keys = [(k, v.tobytes()) for k, v in enumerate(low)]
+        low = np.full(bands * width, ~np.uint64(0))
+        for at in range(0, len(ids), 2048):
+            x = ids[at : at + 2048].astype(np.uint64)[None, :] * a[:, None] + b[:, None]
+            low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=1))
+        keys = [(k, v.tobytes()) for k, v in enumerate(low.reshape(bands, width))]
         for j in dict.fromkeys(seen[k] for k in keys if k in seen):
             both = len(np.intersect1d(ids, rows[j], assume_unique=True))
             if both >= similar * (len(ids) + len(rows[j]) - both):
@@ -197,33 +293,48 @@ def one_of_copies(rows: list[np.ndarray], similar: float = 0.6, bands: int = 16,
     return first
 
 
-def _places(vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(vocabulary, ids).clip(max=max(0, len(vocabulary) - 1))
-    return at[vocabulary[at] == ids].astype(np.int32) if len(vocabulary) else np.empty(0, np.int32)
+def often_seen(ids: np.ndarray, ends: np.ndarray, least: int = 3) -> tuple[Bags, np.ndarray]:
+    """(numbers of the features of all rows, feature of each number), for features of ``least`` rows or more.
 
-
-def fit_chain(rows: list[np.ndarray], marks: np.ndarray, fold: np.ndarray) -> list[Linear]:
+    ``ids`` are the features of all rows, each row's up to its entry in
+    ``ends``. They are numbered a sixteenth at a time: most are seen once, and
+    would fill a table of all of them.
+    """
+    number, size, vocabulary = np.full(len(ids), -1, np.int32), 0, [np.empty(0, np.int64)]
+    for k in range(16):
+        at = np.flatnonzero(ids & 15 == k)
+        coded = pa.array(ids[at]).dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        often = np.bincount(code, minlength=len(names)) >= least
+        of_code = np.where(often, size + np.cumsum(often) - 1, -1).astype(np.int32)
+        number[at] = of_code[code]
+        vocabulary.append(names[often])
+        size += int(often.sum())
+    kept = number >= 0
+    ends = np.r_[0, np.cumsum(kept, dtype=np.int64)][ends]
+    return Bags(number[kept], ends, size), np.concatenate(vocabulary)
+
+
+def fit_chain(bags: Bags, vocabulary: np.ndarray, marks: np.ndarray, fold: np.ndarray) -> list[Linear]:
     """A model for each column of ``marks``; the k-th takes k dense inputs."""
-    first = one_of_copies(rows)
-    kept, group = np.unique(first, return_inverse=True)
-    rows, fold = [rows[i] for i in kept], fold[kept]
-    vocabulary, count = np.unique(np.concatenate(rows), return_counts=True)
-    vocabulary = vocabulary[count >= 3]
-    places = [_places(vocabulary, r) for r in rows]
+    kept, group = np.unique(one_of_copies([np.sort(bags.row(i)) for i in range(len(bags))]), return_inverse=True)
+    bags, fold = bags.only(kept), fold[kept]
+    every = np.arange(len(bags))
     size = np.bincount(group)
     marks = np.stack([np.bincount(group, m) / size >= 0.5 for m in marks.T], axis=1).astype(float)
-    models, dense = [], np.zeros((len(rows), 0))
+    models, dense = [], np.zeros((len(bags), 0))
     for k in range(marks.shape[1]):
         y = marks[:, k]
-        models.append(fit_linear(places, vocabulary, dense, y))
+        models.append(fit_linear(bags, every, dense, y))
         if k + 1 < marks.shape[1]:
-            unseen = np.zeros(len(rows))
+            unseen = np.zeros(len(bags))
             for f in np.unique(fold):
                 out, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-                model = fit_linear([places[i] for i in others], vocabulary, dense[others], y[others]) if len(others) else models[-1]
-                unseen[out] = model.odds([rows[i] for i in out], dense[out])
+                model = fit_linear(bags, others, dense[others], y[others]) if len(others) else models[-1]
+                unseen[out] = model.odds([bags.row(i) for i in out], dense[out])
             dense = np.c_[dense, unseen]
-    return models
+    order = [np.argsort(vocabulary[m.words]) for m in models]
+    return [Linear(vocabulary[m.words][o], m.weights[o], m.dense, m.base) for m, o in zip(models, order)]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> DataFrame:
@@ -234,12 +345,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(used), "doc_id")  # max_rows rows
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))  # copies share a fold
 
-    def bags(batches):
+    def rows(batches):
         for batch in batches:
-            ids = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), batch.column("marks"), ids], ["doc_id", "fold", "marks", "ids"])
+            for part in pieces_of(batch):
+                ids = pa.array(bags(part.column("text")), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fold"), part.column("marks"), ids], ["doc_id", "fold", "marks", "ids"])
+        give_back()
 
-    return texts.mapInArrow(bags, "doc_id long, fold int, marks array<double>, ids array<long>")
+    return texts.mapInArrow(rows, "doc_id long, fold int, marks array<double>, ids array<long>")
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> list[Linear]:
@@ -247,13 +360,20 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: i
     rows = cut(training_rows(docs, labels, categories, max_rows, folds), "toxicity-training")
 
     def fit(batches):
-        table = pa.Table.from_batches(batches).sort_by("doc_id")
-        ids = table.column("ids").combine_chunks()
-        bags = np.split(ids.flatten().to_numpy(), ids.offsets.to_numpy()[1:-1] - ids.offsets[0].as_py()) if len(table) else []
-        models = fit_chain(bags, np.array(table.column("marks").to_pylist()), table.column("fold").to_numpy()) if len(table) else []
+        table = pa.Table.from_batches(batches)
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        marks, fold = np.array(table.column("marks").to_pylist())[order], table.column("fold").to_numpy()[order]
+        ends = np.cumsum(pc.list_value_length(table.column("ids")).to_numpy())
+        ids = np.concatenate([c.flatten().to_numpy() for c in table.column("ids").chunks])
+        del table
+        numbers, vocabulary = often_seen(ids, ends)
+        del ids
+        models = fit_chain(numbers.only(order), vocabulary, marks, fold)
         out = [(k, m.words.tolist(), m.weights.tolist(), m.dense.tolist(), float(m.base)) for k, m in enumerate(models)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["k", "words", "weights", "dense", "base"])
+        del numbers
+        give_back()
 
     types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
     fitted = rows.coalesce(1).mapInArrow(_none_if_empty(fit), "k int, words array<long>, weights array<double>, dense array<double>, base double")
@@ -269,29 +389,31 @@ def _none_if_empty(fit):
 
 
 def score(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """``docs`` with p_<category> for all, and the last category's name as 0 or 1."""
+    """``docs`` with p_<category> for all, and the last category's name as 0 or 1.
+
+    Columns of ``docs`` that have one of these names are kept under ``_<name>_``.
+    """
     models = train(docs, labels, categories, **how)
     names = [f"p_{n}" for n, _ in categories] + [categories[-1][0]]
-    kept = [c for c in docs.columns if c not in names]
-    docs = docs.select(kept)
+    docs = docs.withColumnsRenamed({n: f"_{n}_" for n in names if n in docs.columns})
 
     def over(batches):
         for batch in batches:
-            rows = [features(t or "") for t in batch.column("text").to_pylist()]
-            dense = np.zeros((len(rows), 0))
-            for m in models:
-                dense = np.c_[dense, m.odds(rows, dense)]
-            p = _sigmoid(dense)
-            cols = [pa.array(p[:, k]) for k in range(len(models))] or [pa.nulls(len(rows), pa.float64())] * len(categories)
-            last = p[:, -1] >= threshold if models else np.zeros(len(rows), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array(last.astype(np.int32))], [*batch.schema.names, *names])
+            for part in pieces_of(batch):
+                if models:
+                    p = _sigmoid(chain_odds(models, pc.fill_null(part.column("text"), "")))
+                    cols, last = [pa.array(c) for c in p.T], p[:, -1] >= threshold
+                else:
+                    cols, last = [pa.nulls(part.num_rows, pa.float64())] * len(categories), np.zeros(part.num_rows, bool)
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols, pa.array(last.astype(np.int32))], [*part.schema.names, *names])
+        give_back()
 
     added = [T.StructField(n, T.DoubleType()) for n in names[:-1]] + [T.StructField(names[-1], T.IntegerType())]
     return docs.mapInArrow(over, T.StructType([*docs.schema.fields, *added]))
 
 
-def reject(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs`` without the toxic ones."""
-    renamed = {c: f"_{c}_" for c in ("p_low_quality", "p_toxic", "toxic") if c in docs.columns}
-    kept = score(docs.withColumnsRenamed(renamed), labels, **how).filter("toxic = 0")
-    return kept.select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])
+def reject(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, **how) -> DataFrame:
+    """``docs`` without those of the last category."""
+    names = [f"p_{n}" for n, _ in categories] + [categories[-1][0]]
+    kept = score(docs, labels, categories, **how).filter(F.col(names[-1]) == 0)
+    return kept.select(*[F.col(f"_{c}_" if c in names else c).alias(c) for c in docs.columns])
