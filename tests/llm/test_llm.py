@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def test_jaccard_regions_lose_no_link(spark, texts, percent, monkeypatch):
     assert got == brute_components(texts, 4, percent)
 
 
+def test_jaccard_recursion_loses_no_link(spark, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_REGION", 2)
+    monkeypatch.setattr(jaccard, "LEAF_PAIRS", 0)  # no region around a pivot is compared before it is cut again
+    near = texts[60:75]
+    got = sorted(map(tuple, jaccard.near_components(docs_of(spark, near), 4, 85).collect()))
+    assert got == brute_components(near, 4, 85)
+
+
+def test_jaccard_sketches_keep_every_link():
+    rng = np.random.default_rng(26)
+    for n in (1, 3, 63, 64, 65, 700):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert jaccard.may_link(n, jaccard.sketch(x), n, jaccard.sketch(x), 85)
+        for lost in range(n // 3 + 1):
+            for added in (0, 1, n // 8, n // 5):
+                y = np.r_[x[lost:], rng.integers(0, 1 << 63, added, dtype=np.uint64)]
+                if len(y) and 100 * (n - lost) >= 85 * (n + added):
+                    assert jaccard.may_link(n, jaccard.sketch(x), len(y), jaccard.sketch(y), 85)
+        far = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert n < 63 or not jaccard.may_link(n, jaccard.sketch(x), n, jaccard.sketch(far), 85)
+
+
 def test_jaccard_links_the_smallest_sets(spark):
     rng = random.Random(21)
     short = []
@@ -134,6 +157,57 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_long_system_turn_is_not_repeated(spark):
+    rows = [(1, 0, "system", "word " * 5000)] + [(1, t, ["assistant", "user"][t % 2], f"short {t}") for t in range(1, 200)]
+    rows += [(2, 0, "system", "be kind")] + [(2, t, ["assistant", "user"][t % 2], f"short {t}") for t in range(1, 400)]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    long = sorted((w for w in windows if w["conv_id"] == 1), key=lambda w: (w["block"], w["no"]))
+    assert sum("word" in w["formatted"] for w in long) == 1 and all(w["tokens"] <= 1024 for w in long[1:])
+    assert sum(len(w["formatted"]) for w in long) < 2 * sum(len(x) + 30 for *_, x in rows[:200])
+    assert all("be kind" in w["formatted"] for w in windows if w["conv_id"] == 2)
+    digest = hashlib.sha256("".join(f"{r}\n{x}\n" for c, _, r, x in rows if c == 1).encode()).hexdigest()
+    again = chat.read_back(spark.createDataFrame(windows, chat.WINDOWS)).filter("conv_id = 1").first()
+    assert again["turns_sha256"] == digest
+
+
+def test_conversation_of_control_strings(spark):
+    from codonlake.llm import queries
+
+    rows = [(-7, t, r, queries.CONTROL) for t, r in enumerate(("user", "assistant"))]
+    got = chat.read_back(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in rows).encode()).hexdigest()
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(queries.CONTROL), hashlib.sha256(queries.CONTROL.encode()).hexdigest())
+
+
+def plain_by_regex(t):
+    """The plain spans by the four patterns as they are stated, with re alone."""
+    luhn = lambda d: sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 14 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 10 <= len(digits(x)) <= 15),
+    ]
+    found = [(m.start(), k, m.end(), name) for k, (name, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, t) if good(m[0])]
+    return [sum(f[3] == name for f in found) for name, *_ in kinds], ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(found))
+
+
+def test_pii_base_equals_the_stated_patterns(spark):
+    rng = random.Random(31)
+    parts = ["@", ".", "-", "+", " ", "1", "12", "255", "256", "007", "a", "b.c", "é", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "10.0.0.1", "x@y.zz", "(", ")", "9", "_%", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(4000)] + [" " * 50_000, "1." * 30_000, "a" * 100_000 + "@", "+1" + " " * 60_000, "a " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (None, texts[1]), (9999, None)], "doc_id long, text string")
+    got = df.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", "text").collect()
+    rows = pii.find_spans(df).collect()
+    key = lambda doc, counts, sha: (str(doc), tuple(counts), sha)
+    want = sorted(key(r["doc_id"], c, hashlib.sha256(s.encode()).hexdigest()) for r in got for c, s in [plain_by_regex(r["text"])])
+    assert sorted(key(r["doc_id"], [r[f"n_{k}"] for k in pii.KINDS], r["base_sha256"]) for r in rows) == want
+    for r, (_, base) in ((r, plain_by_regex(texts[r["doc_id"]])) for r in rows if r["doc_id"] is not None and r["doc_id"] < 4000):
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+    assert pii.find_spans(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
@@ -207,7 +281,23 @@ def test_nearest(spark):
         want = [v for v in np.lexsort((np.arange(4000), -scores[q])) if v != q][:20]
         hits += len({v for _, v, _ in own} & set(want))
         assert all(abs(scores[q, v] - s) < 1e-9 for _, v, s in own)
+        assert [(-s, v) for _, v, s in own] == sorted((-s, v) for _, v, s in own)  # ties to the smaller id
     assert hits / (200 * 20) >= 0.9 and {r["query_id"] for r in out} == set(range(0, 4000, 20))
+    assert ann.nearest(df.limit(0), df.limit(0), 20).count() == 0
+
+
+def test_nearest_is_exact_in_doubles_and_on_few_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8)) * 1e100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, df.filter("vec_id % 20 = 0"), 20).collect()
+    for q in (0, 20, 40):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
+        scores = x @ x[q]
+        want = [v for v in np.lexsort((np.arange(60), -scores)) if v != q][:20]
+        assert [v for _, v, _ in own] == want
+    few = ann.nearest(df.limit(5), df.limit(1), 20).collect()
+    assert len(few) == 4
 
 
 def test_slots(spark, texts):
@@ -229,6 +319,22 @@ def test_slots(spark, texts):
     assert slots.shard_documents(df.limit(0), 3)[0].count() == 0
 
 
+def test_slot_map_is_kept_and_edited(spark, tmp_path):
+    rng = random.Random(33)
+    docs = spark.createDataFrame([(i, text(rng, rng.randrange(5, 60))) for i in range(3000)], "doc_id long, text string")
+    path = str(tmp_path / "map")
+    first, _ = slots.shard_documents(docs, 4, 256, path)
+    more = docs.unionByName(docs.select((F.col("doc_id") + 3000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text")))
+    second, _ = slots.shard_documents(more, 5, 256, path)
+    assert [slots.load_map(spark, path, v).first()["version"] for v in (0, 1, 2)] == [0, 1, 2] and slots.load_map(spark, path).first()["version"] == 2
+    of = {r["vslot"]: r["shard"] for r in slots.load_map(spark, path, 1).collect()}
+    assert all(of[r["vslot"]] == r["shard"] for r in first.collect())
+    load = {r["shard"]: r["b"] for r in second.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    assert len(load) == 5 and max(load.values()) - min(load.values()) < 0.1 * max(load.values())
+    moved = sum(of[r["vslot"]] != r["shard"] for r in slots.load_map(spark, path).collect())
+    assert moved < 0.45 * 256  # an edit, not a new deal
+
+
 def test_slots_split_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(slots, "BLOCK", 7)
     rows = [(None, "x" * 99)] * 3000 + [(i, "y" * 99) for i in range(3000)]
@@ -261,15 +367,70 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_shape_is_of_the_whole_text():
+def plain_features(t):
+    """What toxicity.bags gives for one text, counted one by one."""
+    words = "".join(c if c.isalnum() else " " for c in t)
+    words = "".join(x if len(x := c.lower()) == 1 else c for c in words).split()
+    caps, marks = sum(map(str.isupper, t)), sum(not (c.isalnum() or c == "_" or c.isspace()) for c in t)
+    shape = [f"caps{min(9, 20 * caps // max(1, len(t)))}", f"marks{min(9, 20 * marks // max(1, len(t)))}"] * bool(t)
+    shape += [f"repeats{10 * len(set(words)) // max(1, len(words))}", f"size{len(words).bit_length()}"]
+    of_words = toxicity._word_features(sorted(set(words)))
+    assert [(r >= 0).sum() for r in of_words] == [1 + sum(len(w) >= k for k in toxicity.PREFIXES) for w in sorted(set(words))]
+    return sorted({*of_words[of_words >= 0].tolist(), *(toxicity._hashed(f"\0{x}") for x in shape)})
+
+
+def test_toxicity_features_are_of_the_whole_text():
     rng = random.Random(23)
-    for n in (0, 1, 50, 4000, 9000):
-        t = "".join(rng.choices("aZ Éßж Ж9_.ΣǅΩ", k=n))
-        assert toxicity.capitals(t) == sum(map(str.isupper, t))
+    odd = ["".join(rng.choices("aZ Éßж Ж9_.ΣǅΩİ\u3000\n日", k=n)) for n in (0, 1, 2, 50, 4000, 9000)]
     late, early = "a" * 20_000 + "B" * 20_000, "B" * 20_000 + "a" * 20_000
-    bin9, bin2 = (toxicity._IDS[f"\0caps{k}"][0] for k in (9, 2))
-    for t in (late, early, "B" * 40_000, "É" * 40_000):
-        assert bin9 in toxicity.features(t) and bin2 not in toxicity.features(t)
+    texts = [*odd, "", "  ", late, early, "B" * 40_000, "grumken grumkes GRUMK"]
+    got = toxicity.bags(pa.array(texts))
+    assert [x.tolist() for x in got] == [plain_features(t) for t in texts]
+    a, b = toxicity._word_features(["grumken", "grumkes"])
+    assert (a == b).sum() == 4 and (a != b).sum() == 2  # beginnings of three to six letters are shared
+
+
+def test_toxicity_chain_equals_its_models_one_by_one():
+    rng = random.Random(25)
+    texts = [text(rng, 30) + (" grumken" if i % 3 == 0 else "") + (" zlotes" if i % 4 == 0 else "") for i in range(240)] + [""]
+    rows = toxicity.bags(pa.array(texts))
+    # the second category follows the first exactly: its words alone can't tell, the chain's input can
+    first = np.array([float("grumken" in t) for t in texts])
+    marks = np.stack([first, np.where(np.array(["zlotes" in t for t in texts]), 1 - first, first)], axis=1)
+    numbers, vocabulary = toxicity.often_seen(np.concatenate(rows), np.cumsum([len(r) for r in rows]))
+    for k, r in enumerate(rows):
+        assert sorted(vocabulary[numbers.row(k)]) == [x for x in r if sum(x in o for o in rows) >= 3]
+    models = toxicity.fit_chain(numbers, vocabulary, marks, np.arange(len(rows)) % 3)
+    assert len(models[1].dense) == 1 and models[1].dense[0] > 0.3
+    dense = np.zeros((len(rows), 0))
+    for m in models:
+        weight = dict(zip(m.words.tolist(), m.weights))
+        dense = np.c_[dense, [m.base + d @ m.dense + sum(weight.get(x, 0) for x in r.tolist()) for r, d in zip(rows, dense)]]
+    assert np.allclose(toxicity.chain_odds(models, pa.array(texts)), dense)
+
+
+def test_toxicity_trains_later_models_on_unseen_rows(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_linear", lambda bags, rows, dense, y, **how: seen.append((rows, dense.copy())) or toxicity.Linear(np.array([0]), np.array([0.0]), np.zeros(dense.shape[1]), float(len(seen))))
+    monkeypatch.setattr(toxicity, "one_of_copies", lambda rows: np.arange(len(rows)))
+    fold = np.array([0, 0, 0, 1, 1, 2, 2, 2, 2] * 4)
+    bags = toxicity.Bags(np.arange(36, dtype=np.int32), np.arange(1, 37), 36)
+    toxicity.fit_chain(bags, np.arange(36), np.ones((36, 2)), fold)
+    first, *folds, last = seen
+    assert len(first[0]) == len(last[0]) == 36 and first[1].shape[1] == 0
+    for f, (rows, _) in enumerate(folds):  # the value of a row is that of the model fitted without its fold
+        assert rows.tolist() == np.flatnonzero(fold != f).tolist()
+        assert (last[1][fold == f, 0] == f + 2).all()
+
+
+def test_toxicity_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, "grumken ka" if i % 4 == 0 else "lo mi", f"t{i}", i * 1.5) for i in range(40)] + [(40, None, None, None)], "doc_id long, text string, toxic string, p_toxic double")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = toxicity.reject(docs, labels)
+    assert kept.schema == docs.schema
+    left = {r["doc_id"] for r in kept.collect()}
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((tuple(r) for r in docs.collect() if r["doc_id"] in left), key=str)
+    assert "_toxic_" in toxicity.score(docs, labels).columns
 
 
 def test_warc(spark):
@@ -284,10 +445,22 @@ def test_warc(spark):
         again = html == long and r["page_id"] != 7
         assert (r["record_type"], r["refers_to"]) == (("revisit", 7) if again else ("response", None))
         assert r["html"] == (None if again else html)
-    assert warc.resolve_revisits(warc.headers(df.limit(0))).count() == 0
+    assert warc.resolve_revisits(warc.headers(df.limit(0))).count() == 0 and warc.roundtrip(df.limit(0)).count() == 0
+
 
+def test_warc_archives_end_by_bytes(spark, tmp_path):
+    import gzip
 
-def test_decontamination(spark):
+    df = spark.createDataFrame([(i, "u", f"{i}" + "z" * 3000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "a"), archive_bytes=20_000)
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "a").glob("part-*")]
+    assert sum(f.count(b"WARC/1.1\r\n") for f in files) == 40 and max(map(len, files)) <= 20_000
+    dates = {d.decode() for f in files for d in re.findall(rb"WARC-Date: (.*?)\r\n", f)}
+    assert len(dates) == 1 and re.fullmatch(r"20[0-9]{2}-[0-9-]{5}T[0-9:]{8}Z", dates.pop())
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == 40
+
+
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(9)
     items = [text(rng, n) for n in (12, 30, 60, 5)] + ["too short here", None, ""]
     docs = [text(rng, 300) + " " + items[0].upper() + "! " + text(rng, 200), text(rng, 50), items[1], " ".join(items[2].split()[:-8]), " ".join(items[2].split()[:30]), items[3], "too short here", None, ""]
@@ -300,6 +473,11 @@ def test_decontamination(spark):
     kept = decontam.drop_contaminated(df, bench)
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {i for i, *_ in want}
     assert decontam.contained_items(df, bench.limit(0)).count() == decontam.contained_items(df.limit(0), bench).count() == 0
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # documents meet the items over several tasks a hash
+    assert {(r["doc_id"], r["item_id"], r["n_shared"]) for r in decontam.contained_items(df, bench).collect()} == want
+    assert {r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()} == {r["doc_id"] for r in kept.collect()}
+    short = decontam.contained_items(df, bench.filter("item_id = 4"), words=3).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in short} == {(6, 4)}
 
 
 def test_packing(spark, texts):
@@ -323,6 +501,21 @@ def test_packing(spark, texts):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_give_the_ids_of_whole_texts(file, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)  # forgotten again and again
+    rng = random.Random(27)
+    path = public_tokenizers.path(file)
+    ids, of = packing.WordIds(path), Tokenizer.from_file(path)
+    assert (ids.pattern is None) == file.startswith("byte")
+    for _ in range(30):
+        texts = ["".join(rng.choices(["a", "B", "é", "e\u0301", "İ", "ǅ", "ﬁ", " ", "\u00a0", "\n", "'s", "'S", "9", "12", "...", "_", "日", "<|endoftext|>", "\x85", "ß", "Σ", "\u0301"], k=rng.randrange(40))) for _ in range(20)]
+        assert [x.tolist() for x in ids.encode(pa.array(texts, pa.string()))] == [e.ids for e in of.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(1)
     for _ in range(200):
@@ -351,3 +544,103 @@ def test_language(spark):
     assert all(by_page[i]["lang"] == k for i, k in enumerate(["en", "de"] * 20)) and by_page[41]["lang"] == "de"
     assert all(0 < r["p"] <= 1 for r in got)
     assert {r["lang"] for r in langid.identify(pages, docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
+
+
+def test_language_fusion_equals_brute_force(spark):
+    rng = random.Random(35)
+    words = {"en": "the of and with house river stone".split(), "de": "der und mit haus fluss stein nicht".split()}
+    mixed = lambda k: " ".join(rng.choices(words[k] + words["en"][:2], k=8))
+    docs = spark.createDataFrame([(i, mixed(k), k, f"s{i % 3}") for i, k in enumerate(["en", "de"] * 12)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.site.{k}/{k if i % 2 else 'x'}/", f'<html lang="{k}"><p>{mixed(k)}') for i, k in enumerate(["en", "de", "de"] * 6)], "page_id long, url string, html string")
+    langs, weights = langid.train(docs)
+    rows = []
+    for r in [*langid.page_rows(pages).collect(), *langid.document_rows(docs).collect()]:
+        g = langid.grams(langid.visible(bytes(r["text"])) if r["page_id"] is not None else bytes(r["text"]))
+        t = weights[g].mean(axis=0, dtype=np.float64) * min(len(g), langid.TEXT_GRAMS) * langid.TEXT_WEIGHT
+        q = np.exp(t - t.max())
+        rows.append((r, t - t.max(), q / q.sum()))
+    total, S = sum(q for *_, q in rows), langid.SMOOTH
+    whole = total / total.sum()
+    want = {}
+    for r, t, q in rows:
+        same = lambda key: [x for o, _, x in rows if o["host"] is not None and o[key] == r[key]]  # noqa: B023, E731
+        ds, hs = same("domain"), same("host")
+        back = (sum(ds) - q + S * whole) / (len(ds) - 1 + S)
+        z = t + np.log(np.maximum((sum(hs) - q + S * back) / (len(hs) - 1 + S), 1e-9))
+        for kind in ("declared", "suffix", "tag"):
+            own = [x for o, _, x in rows if r[kind] is not None and o[kind] == r[kind]]
+            if len(own) > 1:
+                z = z + np.log((np.maximum(sum(own) - q, 0) + S * (len(own) - 1) / total.sum() + 1e-9) / (np.maximum(total - q, 0) + S))
+        p = np.exp(z - z.max())
+        want[r["doc_id"], r["page_id"]] = (langs[int(z.argmax())], float((p / p.sum()).max()))
+    got = {(r["doc_id"], r["page_id"]): (r["lang"], r["p"]) for r in langid.identify(pages, docs).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+    assert langid.train(docs, most_languages=1)[0] == ["de"]
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """Tables with copies, near copies, toxic words, a benchmark passage and personal data."""
+    rng = random.Random(36)
+    path = tmp_path_factory.mktemp("tables")
+    item = text(rng, 60)
+    docs = [text(rng, 80) for _ in range(40)]
+    docs += [docs[0], docs[1] + " end", text(rng, 40) + " " + item + " " + text(rng, 40), docs[2] + " ann@example.com", None, ""]
+    docs += [text(rng, 60) + " grumk zloty " + text(rng, 20) for _ in range(20)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 46)) for i in range(66) if i % 5], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    return str(path), docs, item
+
+
+def test_pipeline_stage_by_stage(spark, small_tables):
+    import corpus_pipeline
+
+    path, docs, item = small_tables
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    columns, kept = now.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, path)
+        if name != "packing":
+            assert now.columns == columns
+            now = spark.createDataFrame(now.collect(), now.schema)
+            kept.append({r["doc_id"]: r["text"] for r in now.collect()})
+    toxic, joined, clean, redacted = kept
+    assert set(range(66)) - set(toxic) >= set(range(46, 66)) and {*range(44)} <= set(toxic)
+    # 40 copies 0; 41 and 43 are near copies of 1 and 2; rows without words stay
+    assert set(joined) == set(toxic) - {40, 41, 43}
+    assert set(clean) == set(joined) - {42}
+    assert all(redacted[i] == (None if clean[i] is None else pii.redacted(clean[i])) for i in clean)
+    pieces = now.collect()
+    assert {r["doc_id"] for r in pieces} == set(redacted)
+    whole = corpus_pipeline.run(spark, path)
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole.collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pieces)
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, small_tables, tmp_path):
+    import corpus_pipeline
+
+    path, *_ = small_tables
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    clash = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit("x") for c in ("row", "node", "toxic", "p_toxic", "h", "hs", "n", "length")})
+    docs = clash
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == clash.columns, name
+    assert docs.filter("toxic = 'x' AND row = 'x'").count() == docs.count() > 30
+
+
+def test_queries_run_over_given_tables(spark):
+    from pathlib import Path
+
+    from codonlake.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{data}/documents.parquet").count()
+    for name in ("op2_pii_spans", "op4_virtual_slots", "op6_toxicity_chain"):
+        assert queries.QUERIES[name](spark, data).count() == docs
