@@ -35,8 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 RANK_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHED_WORDS = 400_000
-SLICE_BYTES = 8 << 20
+CACHED_WORDS = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -91,12 +91,15 @@ class WordIds:
             suffix, vocabulary = described["model"]["end_of_word_suffix"], self.of.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
+            del vocabulary
+        del described
+        give_back()
         self._forget()
 
     def _forget(self) -> None:
         self.words = pa.array([], pa.string())
         self.parts: dict[str, int] = {}
-        self.ids = np.empty(1 << 20, np.uint32)  # of every part and every word of several parts
+        self.ids = np.empty(1 << 18, np.uint32)  # of every part and every word of several parts
         self.n_ids = 0
         self.word_at, self.part_at = np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)  # start and length
 
@@ -118,8 +121,8 @@ class WordIds:
 
     def _learn_parts(self, parts: list[str]) -> None:
         new = []
-        for at in range(0, len(parts), 50_000):
-            some = parts[at : at + 50_000]
+        for at in range(0, len(parts), 10_000):
+            some = parts[at : at + 10_000]
             ids = self._whole([" ".join(some)])[0]
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
