@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, codes, decontam, jaccard, langid, packing, pii, slots, toxicity, warc
+from . import align_tokens, ann, bpe, chat, codes, decontam, jaccard, langid, packing, pii, slots, toxicity, warc
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_language_evidence(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return align_tokens.align(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_vector_codes(spark, sf_dir):
     return codes.coded_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op3_graph_neighbours, op4_virtual_slots, op5_jaccard_components, op6_toxicity_chain, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences, op10_language_evidence, op12_byte_bpe, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_pii_spans, op3_graph_neighbours, op4_virtual_slots, op5_jaccard_components, op6_toxicity_chain, op7_warc_revisits, op8_benchmark_containment, op9_packed_sequences, op10_language_evidence, op11_token_alignment, op12_byte_bpe, op13_vector_codes)}
 
 ORACLE_SQL = {
     "op5_jaccard_components": r"""
