@@ -44,8 +44,23 @@ def strands_of(source: str = "seqs", keys: str = "seq_id", name: str = "strands"
     UNION ALL SELECT {keys}, '-', length(seq), reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM {source})"""
 
 
+BEFORE, BEHIND = 27, 32
+
+
+def positions_of(keys: str = "seq_id") -> str:
+    """A row a base, with the letters around it (``at``) instead of its strand; '.' beyond the ends."""
+    return f"""pos AS (
+    SELECT {keys}, strand, n, i, substr(p, i + 1, {BEFORE + BEHIND}) AS w
+    FROM (SELECT {keys}, strand, n, repeat('.', {BEFORE}) || s || repeat('.', {BEHIND}) AS p, unnest(range(n)) AS i FROM strands))"""
+
+
+def at(shift: str | int, length: str | int) -> str:
+    """The letters from ``shift`` after a position on."""
+    return f"substr(w, {BEFORE + 1} + {shift}, {length})"
+
+
 def base(source: str = "seqs", keys: str = "seq_id") -> str:
-    return f"WITH {SEQS},\n{strands_of(source, keys)},\npos AS (SELECT {keys}, strand, n, s, unnest(range(n)) AS i FROM strands)"
+    return f"WITH {SEQS},\n{strands_of(source, keys)},\n{positions_of(keys)}"
 
 
 def fwd(start: str, end: str) -> tuple[str, str]:
@@ -53,15 +68,15 @@ def fwd(start: str, end: str) -> tuple[str, str]:
 
 
 def ham(text: str, motif: str) -> str:
-    return f"CASE WHEN length({text}) = {len(motif)} AND instr({text}, 'N') = 0 THEN hamming({text}, '{motif}') ELSE 99 END"
+    return f"CASE WHEN instr({text}, '.') = 0 AND instr({text}, 'N') = 0 THEN hamming({text}, '{motif}') ELSE 99 END"
 
 
 def orfs_sql(longest: bool = False, min_aa: int = 30) -> str:
     start, end = fwd("i", "stop + 3")
     pick = "QUALIFY row_number() OVER (PARTITION BY seq_id, strand, i % 3, stop ORDER BY i) = 1" if longest else ""
     return f"""cod AS (
-    SELECT seq_id, strand, n, s, i, substr(s, i + 1, 3) AS c FROM pos
-    WHERE substr(s, i + 1, 3) IN ('ATG', 'GTG', 'TTG', 'TAA', 'TAG', 'TGA')),
+    SELECT seq_id, strand, i, {at(0, 3)} AS c FROM pos
+    WHERE {at(0, 3)} IN ('ATG', 'GTG', 'TTG', 'TAA', 'TAG', 'TGA')),
 nxt AS (
     SELECT *, min(CASE WHEN c IN ('TAA', 'TAG', 'TGA') THEN i END) OVER (PARTITION BY seq_id, strand, i % 3 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop
     FROM cod),
@@ -70,7 +85,7 @@ orf AS (
     SELECT seq_id, strand, i % 3 + 1 AS frame, {start} AS start, {end} AS "end", stop + 3 - i AS length_nt,
            (stop + 3 - i) // 3 - 1 AS peptide_length_aa, c AS start_codon, substr(s, stop + 1, 3) AS stop_codon,
            substr(s, i + 1, stop + 3 - i) AS sequence, i AS start_index_in_strand, stop AS stop_index_in_strand
-    FROM st WHERE (stop + 3 - i) // 3 - 1 >= {min_aa})"""
+    FROM st JOIN strands USING (seq_id, strand) WHERE (stop + 3 - i) // 3 - 1 >= {min_aa})"""
 
 
 ORF_OUT = 'seq_id, strand, frame, start, "end", length_nt, peptide_length_aa, start_codon, stop_codon, start_index_in_strand, stop_index_in_strand, md5(sequence) AS sequence_md5'
@@ -94,14 +109,14 @@ def nms_sql(name: str, source: str, by: str, a: str, b: str, order: str) -> str:
 def promoters_sql(keys: str = "seq_id") -> str:
     s35, e35 = fwd("i", "i + 6")
     s10, e10 = fwd("i + 6 + sp", "i + 12 + sp")
-    return f"""b35 AS (SELECT {keys}, strand, n, s, i, {ham("substr(s, i + 1, 6)", promoters.BOX35)} AS mm35 FROM pos),
+    return f"""b35 AS (SELECT {keys}, strand, n, w, i, {ham(at(0, 6), promoters.BOX35)} AS mm35 FROM pos),
 b10 AS (
-    SELECT *, {ham("substr(s, i + 7 + sp, 6)", promoters.BOX10)} AS mm10, substr(s, i + 7, sp) AS spacer
+    SELECT *, {ham(at("6 + sp", 6), promoters.BOX10)} AS mm10, {at(6, "sp")} AS spacer
     FROM (SELECT *, unnest(range(16, 20)) AS sp FROM b35 WHERE mm35 <= 2)),
 sc AS (SELECT *, (length(spacer) - length(translate(spacer, 'AT', ''))) / CAST(sp AS DOUBLE) AS atf FROM b10 WHERE mm10 <= 2),
 praw AS (
-    SELECT {keys}, strand, {s35} AS box35_start, {e35} AS box35_end, substr(s, i + 1, 6) AS box35_seq, mm35 AS box35_mismatches,
-           {s10} AS box10_start, {e10} AS box10_end, substr(s, i + 7 + sp, 6) AS box10_seq, mm10 AS box10_mismatches,
+    SELECT {keys}, strand, {s35} AS box35_start, {e35} AS box35_end, {at(0, 6)} AS box35_seq, mm35 AS box35_mismatches,
+           {s10} AS box10_start, {e10} AS box10_end, {at("6 + sp", 6)} AS box10_seq, mm10 AS box10_mismatches,
            sp AS spacing, spacer AS spacer_seq, floor(atf * 1000 + 0.5) / 1000 AS spacer_at_fraction,
            floor((CAST(30 AS DOUBLE) - mm35 * CAST(5 AS DOUBLE) - mm10 * CAST(6 AS DOUBLE) - abs(sp - 17) * CAST(1.5 AS DOUBLE) + atf * CAST(4 AS DOUBLE)) * 1000 + 0.5) / 1000 AS score,
            i AS i35, i + 6 + sp AS i10
@@ -119,8 +134,8 @@ PROM = "strand, box35_start, box35_end, box35_seq, box35_mismatches, box10_start
 def sd_sql(keys: str = "seq_id") -> str:
     start, end = fwd("i - d - 6", "i - d")
     linked, _ = fwd("i", "i + 3")
-    return f"""sc0 AS (SELECT {keys}, strand, n, s, i, substr(s, i + 1, 3) AS c FROM pos WHERE substr(s, i + 1, 3) IN ('ATG', 'GTG', 'TTG') AND n >= 13),
-sc1 AS (SELECT *, substr(s, i - d - 5, 6) AS w FROM (SELECT *, unnest(range(4, 13)) AS d FROM sc0) WHERE i - d - 6 >= 0),
+    return f"""sc0 AS (SELECT {keys}, strand, n, w, i, {at(0, 3)} AS c FROM pos WHERE {at(0, 3)} IN ('ATG', 'GTG', 'TTG') AND n >= 13),
+sc1 AS (SELECT * EXCLUDE (w), {at("(-d - 6)", 6)} AS w FROM (SELECT *, unnest(range(4, 13)) AS d FROM sc0) WHERE i - d - 6 >= 0),
 sc2 AS (
     SELECT *, {ham("w", shine_dalgarno.CONSENSUS)} AS mm,
            CAST(20 AS DOUBLE) - ({ham("w", shine_dalgarno.CONSENSUS)}) * CAST(4 AS DOUBLE) + greatest(CAST(0 AS DOUBLE), 10 - abs(d - 7) * CAST(2 AS DOUBLE))
@@ -137,9 +152,11 @@ SD = 'strand, start, "end", sequence, mismatches, linked_start_codon, linked_sta
 
 
 def t_runs_sql(keys: str = "seq_id") -> str:
-    return f"""runs AS (
-    SELECT {keys}, strand, n, s, i, coalesce(min(CASE WHEN substr(s, i + 1, 1) <> 'T' THEN i END) OVER (PARTITION BY {keys}, strand ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) - i AS run
-    FROM pos)"""
+    """Positions that begin five or more T: consecutive ones form an island, whose last one has exactly five."""
+    return f"""five AS (
+    SELECT {keys}, strand, n, i, substr(w, 1, {BEFORE}) AS w, i - row_number() OVER (PARTITION BY {keys}, strand ORDER BY i) AS island
+    FROM pos WHERE {at(0, 5)} = 'TTTTT'),
+runs AS (SELECT * EXCLUDE (island), max(i) OVER (PARTITION BY {keys}, strand, island) - i + 5 AS run FROM five)"""
 
 
 def terminators_sql(keys: str = "seq_id") -> str:
@@ -148,7 +165,7 @@ def terminators_sql(keys: str = "seq_id") -> str:
     ps, pe = fwd("i", "i + run")
     return f"""{t_runs_sql(keys)},
 arm AS (
-    SELECT *, substr(s, i - 2 * k - l + 1, k) AS le, substr(s, i - k + 1, k) AS ri, substr(s, i - k - l + 1, l) AS loop_seq
+    SELECT *, {at("(-2 * k - l)", "k")} AS le, {at("(-k)", "k")} AS ri, {at("(-k - l)", "l")} AS loop_seq
     FROM (SELECT *, unnest(range(3, 8)) AS l FROM (SELECT *, unnest(range(5, 11)) AS k FROM runs WHERE run >= 5 AND n >= 18))
     WHERE i >= 2 * k + l),
 gc AS (
@@ -241,13 +258,13 @@ def reading_frames(spark, sf_dir):
     return with_md5(strands.frames(sequences(spark, sf_dir)))
 
 
-@query(f"""{base()} SELECT seq_id, strand, i % 3 + 1 AS frame, substr(s, i + 1, 3) AS codon, count(*) AS n FROM pos
-    WHERE substr(s, i + 1, 3) IN ('ATG', 'GTG', 'TTG', 'TAA', 'TAG', 'TGA') GROUP BY ALL""")
+@query(f"""{base()} SELECT seq_id, strand, i % 3 + 1 AS frame, {at(0, 3)} AS codon, count(*) AS n FROM pos
+    WHERE {at(0, 3)} IN ('ATG', 'GTG', 'TTG', 'TAA', 'TAG', 'TGA') GROUP BY ALL""")
 def codon_scan(spark, sf_dir):
     return orfs.codons(sequences(spark, sf_dir)).groupBy("seq_id", "strand", "frame", "codon").agg(F.count("*").alias("n"))
 
 
-MOTIF_AT = "SELECT seq_id, strand, i FROM pos WHERE i + 6 <= n AND hamming(substr(s, i + 1, 6), 'AGGAGG') <= 1"
+MOTIF_AT = f"SELECT seq_id, strand, i FROM pos WHERE i + 6 <= n AND hamming({at(0, 6)}, 'AGGAGG') <= 1"
 
 
 @query(f"{base()} SELECT seq_id, strand, count(*) AS n, min(i) AS first, max(i) AS last FROM ({MOTIF_AT}) GROUP BY seq_id, strand")
@@ -398,7 +415,7 @@ CHUNKS = f"""chunked AS (
     SELECT seq_id, c AS chunk_id, c * {CHUNK - OVERLAP} + 1 AS chunk_start, least(c * {CHUNK - OVERLAP} + {CHUNK}, length(seq)) AS chunk_end, substr(seq, c * {CHUNK - OVERLAP} + 1, {CHUNK}) AS seq
     FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((length(seq) - {CHUNK}) / {CHUNK - OVERLAP}) AS BIGINT)) + 1)) AS c FROM seqs))"""
 CHUNK_KEYS = "seq_id, chunk_id, chunk_start"
-CHUNK_BASE = f"WITH {SEQS},\n{CHUNKS},\n{strands_of('chunked', CHUNK_KEYS)},\npos AS (SELECT {CHUNK_KEYS}, strand, n, s, unnest(range(n)) AS i FROM strands)"
+CHUNK_BASE = f"WITH {SEQS},\n{CHUNKS},\n{strands_of('chunked', CHUNK_KEYS)},\n{positions_of(CHUNK_KEYS)}"
 
 
 def chunk_out(source: str, columns: str, module: str) -> str:
@@ -428,14 +445,14 @@ def chunked_terminators(spark, sf_dir):
 
 
 @query(f"""WITH {SEQS}, win AS (SELECT seq_id, substr(seq, 101, 400) AS seq FROM seqs), {strands_of('win')},
-    pos AS (SELECT seq_id, strand, n, s, unnest(range(n)) AS i FROM strands), {sd_sql()}
+    {positions_of()}, {sd_sql()}
     SELECT seq_id, strand, start + 100 AS start, "end" + 100 AS "end", sequence, mismatches, linked_start_codon, linked_start_position + 100 AS linked_start_position, distance_to_start, score FROM sd""")
 def window_sd_sites(spark, sf_dir):
     return chunks.window_features(sequences(spark, sf_dir), 101, 500, "sd_sites")
 
 
 @query(f"""WITH {SEQS}, win AS (SELECT seq_id, substr(seq, 101, 400) AS seq FROM seqs), {strands_of('win')},
-    pos AS (SELECT seq_id, strand, n, s, unnest(range(n)) AS i FROM strands), {orfs_sql()}
+    {positions_of()}, {orfs_sql()}
     SELECT seq_id, strand, frame, start + 100 AS start, "end" + 100 AS "end", md5(sequence) AS sequence_md5 FROM orf""")
 def window_coding_orfs(spark, sf_dir):
     rows = chunks.window_features(sequences(spark, sf_dir), 101, 500, "coding_orfs")
@@ -468,24 +485,81 @@ def sd_text_report(spark, sf_dir):
 # ---- similarity, tracks, pages, reports ----------------------------------
 
 
-@query(f"""{RANKED},
+MET = f"""{RANKED},
     aa AS (SELECT seq_id, rank, string_agg(coalesce(m[substr(sequence, CAST(3 * k + 1 AS BIGINT), 3)], 'X'), '' ORDER BY k) AS p
            FROM (SELECT *, unnest(range(length(sequence) // 3)) AS k FROM ranked WHERE rank <= 500), (SELECT MAP {{{CODE}}} AS m) GROUP BY ALL),
     pr AS (SELECT seq_id, rank, p, list_distinct(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i, 3))) AS w
            FROM (SELECT seq_id, rank, split_part(p, '*', 1) AS p FROM aa) WHERE p <> ''),
-    met AS (SELECT a.seq_id, a.rank AS i, b.rank AS j, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS x, len(b.w) AS y
-             FROM pr a JOIN pr b ON a.seq_id = b.seq_id AND a.rank < b.rank AND least(length(a.p), length(b.p)) / greatest(length(a.p), length(b.p)) >= 0.8)
-    SELECT seq_id, i, j, c / CAST(x + y - c AS DOUBLE) AS jaccard FROM met WHERE c > 0 AND c / CAST(x + y - c AS DOUBLE) >= 0.5""")
+    met AS (SELECT a.seq_id, a.rank AS i, b.rank AS j, a.p AS pa, b.p AS pb, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS x, len(b.w) AS y
+             FROM pr a JOIN pr b ON a.seq_id = b.seq_id AND a.rank < b.rank AND least(length(a.p), length(b.p)) / greatest(length(a.p), length(b.p)) >= 0.8)"""
+
+
+@query(f"{MET} SELECT seq_id, i, j, c / CAST(x + y - c AS DOUBLE) AS jaccard FROM met WHERE c > 0 AND c / CAST(x + y - c AS DOUBLE) >= 0.5")
 def kmer_jaccard_pairs(spark, sf_dir):
     return similarity.kmer_pairs(similarity.proteins(analysis.Analysis(sequences(spark, sf_dir)).ranked_coding_orfs()))
 
 
-@query()
+def alignment_sql(source: str) -> str:
+    """Global alignments of proteins pa and pb as a fold over anti-diagonals.
+
+    A cell is one number: its score, which way it was reached (diagonal before
+    up before left), and the matches and the length on that way. A protein
+    inside the other needs no table: its alignments reach the score that the
+    lengths allow, which all have its matches and the other's length.
+    """
+    unit, way = 1 << 30, 1 << 28  # of score; of way; matches and length take 14 bits each
+    diagonal = f"s.a[k] + CASE WHEN x[k] = y[d - k] THEN {2 * unit + (1 << 14)} ELSE -{unit} END + {2 * way + 1}"
+    return f"""both_p AS (SELECT *, length(pa) AS n, length(pb) AS m FROM {source}),
+    table_p AS (
+        SELECT seq_id, i, j, list_reduce(range(1, n + m + 1), lambda s, d: {{'a': s.b, 'b': list_transform(list_transform(range(0, n + 1),
+                   lambda k: CASE WHEN d - k BETWEEN 0 AND m THEN greatest({diagonal}, s.b[k] - {2 * unit - way - 1}, s.b[k + 1] - {2 * unit - 1}) END),
+                   lambda v: v - ((v >> 28) & 3) * {way})}}, {{'a': NULL::BIGINT[], 'b': [CAST(0 AS BIGINT)]}}).b[n + 1] AS v
+        FROM (SELECT seq_id, i, j, n, m, string_split(pa, '') AS x, string_split(pb, '') AS y FROM both_p WHERE NOT contains(pa, pb) AND NOT contains(pb, pa))),
+    aligned_p AS (
+        SELECT seq_id, i, j, v >> 30 AS score, (v >> 14) & 16383 AS matches, v & 16383 AS length FROM table_p
+        UNION ALL SELECT seq_id, i, j, 2 * least(n, m) - 2 * abs(n - m), least(n, m), greatest(n, m) FROM both_p WHERE contains(pa, pb) OR contains(pb, pa))"""
+
+
+def clusters_sql(identity: float = 0.9) -> str:
+    """Greedy clusters: a fold over the seeds of a sequence, whose free partners each takes."""
+    free = "list_filter(x.js, lambda j: NOT list_contains(s.taken, j))"
+    return f"""close_p AS (
+        SELECT * FROM met WHERE c / CAST(x + y - c AS DOUBLE) >= 0.5 AND least(length(pa), length(pb)) / greatest(length(pa), length(pb)) >= CAST({identity} AS DOUBLE)),
+    {alignment_sql("close_p")},
+    seeds AS (
+        SELECT seq_id, i AS seed, list(CAST(j AS INTEGER) ORDER BY j) AS js FROM aligned_p WHERE matches / CAST(length AS DOUBLE) >= CAST({identity} AS DOUBLE) GROUP BY seq_id, i),
+    folded AS (
+        SELECT seq_id, list_reduce(list({{'seed': seed, 'js': js}} ORDER BY seed),
+            lambda s, x: CASE WHEN list_contains(s.taken, x.seed) OR len({free}) = 0 THEN s
+                              ELSE {{'taken': list_concat(s.taken, [x.seed], {free}), 'found': list_concat(s.found, [{{'seed': x.seed, 'js': {free}}}])}} END,
+            {{'taken': []::INTEGER[], 'found': []::STRUCT(seed INTEGER, js INTEGER[])[]}}).found AS found
+        FROM seeds GROUP BY seq_id),
+    stars AS (SELECT seq_id, unnest(range(1, len(found) + 1)) AS cluster_id, unnest(found) AS f FROM folded)"""
+
+
+@query(f"""{MET}, {clusters_sql()},
+    members AS (
+        SELECT seq_id, cluster_id, f.seed AS seed, unnest(list_concat([f.seed], f.js)) AS rank FROM stars),
+    full_m AS (SELECT m.cluster_id, m.seed, r.* FROM members m JOIN ranked r ON m.seq_id = r.seq_id AND m.rank = r.rank)
+    SELECT seq_id, cluster_id, CAST(90 AS DOUBLE) AS identity_threshold, count(*) AS orf_count, 'ORF_' || min_by(rank, (-total_score, rank)) AS best_orf_uid,
+           min_by(start, (-total_score, rank)) AS best_orf_start, min_by("end", (-total_score, rank)) AS best_orf_end, min_by(strand, (-total_score, rank)) AS best_orf_strand,
+           max(total_score) AS best_orf_score, string_agg('ORF_' || rank, ',' ORDER BY rank) AS members
+    FROM full_m GROUP BY seq_id, cluster_id""")
 def orf_clusters(spark, sf_dir):
     rows = analysis.Analysis(sequences(spark, sf_dir)).orf_clusters()
     return rows.withColumn("members", F.array_join(F.transform("orfs", lambda o: o["orf_uid"]), ",")).drop("orfs", "alignments")
 
 
+@query(f"""{MET}, {clusters_sql()},
+    taken AS (SELECT seq_id, cluster_id, f.seed AS i, unnest(f.js) AS j FROM stars)
+    SELECT t.seq_id, cluster_id, 'ORF_' || i AS orf_uid_1, 'ORF_' || j AS orf_uid_2, CAST(score AS INTEGER) AS alignment_score, CAST(matches AS INTEGER) AS matches, CAST(length AS INTEGER) AS alignment_length
+    FROM taken t JOIN aligned_p USING (seq_id, i, j)""")
+def cluster_alignments(spark, sf_dir):
+    """The global alignment of each cluster's seed with its other members."""
+    rows = analysis.Analysis(sequences(spark, sf_dir)).orf_clusters().select("seq_id", "cluster_id", F.inline("alignments"))
+    return rows.select("seq_id", "cluster_id", "orf_uid_1", "orf_uid_2", "alignment_score", "matches", "alignment_length")
+
+
 @query(f"""{base()}, {promoters_sql()}, {promoter_nms()}, {terminators_sql()}, {terminator_nms()},
     iv AS (SELECT seq_id, strand, 2 AS k, 'box35' AS type, box35_start AS a, box35_end AS b FROM prom
            UNION ALL SELECT seq_id, strand, 3, 'box10', box10_start, box10_end FROM prom
