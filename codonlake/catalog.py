@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .functions import dna
-from .operators import chunks, orfs, promoters, ranking, reports, shine_dalgarno, similarity, strands, terminators, tracks
-from .plans import analysis
+from .operators import chunks, document, orfs, promoters, ranking, reports, shine_dalgarno, similarity, strands, terminators, tracks
+from .operators.ranks import with_rank
+from .plans import analysis, stored_run
 from .plans.derived import SQL as SEQS
 from .plans.derived import sequences
 from .sources import fasta, scratch
-from .sources.results import page
+from .sources.results import ResultStore, page
 
 QUERIES, ORACLE_SQL = {}, {}
 CHUNK, OVERLAP = 1500, 200
@@ -328,7 +328,7 @@ def promoter_hits(spark, sf_dir):
     FROM prom QUALIFY rank <= 5""")
 def promoter_top(spark, sf_dir):
     hits = promoters.promoters(sequences(spark, sf_dir))
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("seq_id").orderBy(*promoters.order()))).filter("rank <= 5")
+    return with_rank(hits, ["seq_id"], promoters.order()).filter("rank <= 5")
 
 
 @query(f"{base()}, {sd_sql()} SELECT seq_id, {SD} FROM sd")
@@ -462,7 +462,7 @@ def window_coding_orfs(spark, sf_dir):
 @query(f"""{base()}, {terminators_sql()}, {terminator_nms()} SELECT seq_id, {TERM}, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, poly_t_length DESC, stem_length DESC, mismatches, loop_length, CASE strand WHEN '+' THEN 0 ELSE 1 END, least(stem_left_start, poly_t_start), poly_t_start, stem_left_start) AS INTEGER) AS rank FROM term""")
 def terminators_in_order(spark, sf_dir):
     hits = terminators.terminators(sequences(spark, sf_dir))
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("seq_id").orderBy(*terminators.order(), "poly_t_start", "stem_left_start")))
+    return with_rank(hits, ["seq_id"], [*terminators.order(), F.asc("poly_t_start"), F.asc("stem_left_start")])
 
 
 def report_sql(kind: str, source: str, order: str) -> str:
@@ -590,3 +590,134 @@ def double_strand_blocks(spark, sf_dir):
 def sd_report(spark, sf_dir):
     rows = shine_dalgarno.sd_sites(sequences(spark, sf_dir))
     return reports.feature_lines(rows, "Site", [*shine_dalgarno.order(), F.asc("linked_start_position")], ["strand", "start", "sequence"])
+
+
+# ---- viewports, documents, stored runs, single values --------------------
+
+VIEW, SHIFT = 240, 200
+
+
+@query(f"""{base()}, {orfs_sql()}, {sd_sql()}, {promoters_sql()}, {promoter_nms()}, {terminators_sql()}, {terminator_nms()},
+    iv AS (SELECT seq_id, strand, 'orf' AS type, start, "end" FROM orf
+           UNION ALL SELECT seq_id, strand, 'shineDalgarno', start, "end" FROM sd
+           UNION ALL SELECT seq_id, strand, 'startCodon', linked_start_position, linked_start_position + 2 FROM sd
+           UNION ALL SELECT seq_id, strand, 'box35', box35_start, box35_end FROM prom
+           UNION ALL SELECT seq_id, strand, 'box10', box10_start, box10_end FROM prom
+           UNION ALL SELECT seq_id, strand, 'terminatorLeft', stem_left_start, stem_left_end FROM term
+           UNION ALL SELECT seq_id, strand, 'terminatorRight', stem_right_start, stem_right_end FROM term
+           UNION ALL SELECT seq_id, strand, 'polyT', poly_t_start, poly_t_end FROM term),
+    views AS (SELECT seq_id, v AS range_id, v * {SHIFT} + 1 AS first, least(v * {SHIFT} + {VIEW}, n) AS last
+              FROM (SELECT seq_id, length(seq) AS n, unnest(range((length(seq) - 1) // {SHIFT} + 1)) AS v FROM seqs))
+    SELECT v.seq_id, range_id, strand, type, count(*) AS n, min(greatest(start, first)) AS first_shown, max(least("end", last)) AS last_shown, sum(least("end", last) - greatest(start, first) + 1)::BIGINT AS bases
+    FROM views v JOIN iv ON v.seq_id = iv.seq_id AND start <= last AND "end" >= first GROUP BY ALL""")
+def visible_tracks(spark, sf_dir):
+    """Tracks of all four kinds of features in overlapping viewports along each sequence."""
+    seqs = sequences(spark, sf_dir)
+    found = {"coding_orfs": orfs.coding_orfs(seqs), "sd_sites": shine_dalgarno.sd_sites(seqs), "promoters": promoters.promoters(seqs), "terminators": terminators.terminators(seqs)}
+    rows = [tracks.tracks(features, module) for module, features in found.items()]
+    n = F.length("seq").cast("long")
+    views = seqs.select("seq_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SHIFT))).alias("range_id"))
+    views = views.select("seq_id", "range_id", (F.col("range_id") * SHIFT + 1).alias("first"), F.least(F.col("range_id") * SHIFT + VIEW, "n").alias("last"))
+    seen = tracks.visible_in(views, rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
+    bases = F.sum(F.col("shown_end") - F.col("shown_start") + 1)
+    return seen.groupBy("seq_id", "range_id", "strand", "type").agg(F.count("*").alias("n"), F.min("shown_start").alias("first_shown"), F.max("shown_end").alias("last_shown"), bases.alias("bases"))
+
+
+def item_sql(section: str, columns: str) -> str:
+    """An item of a document as SQL: its labels, templates and double strands."""
+    heading, name, lines = document.SECTIONS[section]
+    known, width = columns.replace('"', "").split(", "), document.WIDTH
+    size = f"least({width}, length(sequence) - o)"
+    span = f"(o + 1) || '-' || (o + {size})"
+    block = f"'    5'' ' || substr(sequence, o + 1, {width}) || ' 3''   [' || {span} || ']' || chr(10) || '       ' || repeat('|', CAST({size} AS INT)) || chr(10) || '    3'' ' || translate(substr(sequence, o + 1, {width}), 'ACGTN', 'TGCAN') || ' 5''' || chr(10) || chr(10)"
+
+    def value(m):
+        column = f'CAST("{m[1]}" AS VARCHAR)'
+        column = f"regexp_replace({column}, '[.]0$', '')" if m[1] in ("score", "spacer_at_fraction") else column
+        return f"' || coalesce(nullif({column}, ''), '{m[2] or document.NOTHING}') || '"
+
+    text = [f"'{heading}' || chr(10) || '{document.RULE}'" if name is None else f"'{name} ' || item"]
+    for label, template in lines:
+        if template is None:
+            text.append(f"'  {label}:' || chr(10) || array_to_string(list_transform(range(0, length(sequence), {width}), lambda o: {block}), '') ")
+        elif all(c in known for c in document.columns_of(template)):
+            text.append(f"'  {label}: " + re.sub(r"[{](\w+)(?:[?]([^}]*))?[}]", value, template) + "' || chr(10)")
+    return text[0] + " || chr(10) || " + " || ".join(text[1:]) + " || chr(10)"
+
+
+#: By section of a document: its source, its columns, and the order of its items.
+DOCUMENT = {
+    "orfs": ("frames6", 'strand, frame, start, "end", length_nt, peptide_length_aa, sequence', "CASE strand WHEN '+' THEN 0 ELSE 1 END, frame"),
+    "coding_orfs": ("orf", 'strand, frame, start, "end", length_nt, peptide_length_aa, start_codon, stop_codon, sequence', f"{ORF_ORDER}, frame"),
+    "promoters": ("prom", PROM, "score DESC, box10_mismatches, box35_mismatches, abs(spacing - 17), CASE strand WHEN '+' THEN 0 ELSE 1 END, least(box35_start, box10_start), box35_start, box10_start"),
+    "terminators": ("term", TERM, "score DESC, poly_t_length DESC, stem_length DESC, mismatches, loop_length, CASE strand WHEN '+' THEN 0 ELSE 1 END, least(stem_left_start, poly_t_start), poly_t_start, stem_left_start"),
+    "shine_dalgarno": ("sd", SD, "score DESC, mismatches, abs(distance_to_start - 7), CASE linked_start_codon WHEN 'ATG' THEN 0 WHEN 'GTG' THEN 1 ELSE 2 END, CASE strand WHEN '+' THEN 0 ELSE 1 END, start, linked_start_position"),
+}
+FRAMES6 = f"""frames6 AS (
+    SELECT seq_id, strand, o + 1 AS frame, {fwd("o", "o + u")[0]} AS start, {fwd("o", "o + u")[1]} AS "end", u AS length_nt, u // 3 AS peptide_length_aa, substr(s, o + 1, u) AS sequence
+    FROM (SELECT *, n - o - (n - o) % 3 AS u FROM (SELECT *, unnest(range(3)) AS o FROM strands)) WHERE u >= 3)"""
+
+
+def document_sql() -> str:
+    title = " || chr(10) || ".join(f"'{x}'" for x in document.TITLE)
+    parts = [f"SELECT seq_id, 0 AS section, 0 AS item, {title} || chr(10) || chr(10) AS text FROM seqs"]
+    for section, (source, columns, order) in DOCUMENT.items():
+        k, ranked = document.ORDER[section], f"(SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY {order}) AS item FROM {source})"
+        parts.append(f"SELECT seq_id, {k}, item, {item_sql(section, columns)} FROM {ranked}")
+        if section == "coding_orfs":
+            parts.append(f"SELECT seq_id, {document.ORDER['best']}, item, {item_sql('best', columns)} FROM {ranked} WHERE item = 1")
+        parts.append(f"SELECT seqs.seq_id, {k}, 0, '{document.SECTIONS[section][0]} (' || count(x.seq_id) || ')' || chr(10) || '{document.RULE}' || chr(10) FROM seqs LEFT JOIN {source} x ON x.seq_id = seqs.seq_id GROUP BY seqs.seq_id")
+    return f"""doc AS ({" UNION ALL ".join(parts)}),
+    trimmed AS (SELECT *, CASE WHEN (section, item) = max((section, item)) OVER (PARTITION BY seq_id) THEN regexp_replace(text, '\\s+$', '') ELSE text END AS t FROM doc)
+    SELECT seq_id, CAST(section AS INTEGER) AS section, CAST(item AS INTEGER) AS item, CAST(length(t) AS INTEGER) AS length, md5(t) AS text_md5 FROM trimmed"""
+
+
+@query(f"{FEATURES}, {FRAMES6}, {document_sql()}")
+def result_document(spark, sf_dir):
+    """The parts of every sequence's result document, in order."""
+    seqs = sequences(spark, sf_dir)
+    found = {"orfs": strands.frames(seqs), "coding_orfs": orfs.coding_orfs(seqs), "promoters": promoters.promoters(seqs), "terminators": terminators.terminators(seqs), "shine_dalgarno": shine_dalgarno.sd_sites(seqs)}
+    return document.document(seqs, found).select("seq_id", "section", "item", F.length("text").alias("length"), F.md5("text").alias("text_md5"))
+
+
+def counted(name: str) -> str:
+    return f"(SELECT count(*) FROM ({ORACLE_SQL[name]}))"
+
+
+@query(f"""SELECT module, status, CAST(rows AS BIGINT) AS rows, CAST(again AS BIGINT) AS again FROM (VALUES
+    ('coding_orfs', 'done', {counted("coding_orfs")}, 0), ('promoters', 'done', {counted("chunked_promoters")}, 0), ('shine_dalgarno', 'done', {counted("chunked_sd_sites")}, 0),
+    ('terminators', 'done', {counted("chunked_terminators")}, 0), ('ranking', 'done', {counted("coding_orfs")}, 0), ('aligned_orfs', 'pending', 0, 0)) t(module, status, rows, again)""")
+def stored_states(spark, sf_dir):
+    """A stored run: the state of its modules, their rows, and which of them a second run works on."""
+    store = ResultStore(spark, scratch.fresh(spark, "results"))
+    run = stored_run.StoredRun(store, sequences(spark, sf_dir), chunk_size=CHUNK, overlap=OVERLAP)
+    name = run.begin()
+    run.run(name)
+    again = run.run(name)
+    held = {"ranking": "ranked_coding_orfs", "aligned_orfs": "orf_alignment"}
+    rows = [(m, s, store.count(name, held.get(m, m)), int(m in again)) for m, s in store.get(name)["modules"].items()]
+    return spark.createDataFrame(rows, "module string, status string, rows long, again long")
+
+
+@query(f"""WITH {SEQS}, p AS (SELECT seq_id, seq, length(seq) AS n, seq_id % 50 - 5 AS k FROM seqs)
+    SELECT seq_id, CAST(hamming(substr(seq, 41, 30), substr(seq, 45, 30)) AS INTEGER) AS shifted, CAST(CASE WHEN k >= 0 AND k + 6 <= n THEN hamming(substr(seq, k + 1, 6), 'TTGACA') ELSE -1 END AS INTEGER) AS motif,
+           substr(seq, greatest(k, 0) + 1, greatest(least(k + 9, n) - greatest(k, 0), 0)) AS fragment, md5(regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')) AS wrapped_md5,
+           CAST(CASE WHEN k >= 20 THEN 5 WHEN k >= 15 THEN 4 WHEN k >= 10 THEN 3 WHEN k >= 5 THEN 2 ELSE 1 END AS INTEGER) AS stars, CASE WHEN n <= 5000 THEN md5(seq) ELSE md5(substr(seq, 1, 5000) || '...') END AS preview_md5,
+           CASE WHEN seq_id % 2 = 0 THEN k + 2 ELSE k END || '-' || CASE WHEN seq_id % 2 = 0 THEN k ELSE k + 2 END AS shown_codon,
+           len(list_intersect(list_transform(range(41, 69), lambda i: substr(seq, i, 3)), list_transform(range(61, 89), lambda i: substr(seq, i, 3)))) / CAST(len(list_distinct(list_transform(list_concat(range(41, 69), range(61, 89)), lambda i: substr(seq, i, 3)))) AS DOUBLE) AS jaccard
+    FROM p""")
+def single_values(spark, sf_dir):
+    """Distances, fragments, wrapping, stars, previews, shown codons and set similarity of each sequence."""
+    s, k = F.col("seq"), F.col("seq_id") % 50 - 5
+    some = lambda at: F.substring(s, at, 30)
+    return sequences(spark, sf_dir).select(
+        "seq_id",
+        dna.hamming(some(41), some(45)).cast("int").alias("shifted"),
+        dna.motif_mismatches_at(s, k, "TTGACA").alias("motif"),
+        dna.fragment(s, k, k + 9).alias("fragment"),
+        F.md5(dna.wrapped(s, 80)).alias("wrapped_md5"),
+        dna.stars(k).alias("stars"),
+        F.md5(dna.preview(s, 5_000)).alias("preview_md5"),
+        tracks.display_codon_range(F.when(F.col("seq_id") % 2 == 0, "-").otherwise("+"), k).alias("shown_codon"),
+        dna.jaccard(dna.kmers(some(41)), dna.kmers(some(61))).alias("jaccard"),
+    )

@@ -1,27 +1,92 @@
 """Greedy non-maximum suppression over intervals, without UDFs.
 
-Decisions never cross a gap that no interval covers, so intervals are first cut
-into islands; each island is folded in order of preference by one expression.
+Decisions never cross a gap that no interval covers, so intervals are cut into
+islands, block by block of positions: no window or group is larger than a
+block. Islands inside one block are folded in order of preference by one
+expression. Islands that reach over a block's end, or that have very many
+intervals, go by rounds: what is better than all that overlaps it stays, what
+overlaps something that stays goes, until nothing is left. Both give what a
+greedy pass gives.
+
+A round is a join by bins as wide as the longest interval. Random preferences
+take a few rounds; intervals that are each a little worse than their
+predecessor take a round for every two of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
+BLOCK = 1 << 16
+ISLAND = 1_000
 
-def keep_best(hits: DataFrame, within: list[str], start: str, end: str, order: list) -> DataFrame:
+
+def keep_best(hits: DataFrame, within: list[str], start: str, end: str, order: list, block: int = BLOCK, most: int = ISLAND) -> DataFrame:
     """Rows of ``hits`` kept when taken by ``order``, each if it overlaps none kept before.
 
-    Intervals are inclusive; ``order`` must be total within a group of ``within``.
+    Intervals are inclusive; ``order`` must be total within a group of
+    ``within``. ``hits`` are stored when this is called.
     """
-    by = W.partitionBy(*within).orderBy(start, end, *order)
-    reach = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
-    rows = hits.withColumn("_new", F.when(reach >= F.col(start), 0).otherwise(1))
-    rows = rows.withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-    keyed = F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)], *[F.col(c) for c in hits.columns])
-    groups = rows.groupBy(*within, "_island").agg(F.array_sort(F.collect_list(keyed)).alias("_hits"))
+    names = [f"_k{i}" for i in range(len(order))]
+    rows = hits.withColumns({c: o for c, o in zip(names, order)} | {"_block": F.floor(F.col(start) / block)})
+    rows = stored(rows, "hits")
+    by = W.partitionBy(*within, "_block").orderBy(start, end, *names)
+    fresh = F.when(F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1)) >= F.col(start), 0).otherwise(1)
+    rows = rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    island = [*within, "_block", "_island"]
+    hard = _hard_islands(rows, within, start, end, block, most)
+    if hard.isEmpty():
+        return _folded(rows, island, start, end, names).select(hits.columns)
+    same = [F.col(c).eqNullSafe(F.col(f"_h{k}")) for k, c in enumerate(island)]
+    hard = hard.toDF(*[f"_h{k}" for k in range(len(island))])
+    easy = _folded(rows.join(hard, same, "left_anti"), island, start, end, names)
+    rest = _by_rounds(rows.join(hard, same, "left_semi").drop("_block", "_island"), within, start, end, names)
+    return easy.select(hits.columns).unionByName(rest.select(hits.columns))
+
+
+def _hard_islands(rows: DataFrame, within: list[str], start: str, end: str, block: int, most: int) -> DataFrame:
+    """Islands of more than ``most`` rows, and those that may go on in another block."""
+    islands = rows.groupBy(*within, "_block", "_island").agg(F.count("*").alias("_n"), F.min(start).alias("_a"), F.max(end).alias("_b"))
+    before = W.partitionBy(*within).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    place = [*within, "_block"]
+    reach = islands.groupBy(*place).agg(F.max("_b").alias("_b")).withColumn("_reach", F.max("_b").over(before))
+    reach = reach.select(*[F.col(c).alias(f"_r{k}") for k, c in enumerate(place)], "_reach")
+    rows = islands.join(reach, [F.col(c).eqNullSafe(F.col(f"_r{k}")) for k, c in enumerate(place)])
+    return rows.filter((F.col("_n") > most) | (F.col("_b") >= (F.col("_block") + 1) * block) | (F.col("_a") <= F.col("_reach"))).select(*place, "_island")
+
+
+def _folded(rows: DataFrame, island: list[str], start: str, end: str, names: list[str]) -> DataFrame:
+    keyed = F.struct(*names, F.struct(*rows.columns).alias("_row"))
+    groups = rows.groupBy(*island).agg(F.array_sort(F.collect_list(keyed)).alias("_hits"))
+    hits = F.transform("_hits", lambda h: h["_row"])
     over = lambda a, b: (a[start] <= b[end]) & (b[start] <= a[end])
-    fold = F.aggregate("_hits", F.filter("_hits", lambda h: F.lit(False)), lambda kept, h: F.when(F.exists(kept, lambda k: over(k, h)), kept).otherwise(F.concat(kept, F.array(h))))
-    return groups.select(F.inline(fold)).select(hits.columns)
+    fold = F.aggregate(hits, F.filter(hits, lambda h: F.lit(False)), lambda kept, h: F.when(F.exists(kept, lambda k: over(k, h)), kept).otherwise(F.concat(kept, F.array(h))))
+    return groups.select(F.inline(fold))
+
+
+def _by_rounds(rows: DataFrame, within: list[str], start: str, end: str, names: list[str]) -> DataFrame:
+    """The same decisions by rounds of local maxima; of equal intervals only the best takes part."""
+    best = F.min_by(F.struct(*rows.columns), F.struct(*names))
+    live = stored(rows.groupBy(*within, start, end).agg(best.alias("_r")).select("_r.*"), "live")
+    width = live.agg(F.max(F.col(end) - F.col(start)) + 1).first()[0]
+    kept, empty = [], live.limit(0)
+
+    def near(a: DataFrame, b: DataFrame, better: bool, how: str) -> DataFrame:
+        """Rows of ``a`` that overlap (or do not, by ``how``) a row of ``b``, a better one if so asked."""
+        first, last = F.floor((F.col(start) - width + 1) / width), F.floor(F.col(end) / width)
+        other = b.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(within)], F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(*names).alias("_o"), F.explode(F.sequence(first, last)).alias("_bin"))
+        on = [F.col(c).eqNullSafe(F.col(f"_o{k}")) for k, c in enumerate(within)]
+        on += [F.floor(F.col(start) / width) == F.col("_bin"), F.col(start) <= F.col("_e"), F.col("_s") <= F.col(end)]
+        return a.join(other, [*on, F.col("_o") < F.struct(*names)] if better else on, how)
+
+    while not live.isEmpty():
+        stay = stored(near(live, live, True, "left_anti"), "stay")
+        kept.append(stay)
+        live = stored(near(live, stay, False, "left_anti"), "live")
+    return reduce(DataFrame.unionByName, kept, empty)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .ranks import with_rank
 from .strands import KEYS
 
 CLIP = 90
@@ -21,9 +21,8 @@ def clipped(text):
 def feature_lines(rows: DataFrame, title: str, order: list, fields: list[str] | None = None, keys=KEYS) -> DataFrame:
     """(keys, rank, line): a line for each feature, in biological order within a sequence."""
     fields = fields or [c for c in rows.columns if c not in keys]
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     shown = [F.concat(F.lit(f"{c}: "), F.coalesce(clipped(F.col(c).cast("string")), F.lit("Not found"))) for c in fields]
-    return rows.withColumn("rank", rank).select(*keys, "rank", F.concat(F.lit(f"{title} "), F.col("rank").cast("string"), F.lit(" | "), F.concat_ws(" | ", *shown)).alias("line"))
+    return with_rank(rows, keys, order).select(*keys, "rank", F.concat(F.lit(f"{title} "), F.col("rank").cast("string"), F.lit(" | "), F.concat_ws(" | ", *shown)).alias("line"))
 
 
 #: For each report: what is counted, what one is called, what stands where there is none, and its lines of
@@ -119,9 +118,8 @@ def report(features: DataFrame, kind: str, order: list, sequences: DataFrame, ke
     feature in ``order`` stands at rank n, its lines in one.
     """
     what, one, none, lines = REPORTS[kind]
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     body = F.concat(F.lit(f"{one} "), F.col("rank").cast("string"), *[F.concat(F.lit(f"\n  {label}"), _filled(template)) for label, template in lines], F.lit("\n"))
-    rows = features.withColumn("rank", rank).select(*keys, "rank", body.alias("line"))
+    rows = with_rank(features, keys, order).select(*keys, "rank", body.alias("line"))
     counts = sequences.select(*keys).join(features.groupBy(*keys).agg(F.count("*").alias("n")), list(keys), "left")
     head = F.when(F.col("n") > 0, F.concat(F.lit("Detected "), F.col("n").cast("string"), F.lit(f" {what}:\n"))).otherwise(F.lit(none))
     return rows.unionByName(counts.select(*keys, F.lit(0).alias("rank"), head.alias("line")))

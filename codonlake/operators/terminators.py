@@ -11,19 +11,40 @@ from .nms import keep_best
 from .strands import KEYS, look, positions
 
 
-def t_runs(sequences: DataFrame, min_poly_t: int = 5, context: int = 27, keys=KEYS) -> DataFrame:
+BLOCK = 1 << 16
+
+
+def t_runs(sequences: DataFrame, min_poly_t: int = 5, context: int = 27, keys=KEYS, block: int = BLOCK) -> DataFrame:
     """(keys, strand, n, i, run, before): positions that begin ``min_poly_t`` or more T.
 
     Consecutive such positions form an island whose last one has exactly
-    ``min_poly_t`` T, which gives each its run, however long. ``before`` are the
+    ``min_poly_t`` T, which gives each its run, however long. Islands are found
+    in blocks of positions; one that ends with its block goes on to where the
+    island at the beginning of the next block ends. ``before`` are the
     ``context`` letters ahead of the position.
     """
     rows = positions(sequences, context, min_poly_t, keys).filter(look(F.col("at"), 0, min_poly_t) == "T" * min_poly_t)
-    rows = rows.select(*keys, "strand", "n", "i", look(F.col("at"), -context, context).alias("before"))
-    by = W.partitionBy(*keys, "strand").orderBy("i")
-    rows = rows.withColumn("_island", F.col("i") - F.row_number().over(by))
-    last = F.max("i").over(W.partitionBy(*keys, "strand", "_island"))
-    return rows.withColumn("run", last - F.col("i") + min_poly_t).drop("_island")
+    rows = rows.select(*keys, "strand", "n", "i", look(F.col("at"), -context, context).alias("before"), F.floor(F.col("i") / block).alias("_block"))
+    here = [*keys, "strand", "_block"]
+    rows = rows.withColumn("_island", F.col("i") - F.row_number().over(W.partitionBy(*here).orderBy("i")))
+    rows = rows.withColumn("_last", F.max("i").over(W.partitionBy(*here, "_island"))).drop("_island")
+    ends = _carried(rows.filter(F.col("i") == F.col("_block") * block).select(*here, "_last"), keys, block)
+    goes_on = F.when(F.col("_last") == (F.col("_block") + 1) * block - 1, F.col("_block") + 1)
+    rows = rows.withColumn("_next", goes_on).join(ends, [*keys, "strand", "_next"], "left")
+    return rows.withColumn("run", F.coalesce("_end", "_last") - F.col("i") + min_poly_t).drop("_block", "_last", "_next", "_end")
+
+
+def _carried(starts: DataFrame, keys, block: int) -> DataFrame:
+    """(keys, strand, _next, _end): where the island at the beginning of block _next ends, across blocks that it fills.
+
+    ``starts`` has a row for each block that begins inside an island.
+    """
+    strand = [*keys, "strand"]
+    rows = starts.withColumn("_chain", F.col("_block") - F.row_number().over(W.partitionBy(*strand).orderBy("_block")))
+    fills = F.col("_last") == (F.col("_block") + 1) * block - 1
+    after = W.partitionBy(*strand, "_chain").orderBy("_block").rowsBetween(0, W.unboundedFollowing)
+    first_short = F.min(F.when(~fills, F.struct("_block", "_last"))).over(after)
+    return rows.select(*strand, F.col("_block").alias("_next"), F.coalesce(first_short["_last"], F.max("_last").over(after)).alias("_end"))
 
 
 def raw_terminators(

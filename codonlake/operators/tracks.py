@@ -28,6 +28,22 @@ def visible(intervals: DataFrame, start: int, end: int) -> DataFrame:
     return intervals.filter((F.col("start") <= end) & (F.col("end") >= start))
 
 
+def visible_in(ranges: DataFrame, intervals: DataFrame, width: int = 1_000, keys=KEYS) -> DataFrame:
+    """(keys, range_id, strand, type, start, end, shown_start, shown_end): what overlaps each visible range.
+
+    ``ranges`` are (keys, range_id, first, last), inclusive. Both sides meet in
+    bins of ``width`` places, and each pair is kept in the first bin that both
+    are in. Intervals may run either way; what is shown is clipped to the range.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
+    a = ranges.filter("first <= last").select(*keys, "range_id", "first", "last", bins(F.col("first"), F.col("last")).alias("_bin"))
+    placed = intervals.filter("start IS NOT NULL AND end IS NOT NULL").withColumns({"_low": F.least("start", "end"), "_high": F.greatest("start", "end")})
+    b = placed.withColumn("_bin", bins(F.col("_low"), F.col("_high")))
+    met = a.join(b, [*keys, "_bin"]).filter((F.col("_low") <= F.col("last")) & (F.col("_high") >= F.col("first")))
+    met = met.filter(F.col("_bin") == F.floor(F.greatest("_low", "first") / width))
+    return met.select(*keys, "range_id", "strand", "type", "start", "end", F.greatest("_low", "first").alias("shown_start"), F.least("_high", "last").alias("shown_end"))
+
+
 def covered_positions(intervals: DataFrame, keys=KEYS) -> DataFrame:
     """(keys, strand, position, type): the foremost type at every covered position."""
     order = F.create_map(*[F.lit(x) for k, t in enumerate(PRIORITY) for x in (t, k)])

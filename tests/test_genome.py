@@ -1,5 +1,6 @@
 """Detectors against plain Python written from their rules, and boundary cases."""
 
+import bisect
 import random
 
 import pytest
@@ -268,3 +269,114 @@ def test_tracks(spark):
 def test_frames(spark):
     rows = strands.frames(sequences(spark, ["ACGTA", "AC"])).collect()
     assert len(rows) == 6 and all(r["length_nt"] == 3 for r in rows)
+
+
+def greedy(rows):
+    """Names kept of (group, name, a, b, score): best first, those that overlap none kept before."""
+    kept, at = set(), {}
+    for g, n, a, b, _ in sorted(rows, key=lambda r: (-r[4], r[1])):
+        starts, ends = at.setdefault(g, ([], []))
+        k = bisect.bisect_right(starts, b)
+        if not k or ends[k - 1] < a:
+            starts.insert(k, a)
+            ends.insert(k, b)
+            kept.add((g, n))
+    return kept
+
+
+@pytest.mark.parametrize(("block", "most"), [(1 << 16, 1_000), (64, 1_000), (1 << 16, 3), (50, 0)])
+def test_suppression_by_blocks_and_rounds(spark, block, most):
+    from codonlake.operators.nms import keep_best
+
+    rng = random.Random(block + most)
+    rows = [(g, n, a := rng.randrange(2000), a + rng.randrange(0, 90 if n % 50 else 400), rng.randrange(30)) for g in (1, 2) for n in range(300)]
+    rows += [(3, n, 10 * n, 10 * n + 12, 100 - n) for n in range(20)] + [(4, n, 5, 9, 1) for n in range(40)]  # a chain, and equal ones
+    df = spark.createDataFrame(rows, "g long, n long, a long, b long, score long")
+    got = [(r["g"], r["n"]) for r in keep_best(df, ["g"], "a", "b", [-F.col("score"), F.col("n")], block, most).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
+
+
+def test_suppression_of_one_long_island(spark):
+    from codonlake.operators.nms import keep_best
+
+    n = 60_000
+    df = spark.range(n).select(F.lit("s").alias("g"), F.col("id").alias("n"), (F.col("id") * 3).alias("a"), (F.col("id") * 3 + 20 + F.col("id") % 11).alias("b"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("score"))
+    rows = [tuple(r) for r in df.collect()]
+    got = {(r["g"], r["n"]) for r in keep_best(df, ["g"], "a", "b", [-F.col("score"), F.col("n")]).collect()}
+    assert got == greedy(rows)
+
+
+def test_runs_across_blocks(spark):
+    seqs = ["ACG" + "T" * 23 + "A" + "T" * 8 + "CTTTTTC" + "T" * 40, "T" * 64, "T" * 16, "A" * 16 + "T" * 16 + "A", "TTTT", "G" * 9 + "T" * 7 + "G" * 16 + "T" * 5]
+    plain = {(r["seq_id"], r["strand"], r["i"]): r["run"] for r in terminators.t_runs(sequences(spark, seqs)).collect()}
+    want = {(k, strand, p): len(s[p:]) - len(s[p:].lstrip("T")) for k, seq in enumerate(seqs) for strand, s in strand_strings(seq).items() for p in range(len(s)) if s[p : p + 5] == "TTTTT"}
+    assert plain == want
+    for block in (1, 4, 7, 16):
+        rows = terminators.t_runs(sequences(spark, seqs), block=block).collect()
+        assert len(rows) == len(want) and {(r["seq_id"], r["strand"], r["i"]): r["run"] for r in rows} == want
+
+
+def test_rank_of_a_hot_key_is_that_of_a_window(spark):
+    from codonlake.operators.ranks import with_rank
+
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(50), n) for n in range(2_000)]
+    df = spark.createDataFrame(rows, "k long, score long, n long")
+    order = [F.desc("score"), F.asc("n")]
+    plain = sorted(map(repr, (tuple(r) for r in with_rank(df, ["k"], order).collect())))
+    hot = with_rank(df, ["k"], order, hot_rows=500)
+    tasks = hot.filter("k = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert sorted(map(repr, (tuple(r) for r in hot.collect()))) == plain and tasks > 1
+    mine = sorted((-s, n) for k, s, n in rows if k == 1)
+    assert {(r["n"], r["rank"]) for r in hot.filter("k = 1").collect()} == {(n, i + 1) for i, (_, n) in enumerate(mine)}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_kmer_pairs_lose_none(spark, threshold):
+    rng = random.Random(10)
+    base = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=120))
+    some = ["".join(rng.choices("ACDE", k=rng.randrange(1, 40))) for _ in range(30)] + [base[rng.randrange(20) :] for _ in range(10)] + ["A", "AC", "ACD", "ACD", "AAAAAAA", "AAAAAA", base[:100], base[:80]]
+    some += ["".join(c if rng.random() > 0.05 else "W" for c in base) for _ in range(8)]
+    df = spark.createDataFrame([(g, k + 1, p) for g in (0, 1) for k, p in enumerate(some if g else some[:20])], "seq_id long, rank int, protein string")
+    got = {(r["seq_id"], r["i"], r["j"]): r["jaccard"] for r in similarity.kmer_pairs(df, threshold).collect()}
+    want = {}
+    for g in (0, 1):
+        words = [{p[i : i + 3] for i in range(len(p) - 2)} for p in (some if g else some[:20])]
+        for j in range(len(words)):
+            for i in range(j):
+                a, b = len(some[i]), len(some[j])
+                value = len(words[i] & words[j]) / len(words[i] | words[j]) if words[i] | words[j] else 0.0
+                if min(a, b) / max(a, b) >= 0.8 and value >= threshold:
+                    want[g, i + 1, j + 1] = value
+    assert got == want
+
+
+def test_visible_intervals(spark):
+    rng = random.Random(12)
+    ranges = [(0, n, a := rng.randrange(1, 5000), a + rng.randrange(-1, 2500)) for n in range(40)]
+    spans = [(0, "+", str(n), rng.randrange(1, 5000), rng.randrange(1, 5000)) for n in range(60)] + [(0, "-", "none", None, 5), (1, "+", "other", 1, 5000)]
+    got = tracks.visible_in(spark.createDataFrame(ranges, "seq_id long, range_id long, first long, last long"), spark.createDataFrame(spans, "seq_id long, strand string, type string, start long, end long"), width=300)
+    want = {(n, t, max(min(s, e), a), min(max(s, e), b)) for _, n, a, b in ranges for q, _, t, s, e in spans if q == 0 and s and a <= b and min(s, e) <= b and max(s, e) >= a}
+    rows = [(r["range_id"], r["type"], r["shown_start"], r["shown_end"]) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_document(spark, tmp_path):
+    from codonlake.operators import document
+
+    seqs = spark.createDataFrame([("a", "x"), ("b", "y")], "seq_id string, seq string")
+    orf = spark.createDataFrame([("a", "+", 1, 4, 9, 6, 1, "ATG", "TAA", "ATGTAA")], "seq_id string, strand string, frame int, start long, end long, length_nt long, peptide_length_aa long, start_codon string, stop_codon string, sequence string")
+    prom = spark.createDataFrame([("a", "-", "TTGACA", 1, 6, 0, "TATAAT", 24, 29, 1, 17, "", 0.375, 30.0)], "seq_id string, strand string, box35_seq string, box35_start long, box35_end long, box35_mismatches long, box10_seq string, box10_start long, box10_end long, box10_mismatches long, spacing long, spacer_seq string, spacer_at_fraction double, score double")
+    rows = document.document(seqs, {"coding_orfs": orf, "promoters": prom})
+    document.write_documents(rows, str(tmp_path / "out"))
+    text = lambda k: "".join(f.read_text().replace("\x1e", "") for f in sorted((tmp_path / "out" / f"seq_id={k}").glob("part-*")))
+    stretch = "  Strand: +\n  Frame: 1\n  Start: 4\n  End: 9\n  Length: 6 nt\n  Peptide length: 1 aa\n  Start codon: ATG\n  Stop codon: TAA\n  Sequence:\n    5' ATGTAA 3'   [1-6]\n       ||||||\n    3' TACATT 5'\n\n\n"
+    assert text("a") == (
+        "DNA Analysis Results\n====================\n\nCoding ORFs (1)\n------------------------------\nCoding ORF 1\n"
+        + stretch
+        + "Best Candidate ORF (l’ORF potentiellement)\n------------------------------\n"
+        + stretch
+        + "Promoters (1)\n------------------------------\nPromoter 1\n  Strand: -\n  -35 box: TTGACA (1-6)\n  -35 mismatches: 0\n  -10 box: TATAAT (24-29)\n  -10 mismatches: 1\n"
+        "  Spacing: 17 nt\n  Spacer sequence: N/A\n  Spacer AT fraction: 0.375\n  Score: 30"
+    )
+    assert text("b") == "DNA Analysis Results\n====================\n\nCoding ORFs (0)\n------------------------------\nPromoters (0)\n------------------------------"
