@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ HEAD_PAIRS = 1 << 20
 CACHED_SEGMENTS = 300_000
 SLICE_BYTES = 2 << 20
 PENDING = 2_000_000
+#: Links of one group from which they are counted by id.
+LARGE = 10_000
 CUT = "\x1f"
 #: White space other than single spaces and single line breaks inside a text, and what marks cuts and B's spaces (fixed values).
 ODD = r"  | \n|\n |\n\n|^\n|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2581}]|^ "
@@ -115,8 +116,10 @@ class Tokenizers:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
+        self.a_size = np.array(list(map(len, self.a_bytes)), np.int64)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b_size = np.array(list(map(len, self.b_bytes)), np.int64)
         with open(a_path, encoding="utf-8") as f:
             before = json.load(f).get("pre_tokenizer") or {}
         cuts_a = (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False)
@@ -127,11 +130,38 @@ class Tokenizers:
         if len(self.a_bytes) * len(self.b_bytes) >= 1 << 32:
             raise ValueError("the vocabularies are too large for pair numbers of 32 bits")
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B; what does not begin with a space stands behind a line break."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else "\n" + s for s in segments], num_threads=1)
-        return a, [ids if s[0] == " " else ids[2:] for s, ids in zip(segments, b)]
+    def encode(self, segments: list[str], join: bool = True) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: (ids of all segments, how many each has).
+
+        Segments that begin with their only space are encoded as one text, whose
+        tokens end with each of them; others one by one, as all are where that
+        does not hold. What does not begin with a space is encoded by B behind a
+        line break.
+        """
+        alone = [not (join and self.cuts and s[0] == " " and len(s) > 1 and not s[1:].isspace() and s.count(" ") == 1) for s in segments]
+        joined = "".join(s for s, x in zip(segments, alone) if not x)
+        rest = [s for s, x in zip(segments, alone) if x]
+        ends = np.cumsum([len(s.encode()) for s, x in zip(segments, alone) if not x])
+        whole_a = [self.a.encode(joined, add_special_tokens=False).ids] if joined else [[]]
+        whole_b = [self.b.encode(joined[1:])] if joined else [[]]
+        each_a = [e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False)]
+        each_b = self.b.encode([s[1:] if s[0] == " " else "\n" + s for s in rest], num_threads=1)
+        each_b = [ids if s[0] == " " else ids[2:] for s, ids in zip(rest, each_b)]
+        out, alone = [], np.array(alone, bool)
+        for whole, each, size in ((whole_a, each_a, self.a_size), (whole_b, each_b, self.b_size)):
+            flat = np.array(whole[0], np.int64)
+            reached = np.cumsum(size[flat])
+            last = np.searchsorted(reached, ends) + 1  # tokens up to each segment's end
+            if len(last) and (last[-1] != len(flat) or not np.array_equal(reached[last - 1], ends)):
+                return self.encode(segments, join=False)
+            counts = np.zeros(len(segments), np.int64)
+            counts[~alone] = np.diff(last, prepend=0)
+            counts[alone] = [len(x) for x in each]
+            ids, of = np.empty(counts.sum(), np.int64), np.repeat(alone, counts)
+            ids[~of] = flat
+            ids[of] = np.fromiter((i for x in each for i in x), np.int64, int(of.sum()))
+            out.append((ids, counts))
+        return out[0], out[1]
 
 
 class Segments:
@@ -150,58 +180,64 @@ class Segments:
         self.pairs = np.empty((2, 0), np.int64)  # pair number, links
         self.start = np.zeros(1, np.int64)
 
-    def _aligned(self, segments: list[str]) -> tuple:
-        """For each segment: sizes, text of groups, links by pair."""
-        ids_a, ids_b = self.of.encode(segments)
-        a_bytes, b_bytes = self.of.a_bytes, self.of.b_bytes
+    def _same_bytes(self, segments: list[str], a: tuple, b: tuple) -> np.ndarray:
+        """Whether the tokens of A and of B are the segment's bytes."""
         data = [s.encode() for s in segments]
-        good = [b"".join([a_bytes[i] for i in x]) == d == b"".join([b_bytes[i] for i in y]) for d, x, y in zip(data, ids_a, ids_b)]
-        flat_a = [i for x, g in zip(ids_a, good) if g for i in x]
-        flat_b = [i for y, g in zip(ids_b, good) if g for i in y]
-        ends = [np.cumsum(np.fromiter((len(t[i]) for i in flat), np.int64, len(flat))).tolist() for t, flat in ((a_bytes, flat_a), (b_bytes, flat_b))]
-        at_a, at_b = common_ends(*ends)
-        out, g, i, j = [], 0, 0, 0
-        for x, y, ok in zip(ids_a, ids_b, good):
-            if not ok:
-                out.append(((0, 0, 0, 0, 1), "", {}))
+        size, good = np.array(list(map(len, data)), np.int64), np.ones(len(data), bool)
+        for (ids, counts), table, width in ((a, self.of.a_bytes, self.of.a_size), (b, self.of.b_bytes, self.of.b_size)):
+            ends = np.cumsum(counts)
+            if np.array_equal(np.cumsum(np.r_[0, width[ids]])[ends], np.cumsum(size)) and b"".join(map(table.__getitem__, ids.tolist())) == b"".join(data):
                 continue
-            last, texts, links, first = i + len(x), [], Counter(), g
-            while i < last:
-                p, q = at_a[g], at_b[g]
-                g += 1
-                if p - i == 1 == q - j:
-                    u, v = flat_a[i], flat_b[j]
-                    texts.append(f"{u}|{v}")
-                    links[u * self.width + v] += 1
-                else:
-                    us, vs = flat_a[i:p], flat_b[j:q]
-                    texts.append(f"{','.join(map(str, us))}|{','.join(map(str, vs))}")
-                    many = Counter(vs).items()
-                    for u, c in Counter(us).items():
-                        for v, d in many:
-                            links[u * self.width + v] += c * d
-                i, j = p, q
-            out.append(((len(x), len(y), g - first, sum(links.values()), 0), ";".join(texts), links))
-        return out
+            good &= [b"".join(map(table.__getitem__, ids[e - c : e].tolist())) == d for d, e, c in zip(data, ends.tolist(), counts.tolist())]
+        return good
+
+    def _pairs(self, flat: tuple, begin: tuple, size: tuple, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, pair, links) of groups; groups of very many links are counted by id first."""
+        (a, b), (i, j), (p, q) = flat, begin, size
+        large = p * q > LARGE
+        n = np.where(large, 0, p * q)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(np.maximum(q, 1), n)
+        keys = [np.repeat(segment, n) << 32 | a[np.repeat(i, n) + at // wide] * self.width + b[np.repeat(j, n) + at % wide]]
+        links = [np.ones(len(keys[0]), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            us, c = np.unique(a[i[g] : i[g] + p[g]], return_counts=True)
+            vs, d = np.unique(b[j[g] : j[g] + q[g]], return_counts=True)
+            keys.append(segment[g] << 32 | (us[:, None] * self.width + vs).ravel())
+            links.append((c[:, None] * d).ravel())
+        keys, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, which, np.concatenate(links))
+        return keys >> 32, keys & 0xFFFFFFFF, total
 
     def _learn(self, segments: list[str]) -> None:
-        found = self._aligned(segments)
-        sums = np.zeros((len(self.sums), len(found)), np.int64)
-        sums[: len(SUMS) + 1] = np.array([f[0] for f in found], np.int64).T
-        size = np.array([len(f[2]) for f in found], np.int64)
-        flat = lambda part: np.fromiter((x for f in found for x in part(f[2])), np.int64, int(size.sum()))
-        pairs = np.stack([flat(dict.keys), flat(dict.values)])
+        a, b = self.of.encode(segments)
+        good = self._same_bytes(segments, a, b)
+        (flat_a, n_a), (flat_b, n_b) = ((ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in (a, b))
+        ends = [np.cumsum(width[flat]).tolist() for width, flat in ((self.of.a_size, flat_a), (self.of.b_size, flat_b))]
+        at_a, at_b = (np.array(x, np.int64) for x in common_ends(*ends))
+        last = np.searchsorted(at_a, np.cumsum(n_a), "right")  # groups up to each segment's end
+        n_groups = np.diff(last, prepend=0)
+        segment = np.repeat(np.arange(len(segments)), n_groups)
+        size = np.diff(at_a, prepend=0), np.diff(at_b, prepend=0)
+        of, pair, links = self._pairs((flat_a, flat_b), (at_a - size[0], at_b - size[1]), size, segment)
+        pairs_each = np.bincount(of, minlength=len(segments))
+        sums = np.zeros((len(self.sums), len(segments)), np.int64)
+        per_segment = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, np.cumsum(pairs_each)]])
+        sums[:5] = n_a, n_b, n_groups, per_segment(links), ~good
         if self.score:
-            best, counts = self.score(pairs[0])
-            ends = np.r_[0, np.cumsum(size)]
-            per_segment = lambda x: np.diff(np.r_[0, np.cumsum(x)][ends])
-            sums[-2], sums[-1] = per_segment(pairs[1] * best), per_segment(pairs[1] * counts)
+            best, counts = self.score(pair)
+            sums[-2], sums[-1] = per_segment(links * best), per_segment(links * counts)
             self.missing = np.r_[self.missing, per_segment(counts == 0) > 0]
+        lists = lambda ends, values: pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), values)
+        text = lambda ids: pa.array(ids).cast(pa.large_string())
+        join = lambda x, mark: pc.binary_join(x, pa.scalar(mark, pa.large_string()))
+        groups = pc.binary_join_element_wise(join(lists(at_a, text(flat_a)), ","), join(lists(at_b, text(flat_b)), ","), pa.scalar("|", pa.large_string()))
         self.known = pa.concat_arrays([self.known, pa.array(segments, pa.string())])
-        self.groups = pa.concat_arrays([self.groups, pa.array([f[1] for f in found], pa.large_string())])
+        self.groups = pa.concat_arrays([self.groups, join(lists(last, groups), ";")])
         self.sums = np.concatenate([self.sums, sums], axis=1)
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(size)]
-        self.pairs = np.concatenate([self.pairs, pairs], axis=1)
+        self.start = np.r_[self.start, self.start[-1] + np.cumsum(pairs_each)]
+        self.pairs = np.concatenate([self.pairs, np.stack([pair, links])], axis=1)
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which texts have tokens or may have, bounds of each among the numbers, numbers of segments)."""
