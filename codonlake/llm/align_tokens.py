@@ -12,11 +12,11 @@ segment is encoded and aligned once by a task; texts with other white space are
 one segment, as are all texts where a vocabulary has pieces across such a cut.
 All new segments of a batch are aligned as one pair of arrays.
 
-Two passes read the documents. The first counts pairs: each task adds up its
-documents, Spark the tasks. The second scores each document's links. The counts
-of at most HEAD_PAIRS pairs, the most frequent ones, are sent to all tasks, and
-links of other pairs, each in a bounded number of documents, are joined with
-their counts by pair. No text is shuffled.
+The aligned documents are stored with their different id pairs, so that texts
+are encoded once. Spark counts the pairs and joins each document's links with
+the counts: those of at most HEAD_PAIRS pairs, the most frequent ones, are sent
+to all tasks, and links of other pairs, each in a bounded number of documents,
+meet their counts by pair. No text is shuffled.
 
 Cases: texts that are null or empty, or whose tokens' joined bytes differ from
 them (such as texts with U+2581), have no tokens: zeros and an empty digest.
@@ -42,7 +42,6 @@ from .common import cut, give_back, pieces_of
 HEAD_PAIRS = 1 << 20
 CACHED_SEGMENTS = 300_000
 SLICE_BYTES = 2 << 20
-PENDING = 2_000_000
 #: Links of one group from which they are counted by id.
 LARGE = 10_000
 CUT = "\x1f"
@@ -167,16 +166,15 @@ class Tokenizers:
 class Segments:
     """What a task knows of its segments: sizes, the text of their groups, and their links by pair (CSR arrays)."""
 
-    def __init__(self, tokenizers: Tokenizers, score=None):
-        self.of, self.score = tokenizers, score
+    def __init__(self, tokenizers: Tokenizers):
+        self.of = tokenizers
         self.width = len(tokenizers.b_bytes)
         self._forget()
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.string())
         self.groups = pa.array([], pa.large_string())
-        self.missing = np.empty(0, bool)  # holds a pair without a score
-        self.sums = np.empty((len(SUMS) + 3, 0), np.int64)  # SUMS, whether bytes differ, best links, counts of links
+        self.sums = np.empty((len(SUMS) + 1, 0), np.int64)  # and whether bytes differ
         self.pairs = np.empty((2, 0), np.int64)  # pair number, links
         self.start = np.zeros(1, np.int64)
 
@@ -224,11 +222,7 @@ class Segments:
         pairs_each = np.bincount(of, minlength=len(segments))
         sums = np.zeros((len(self.sums), len(segments)), np.int64)
         per_segment = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, np.cumsum(pairs_each)]])
-        sums[:5] = n_a, n_b, n_groups, per_segment(links), ~good
-        if self.score:
-            best, counts = self.score(pair)
-            sums[-2], sums[-1] = per_segment(links * best), per_segment(links * counts)
-            self.missing = np.r_[self.missing, per_segment(counts == 0) > 0]
+        sums[:] = n_a, n_b, n_groups, per_segment(links), ~good
         lists = lambda ends, values: pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), values)
         text = lambda ids: pa.array(ids).cast(pa.large_string())
         join = lambda x, mark: pc.binary_join(x, pa.scalar(mark, pa.large_string()))
@@ -265,144 +259,101 @@ class Segments:
         """The sums of each text's segments."""
         return np.add.reduceat(self.sums[:, segments], bounds[:-1], axis=1) if len(bounds) > 1 else self.sums[:, :0]
 
-    def links(self, bounds: np.ndarray, segments: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, pair, links) of each text's different segments; a pair may come several times."""
+    def links(self, bounds: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pair, links): the different pairs of each text, by text."""
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        if wanted is not None:
-            text, segments = text[wanted[segments]], segments[wanted[segments]]
         keys, times = np.unique(text << 32 | segments, return_counts=True)
         text, segment = keys >> 32, keys & 0xFFFFFFFF
         size = self.start[segment + 1] - self.start[segment]
         ends = np.cumsum(size)
         at = np.repeat(self.start[segment] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(text, size), self.pairs[0, at], self.pairs[1, at] * np.repeat(times, size)
+        keys = np.repeat(text, size) << 32 | self.pairs[0, at]
+        order = np.argsort(keys, kind="stable")
+        keys, links = keys[order], (self.pairs[1, at] * np.repeat(times, size))[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        return keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.add.reduceat(links, first) if len(first) else links
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text", doc_id: str = "doc_id", with_groups: bool = False) -> DataFrame:
+    """(rid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, groups, pairs) of every document.
 
-
-def pair_counts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text") -> DataFrame:
-    """(a, b, n): in how many documents the ids of A and B are linked."""
+    ``rid`` tells rows apart; ``groups`` is the text ``a1,a2|b1;a3|b2,b3`` of
+    ids by group, if asked for; ``pairs`` has (a, b, links) of its different id pairs.
+    """
     paths = (a_path or default_paths()[0], b_path or default_paths()[1])
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"rid string, doc_id {kind}, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string, groups string, pairs array<struct<a: int, b: int, links: long>>"
 
     def run(batches):
-        segments, pending, width = Segments(Tokenizers(*paths)), [], 0
-
-        def added():
-            pairs, at = np.unique(np.concatenate([p for p, _ in pending]), return_inverse=True)
-            return pairs, np.bincount(at, np.concatenate([n for _, n in pending]), len(pairs)).astype(np.int64)
-
+        segments, at, task = Segments(Tokenizers(*paths)), 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in pieces_of(batch, most=SLICE_BYTES):
-                _, bounds, numbers = segments.read(part.column("text"))
-                good = segments.totals(bounds, numbers)[len(SUMS)] == 0
-                of, pair, _ = segments.links(bounds, numbers)
-                of, pair = of[good[of]], pair[good[of]]
-                pending.append(np.unique(np.unique(of << 32 | pair) & 0xFFFFFFFF, return_counts=True))
-                width += len(pending[-1][0])
-                if width > PENDING:
-                    pending[:] = [added()]
-                    if len(pending[0][0]) > PENDING // 2:
-                        yield _pair_batch(*pending.pop(), segments.width)
-                    width = sum(len(p) for p, _ in pending)
-        if pending:
-            yield _pair_batch(*added(), segments.width)
+                size = part.num_rows
+                which, bounds, numbers = segments.read(part.column("text"))
+                total = segments.totals(bounds, numbers)
+                good = total[len(SUMS)] == 0
+                sums = np.zeros((len(SUMS), size), np.int64)
+                sums[:, which] = np.where(good, total[: len(SUMS)], 0)
+                joined = pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), segments.groups.take(pa.array(numbers))), pa.scalar(";", pa.large_string()))
+                groups, digests = [""] * size if with_groups else [None] * size, [""] * size
+                for k in np.flatnonzero(good).tolist():
+                    data = joined[k].as_buffer()
+                    digests[which[k]] = hashlib.sha256(data).hexdigest()
+                    if with_groups:
+                        groups[which[k]] = data.to_pybytes().decode()
+                of, pair, links = segments.links(bounds, numbers)
+                of, pair, links = which[of[good[of]]], pair[good[of]], links[good[of]]
+                order = np.argsort(of, kind="stable")
+                ends = np.r_[0, np.cumsum(np.bincount(of, minlength=size))].astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array((pair[order] // segments.width).astype(np.int32)), pa.array((pair[order] % segments.width).astype(np.int32)), pa.array(links[order])], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{task}-{at + k}" for k in range(size)], pa.string()), part.column("doc_id"), *map(pa.array, sums), pa.array(digests, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(ends, each)],
+                    ["rid", "doc_id", *SUMS, "groups_sha256", "groups", "pairs"],
+                )
+                at += size
         del segments
         give_back()
 
-    partial = _texts(docs, text, text).select("text").mapInArrow(run, "a int, b int, n long")
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, schema)
 
-def _pair_batch(pairs: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array((pairs // width).astype(np.int32)), pa.array((pairs % width).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
 
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(a, b, n, best) of stored ``aligned`` rows: how many documents link the ids, and whether no other pair of ``a`` has more.
 
-def with_best(counts: DataFrame) -> DataFrame:
-    """``counts`` with ``best``, whether a pair's count is the highest of its A id. There are no more A ids than the vocabulary has."""
+    The highest counts are sent to all tasks: one for each id of A's vocabulary.
+    """
+    counts = cut(rows.select(F.inline("pairs")).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     top = counts.groupBy("a").agg(F.max("n").alias("_top")).withColumnRenamed("a", "_a")
     return counts.join(F.broadcast(top), F.col("a") == F.col("_a")).select("a", "b", "n", (F.col("n") == F.col("_top")).alias("best"))
 
 
-def _most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """(pairs of a count of at least a power of two, no more than ``most``; whether these are all)."""
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The smallest power of two that no more than ``most`` pairs reach."""
     sizes = {r["k"]: r["m"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("m")).collect()}
-    least, total = 64, 0
-    for k in sorted(sizes, reverse=True):
-        if total + sizes[k] > most:
+    least, total = 62, 0
+    for k in range(61, -1, -1):
+        total += sizes.get(k, 0)
+        if total > most:
             break
-        least, total = k, total + sizes[k]
-    return counts.filter(F.col("n") >= 1 << least if least < 63 else F.lit(False)), total == sum(sizes.values())
+        least = k
+    return 1 << least
 
 
-def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text", doc_id: str = "doc_id", with_groups: bool = False, most: int = HEAD_PAIRS) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256[, groups]) of every document.
+def with_counts(links: DataFrame, counts: DataFrame, most: int = HEAD_PAIRS) -> DataFrame:
+    """``links``, which have (a, b), with their pairs' ``n`` and ``best``."""
+    frequent = F.col("n") >= _least_count(counts, most)
+    head, rest = F.broadcast(counts.filter(frequent)), counts.filter(~frequent)
+    if rest.isEmpty():
+        return links.join(head, ["a", "b"])
+    rare = links.join(F.broadcast(counts.filter(frequent).select("a", "b")), ["a", "b"], "left_anti")
+    return links.join(head, ["a", "b"]).unionByName(rare.join(rest, ["a", "b"]))
 
-    ``groups`` is the text ``a1,a2|b1;a3|b2,b3`` of ids by group.
-    """
-    spark = docs.sparkSession
-    paths = (a_path or default_paths()[0], b_path or default_paths()[1])
-    counts = cut(with_best(cut(pair_counts(docs, *paths, text=text), "pairs")), "best-pairs")
-    frequent, all_known = _most_frequent(counts, most)
-    rows = frequent.toArrow()
-    wide = lambda c: rows.column(c).to_numpy().astype(np.int64)
-    head = spark.sparkContext.broadcast((wide("a"), wide("b"), wide("n"), rows.column("best").to_numpy().astype(bool)))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    columns = [*SUMS, "n_best", "count_sum"]
-    schema = f"rid string, doc_id {kind}, " + ", ".join(f"{c} long" for c in columns) + ", groups_sha256 string, groups string, tail array<struct<a: int, b: int, links: long>>"
-    tail_type = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("links", pa.int64())])
 
-    def run(batches):
-        tokenizers = Tokenizers(*paths)
-        a, b, n, best = head.value
-        pairs = a * len(tokenizers.b_bytes) + b
-        order = np.argsort(pairs)
-        pairs, n, best = pairs[order], n[order], best[order]
-
-        def score(wanted):
-            at = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
-            hit = pairs[at] == wanted if len(pairs) else np.zeros(len(wanted), bool)
-            return (hit & best[at], np.where(hit, n[at], 0)) if len(pairs) else (hit, hit.astype(np.int64))
-
-        segments, at = Segments(tokenizers, score), 0
-        for batch in batches:
-            for part in pieces_of(batch, most=SLICE_BYTES):
-                size = part.num_rows
-                which, bounds, numbers = segments.read(part.column("text"))
-                total = segments.totals(bounds, numbers)
-                good = total[len(SUMS)] == 0
-                sums = np.zeros((len(columns), size), np.int64)
-                sums[:, which] = np.where(good, np.delete(total, len(SUMS), axis=0), 0)
-                groups = [""] * size
-                joined = pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), segments.groups.take(pa.array(numbers))), pa.scalar(";", pa.large_string()))
-                digests = [""] * size
-                for k in np.flatnonzero(good).tolist():
-                    data = joined[k].as_buffer()
-                    digests[which[k]] = hashlib.sha256(data).hexdigest()
-                    groups[which[k]] = data.to_pybytes().decode() if with_groups else None
-                tails = [[] for _ in range(size)]
-                if not all_known:
-                    of, pair, links = segments.links(bounds, numbers, segments.missing)
-                    rest = good[of] & ~np.isin(pair, pairs)
-                    for k, p, m in zip(which[of[rest]].tolist(), pair[rest].tolist(), links[rest].tolist()):
-                        tails[k].append((p // segments.width, p % segments.width, m))
-                rid = [f"{TaskContext.get().partitionId()}-{at + k}" for k in range(size)]
-                at += size
-                lists = pa.array([[dict(zip(("a", "b", "links"), t)) for t in x] for x in tails], pa.list_(tail_type)) if not all_known else pa.array([None] * size, pa.list_(tail_type))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), part.column("doc_id"), *map(pa.array, sums), pa.array(digests, pa.string()), pa.array(groups if with_groups else [None] * size, pa.string()), lists],
-                    ["rid", "doc_id", *columns, "groups_sha256", "groups", "tail"],
-                )
-        del segments, tokenizers
-        give_back()
-
-    shown = ["doc_id", *columns, "groups_sha256", *["groups"] * with_groups]
-    scored = _texts(docs, doc_id, text).mapInArrow(run, schema)
-    if all_known:
-        return scored.select(*shown)
-    scored = cut(scored, "aligned")
-    tail = scored.select("rid", F.inline("tail")).join(counts, ["a", "b"])
-    rest = tail.groupBy("rid").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("_best"), F.sum(F.col("links") * F.col("n")).alias("_sum"))
-    more = {"n_best": F.col("n_best") + F.coalesce("_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("_sum", F.lit(0))}
-    return scored.join(rest, "rid", "left").withColumns(more).select(*shown)
+def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text", doc_id: str = "doc_id", with_groups: bool = False, most: int = HEAD_PAIRS) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256[, groups]) of every document."""
+    rows = cut(aligned(docs, a_path, b_path, text, doc_id, with_groups), "aligned")
+    links = with_counts(rows.select("rid", F.inline("pairs")), cut(pair_counts(rows), "pair-counts"), most)
+    sums = links.groupBy("rid").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("n")).alias("count_sum"))
+    shown = ["doc_id", *SUMS, "n_best", "count_sum", "groups_sha256", *["groups"] * with_groups]
+    return rows.drop("pairs").join(sums, "rid", "left").fillna(0, ["n_best", "count_sum"]).select(*shown)
