@@ -721,3 +721,52 @@ def single_values(spark, sf_dir):
         tracks.display_codon_range(F.when(F.col("seq_id") % 2 == 0, "-").otherwise("+"), k).alias("shown_codon"),
         dna.jaccard(dna.kmers(some(41)), dna.kmers(some(61))).alias("jaccard"),
     )
+
+
+# ---- sources and stores, written and read back ---------------------------
+
+
+@query(f"""WITH {SEQS} SELECT CASE WHEN seq_id % 3 = 0 THEN 'unknown' ELSE 'f' || seq_id END AS file, CASE WHEN seq_id % 3 = 2 THEN 'h' || seq_id END AS header, md5(seq) AS sequence_md5, CAST(count(*) AS BIGINT) AS n FROM seqs GROUP BY ALL""")
+def request_sequences(spark, sf_dir):
+    """Sequences as JSON requests, single ones and folders of named files, written and read back."""
+    path = scratch.fresh(spark, "requests")
+    file = F.struct(F.concat(F.lit("f"), F.col("seq_id").cast("string")).alias("name"), F.lower("seq").alias("sequence"), F.when(F.col("seq_id") % 3 == 2, F.concat(F.lit("h"), F.col("seq_id").cast("string"))).alias("header"))
+    alone = F.col("seq_id") % 3 == 0
+    request = F.struct(F.when(alone, "single").otherwise("folder").alias("mode"), F.when(alone, F.col("seq")).alias("sequence"), F.when(~alone, F.array(file)).alias("files"))
+    sequences(spark, sf_dir).select(F.to_json(request).alias("value")).write.text(path)
+    return fasta.read_requests(spark, path, lines=True).groupBy("file", "header", F.md5("sequence").alias("sequence_md5")).agg(F.count("*").alias("n"))
+
+
+def fasta_files(spark, sf_dir) -> str:
+    """FASTA files of 25 sequences each, in folders bucket=…; gives their path."""
+    path = scratch.fresh(spark, "files")
+    rows = sequences(spark, sf_dir).withColumn("bucket", F.floor(F.col("seq_id") / 25))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "seq_id")
+    rows.select("bucket", F.concat(F.lit(">doc"), F.col("seq_id").cast("string"), F.lit("\n"), dna.wrapped(F.col("seq"), 80))).write.partitionBy("bucket").text(path)
+    return path
+
+
+@query(f"""WITH {SEQS}, b AS (SELECT *, seq_id // 25 AS bucket FROM seqs)
+    SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS records, 'doc' || min(seq_id) AS first_header, md5(min_by(seq, seq_id)) AS first_md5 FROM b GROUP BY bucket""")
+def fasta_first_records(spark, sf_dir):
+    """The number of records and the first one of each FASTA file."""
+    records = fasta.read_fasta(spark, f"{fasta_files(spark, sf_dir)}/*")
+    first = fasta.first_records(records).select("path", F.col("header").alias("first_header"), F.md5("sequence").alias("first_md5"))
+    counted = records.groupBy("path").agg(F.count("*").alias("records")).join(first, "path")
+    return counted.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "records", "first_header", "first_md5")
+
+
+@query(f"""WITH {SEQS} SELECT md5(string_agg(seq, '' ORDER BY seq_id)) AS joined_md5, CAST(sum(length(seq)) AS BIGINT) AS length FROM seqs GROUP BY seq_id // 25""")
+def fasta_joined_records(spark, sf_dir):
+    """All records of each FASTA file as one sequence."""
+    rows = fasta.read_joined(spark, f"{fasta_files(spark, sf_dir)}/*")
+    return rows.select(F.md5("sequence").alias("joined_md5"), F.length("sequence").cast("long").alias("length"))
+
+
+@query(ORACLE_SQL["results_page"])
+def stored_page(spark, sf_dir):
+    """The page of results_page, from a store that is clustered by its order."""
+    store = ResultStore(spark, scratch.fresh(spark, "page"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    store.replace("events", "rejected", rows, sort="value")
+    return store.page("events", "rejected", limit=50, skip=40, sort_field="value", sort_direction="desc", ties=["event_id"]).select("event_id", "user_id", "event_type", "value")

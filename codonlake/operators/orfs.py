@@ -39,9 +39,9 @@ def orf_positions(sequences: DataFrame, start_codons=None, stop_codons=None, lon
     return found.select(*frame, "i", "stop")
 
 
-def coding_orfs(sequences: DataFrame, min_aa: int = 30, start_codons=None, stop_codons=None, longest_only_per_stop: bool = False, keys=KEYS) -> DataFrame:
-    """Every start codon with its stop, from ``min_aa`` amino acids on."""
-    found = orf_positions(sequences, start_codons, stop_codons, longest_only_per_stop, keys)
+def coding_orfs(sequences: DataFrame, min_aa: int = 30, start_codons=None, stop_codons=None, longest_only_per_stop: bool = False, keys=KEYS, tiles: DataFrame | None = None) -> DataFrame:
+    """Every start codon with its stop, from ``min_aa`` amino acids on; ``tiles`` are stored tiles of the sequences, if there are any."""
+    found = orf_positions(sequences if tiles is None else tiles, start_codons, stop_codons, longest_only_per_stop, keys)
     length = F.col("stop") + 3 - F.col("i")
     found = found.withColumn("aa", F.floor(length / 3) - 1).filter(F.col("aa") >= min_aa)
     rows = found.join(strands(sequences, keys), [*keys, "strand"])

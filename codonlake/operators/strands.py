@@ -13,8 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..sources.scratch import stored
 
 TILE = 512
+#: Context of stored tiles: what terminators look at before a position, and promoters behind it.
+LEFT, RIGHT = 27, 32
 KEYS = ("seq_id",)
 
 
@@ -49,17 +52,38 @@ def frames(sequences: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def positions(sequences: DataFrame, left: int, right: int, keys=KEYS, tile: int = TILE) -> DataFrame:
-    """(keys, strand, n, i, t, at): every 0-based position i of both strands.
+def tiles(sequences: DataFrame, left: int = LEFT, right: int = RIGHT, keys=KEYS, tile: int = TILE) -> DataFrame:
+    """(keys, strand, n, off, t): tiles of both strands, dealt out over tasks.
 
-    ``t`` are the bytes of its tile with ``left`` more before and ``right``
-    more behind; position i is byte ``at`` (1-based) of ``t``.
+    ``t`` are the bytes from ``left`` before the 0-based offset ``off`` to
+    ``right`` behind the tile.
     """
     pad = lambda k: F.lit("." * k).cast("binary")
     rows = strands(sequences, keys).filter("n > 0").withColumn("p", F.concat(pad(left), F.col("s"), pad(right))).drop("s")
     rows = rows.withColumn("off", F.explode(F.expr(f"sequence(0L, n - 1, {tile}L)")))
     rows = rows.withColumn("t", F.substr(F.col("p"), (F.col("off") + 1).cast("int"), F.lit(tile + left + right))).drop("p")
-    rows = rows.repartition(*keys, "strand", "off")
+    return rows.repartition(*keys, "strand", "off")
+
+
+def stored_tiles(sequences: DataFrame, keys=KEYS) -> DataFrame:
+    """Tiles written once, for all detectors to read in place of sequences; they have the context that each asks for by default."""
+    return stored(tiles(sequences, keys=keys), "tiles")
+
+
+def positions(sequences: DataFrame, left: int, right: int, keys=KEYS, tile: int = TILE) -> DataFrame:
+    """(keys, strand, n, i, t, at): every 0-based position i of both strands.
+
+    ``t`` are the bytes of its tile with at least ``left`` more before and
+    ``right`` more behind; position i is byte ``at`` (1-based) of ``t``.
+    ``sequences`` may be ``stored_tiles``.
+    """
+    rows = sequences
+    if "t" in sequences.columns:
+        if left > LEFT or right > RIGHT:
+            raise ValueError(f"stored tiles have {LEFT} letters before and {RIGHT} behind; give sequences")
+        left, tile = LEFT, TILE
+    else:
+        rows = tiles(sequences, left, right, keys, tile)
     rows = rows.withColumn("j", F.explode(F.expr(f"sequence(0, cast(least({tile}L, n - off) - 1 as int))")))
     return rows.select(*keys, "strand", "n", (F.col("off") + F.col("j")).alias("i"), "t", (F.col("j") + left + 1).alias("at"))
 

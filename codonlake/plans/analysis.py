@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,27 +14,32 @@ KINDS = ("all", "orfs", "promoters", "terminators", "shine_dalgarno", "coding_or
 
 
 class Analysis:
-    """Lazy DataFrames over (seq_id, seq); nothing runs before one of them is used."""
+    """DataFrames over (seq_id, seq). Tiles, and hits before their suppression or ranking, are stored when a method is called."""
 
     def __init__(self, sequences: DataFrame, min_aa: int = 30):
         if not isinstance(min_aa, int) or min_aa <= 0:
             raise ValueError("min_aa must be a positive integer")
         self.sequences, self.min_aa = sequences, min_aa
 
+    @cached_property
+    def tiles(self) -> DataFrame:
+        """The tiles that all detectors read."""
+        return strands.stored_tiles(self.sequences)
+
     def orfs(self) -> DataFrame:
         return strands.frames(self.sequences)
 
     def coding_orfs(self) -> DataFrame:
-        return orfs.coding_orfs(self.sequences, self.min_aa)
+        return orfs.coding_orfs(self.sequences, self.min_aa, tiles=self.tiles)
 
     def promoters(self) -> DataFrame:
-        return promoters.promoters(self.sequences)
+        return promoters.promoters(self.tiles)
 
     def shine_dalgarno(self) -> DataFrame:
-        return shine_dalgarno.sd_sites(self.sequences)
+        return shine_dalgarno.sd_sites(self.tiles)
 
     def terminators(self) -> DataFrame:
-        return terminators.terminators(self.sequences)
+        return terminators.terminators(self.tiles)
 
     def ranked_coding_orfs(self) -> DataFrame:
         return ranking.rank_orfs(self.coding_orfs(), self.shine_dalgarno(), self.promoters(), self.terminators())

@@ -88,10 +88,10 @@ def read_joined(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(dna.is_dna(F.col("sequence")))
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header, sequence) from JSON requests: a sequence, or files with sequences."""
+def read_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, header, sequence) from JSON requests: a sequence, or files with sequences; one request a file, or one a line."""
     schema = "mode string, sequence string, min_aa int, files array<struct<name:string,sequence:string,header:string>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    rows = spark.read.schema(schema).json(path, multiLine=not lines)
     one = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("sequence"), F.lit(None).cast("string").alias("header")))
     rows = rows.select(F.explode(F.when(F.col("mode") == "folder", F.col("files")).otherwise(one)).alias("f"))
     return rows.select(F.coalesce("f.name", F.lit("unknown")).alias("file"), F.col("f.header").alias("header"), dna.clean(F.col("f.sequence")).alias("sequence"))

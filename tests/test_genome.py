@@ -203,17 +203,43 @@ def test_clusters_equal_a_plain_greedy_pass(spark):
 def test_reports(spark):
     from codonlake.operators import reports
 
-    seqs = sequences(spark, [PROMOTER + "ATG" + "GCA" * 40 + "TAA", "ACGT"])
+    gene = PROMOTER + "ATG" + "GCA" * 40 + "TAA"
+    seqs = sequences(spark, [gene, "ACGT"])
     found = Analysis(seqs, 30)
-    for kind, rows, by in (("coding_orfs", found.coding_orfs(), ["start"]), ("promoters", found.promoters(), ["box35_start"]), ("orfs", found.orfs(), ["strand", "frame"]), ("terminators", found.terminators(), ["poly_t_start"])):
-        lines = {(r["seq_id"], r["rank"]): r["line"] for r in reports.report(rows, kind, by, seqs).collect()}
-        n = rows.filter("seq_id = 0").count()
-        what, one, none, fields = reports.REPORTS[kind]
-        assert lines[0, 0] == (f"Detected {n} {what}:\n" if n else none) and sum(s == 0 for s, _ in lines) == n + 1
-        assert kind == "orfs" or lines[1, 0] == none
-        if n:
-            assert lines[0, 1].startswith(f"{one} 1\n  {fields[0][0]}") and lines[0, 1].count("\n") == len(fields) + 1 and "{" not in lines[0, 1]
-    assert "Sequence: ATG" + "GCA" * 29 + "..." in reports.report(found.coding_orfs(), "coding_orfs", ["start"], seqs).filter("seq_id = 0 AND rank = 1").first()["line"]
+    text = lambda rows, kind, by: {(r["seq_id"], r["rank"]): r["line"] for r in reports.report(rows.filter("strand = '+'"), kind, by, seqs).collect()}
+    coding = text(found.coding_orfs().filter("start_codon = 'ATG'"), "coding_orfs", ["start"])
+    assert coding == {
+        (0, 0): "Detected 1 coding ORF(s):\n",
+        (0, 1): "Coding ORF 1\n  Strand: +\n  Frame: 3\n  Start: 30\n  End: 155\n  Length: 126 nt\n  Peptide length: 41 aa\n  Start codon: ATG\n  Stop codon: TAA\n  Sequence: ATG" + "GCA" * 29 + "...\n",
+        (1, 0): "No coding ORFs found.",
+    }
+    sites = text(found.promoters(), "promoters", ["box35_start"])
+    assert sites == {
+        (0, 0): "Detected 1 promoter-like region(s):\n",
+        (0, 1): "Promoter 1\n  Strand: +\n  -35 box: TTGACA at 1..6 (mismatches=0)\n  -10 box: TATAAT at 24..29 (mismatches=0)\n  Spacing: 17 nt\n  Spacer sequence: ACGTACGATCGATCGTA\n  Spacer AT fraction: 0.529\n  Score: 32.118\n",
+        (1, 0): "No sigma70-like promoter region found.",
+    }
+    none = "No rho-independent terminator-like structure found."
+    assert text(found.terminators(), "terminators", ["poly_t_start"]) == {(0, 0): none, (1, 0): none}
+    hit = spark.createDataFrame([(0, "+", 1, 5, 9, 13, 14, 18, "GCGCG", "AAA", "CGCGC", "TTTTT", 5, 3, 0, 1.0, 5, 38.3)], "seq_id long, strand string, stem_left_start long, stem_left_end long, stem_right_start long, stem_right_end long, poly_t_start long, poly_t_end long, stem_left_seq string, loop_seq string, stem_right_seq string, poly_t_seq string, stem_length long, loop_length long, mismatches long, gc_fraction double, poly_t_length long, score double")
+    assert text(hit, "terminators", ["poly_t_start"])[0, 1] == (
+        "Terminator 1\n  Strand:       +\n  Left stem:    GCGCG at 1..5\n  Loop:         AAA\n  Right stem:   CGCGC at 9..13\n  Poly-T:       TTTTT at 14..18\n"
+        "  Stem length:  5\n  Loop length:  3\n  Mismatches:   0\n  GC fraction:  1.0\n  Poly-T len:   5\n  Score:        38.3\n"
+    )
+    site = spark.createDataFrame([(0, "+", 3, 8, "AGGAGG", 0, "ATG", 16, 7, 35.0)], "seq_id long, strand string, start long, end long, sequence string, mismatches long, linked_start_codon string, linked_start_position long, distance_to_start long, score double")
+    assert text(site, "sd_sites", ["start"])[0, 1] == "Site 1\n  Strand: +\n  Positions: 3..8\n  Sequence: AGGAGG\n  Mismatches vs consensus AGGAGG: 0\n  Context: linked to ATG at position 16 with spacing 7 nt\n  Score: 35.0\n"
+    frames = text(found.orfs().filter("frame = 1"), "orfs", ["frame"])
+    assert frames[0, 0] == "Detected 1 reading frame(s):\n" and frames[0, 1] == f"Frame 1\n  Strand: +\n  Frame: 1\n  Positions: 1..153\n  Length: 153 nt (51 codons)\n  Sequence: {gene[:90]}...\n"
+    lines = reports.feature_lines(site, "Site", ["start"], ["strand", "start"])
+    assert [r["line"] for r in lines.collect()] == ["Site 1 | strand: + | start: 3"]
+
+
+def test_picked_score(spark):
+    orf = "struct<peptide_length_aa: long, score: double, rank_score: string>"
+    rows = spark.createDataFrame([(1, 4.0, (7, 9.0, "x")), (2, None, (7, 9.0, "x")), (3, None, (7, None, None)), (4, None, (None, None, None))], f"n int, total_score double, orf {orf}")
+    assert [r["s"] for r in rows.select("n", similarity.picked_score(rows).alias("s")).orderBy("n").collect()] == [4.0, 9.0, 7.0, 0.0]
+    rows = spark.createDataFrame([(1, 2.0, 5.0, (7,))], "n int, final_score double, total_score double, orf struct<peptide_length_aa: long>")
+    assert rows.select(similarity.picked_score(rows).alias("s")).first()["s"] == 2.0
 
 
 def test_windows_and_orders(spark):
