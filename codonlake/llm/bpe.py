@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is cut into words by the tokenizer's pattern, and each distinct word is
-encoded once: its bytes, one piece each at first, are folded by ranked merges -
-the adjacent pair whose join has the smallest rank is merged wherever it
-occurs, from left to right, until no join has a rank. Ranks come from a map
-that is a literal of the plan: an array of buckets by CRC of the piece, each a
-text of pieces and ranks.
-
-Texts have no bytes as such, so bytes stand as the letters of ISO-8859-1 while
-they are merged, and an id stands as the character of that number: ids compare
-as ranks do, and a text's ids are one string. Private-use characters mark
-pieces. Ids are stored as little-endian 32-bit numbers.
+A text is cut into words by the tokenizer's pattern. A word's bytes, each the
+id of its own piece at first, are folded by ranked merges: of all neighbours
+that have a join, those with the smallest rank are merged, the first of equal
+ones before the others, until no neighbours have one. Joins come from a map
+that is a literal of the plan, an array of buckets by CRC: from two ids to the
+id, which is the rank, of the piece that they make together.
+
+While they are merged, an id stands as the character of that number, so that
+ids compare as ranks do and a word's pieces are one string; ZERO stands for id
+0, which some functions would take for nothing. Private-use characters mark
+keys and values in the map. Ids are stored as little-endian 32-bit numbers.
 
 The HEAD most frequent words are folded first, and their ids are a literal like
 the ranks; other words are folded where they occur. Which words are in the head
@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD = 1 << 18
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 #: Marks between pieces and values; no piece or id has them (fixed values).
 OPEN, CLOSE, END = "\ue000", "\ue001", "\ue002"
-#: Stands for no rank; behind all ids.
+#: Stands for no join; behind all ids.
 NONE = "\uf8ff"
+#: Stands for id 0 while words are merged; a byte's id, so that its place among ranks does not matter.
+ZERO = "\ue010"
 #: Stands for the ids of a word that a map does not have.
 UNKNOWN = "\ue003"
 #: Ids that are characters, short of the surrogates.
@@ -61,8 +63,8 @@ def default_pattern() -> str:
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
     with open(path or default_ranks(), "rb") as f:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
-    if max(ranks.values(), default=0) >= MOST_IDS or not all(bytes([b]) in ranks for b in range(256)):
-        raise ValueError(f"ids must be below {MOST_IDS}, and every byte a piece")
+    if max(ranks.values(), default=0) >= MOST_IDS or any(r == 0 and len(p) > 1 for p, r in ranks.items()) or not all(bytes([b]) in ranks for b in range(256)):
+        raise ValueError(f"ids must be below {MOST_IDS}, every byte a piece, and id 0 that of a byte")
     return ranks
 
 
@@ -92,32 +94,36 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def merged(word: Column, ranks: LiteralMap) -> Column:
-    """The ids of a word, a character each; the word as bytes, then merged.
+def merged(word: Column, joins: LiteralMap, of_byte: str) -> Column:
+    """The ids of a word, a character each; ``of_byte`` has the id of each byte.
 
-    The state has the pieces and the rank of each piece's join with the next
-    one, NONE where there is none. A step merges the first pair of smallest
-    rank and looks up the joins at its two sides.
+    The state has the ids of the pieces and, for each but the last, the id of
+    its join with the next one, NONE where there is none. A step puts the
+    smallest join in place of its two pieces and looks up the joins at its two
+    sides.
     """
-    octets = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    joins = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: ranks.get(F.concat(a, b)))
-
-    def merge(p, r, i, new):
-        """Pieces i and i + 1 (from 1) become ``new``."""
-        before, behind = F.concat(F.element_at(p, i - 1), new), F.concat(new, F.element_at(p, i + 2))
-        pieces = F.transform(F.filter(p, lambda _, k: k != i), lambda x, k: F.when(k == i - 1, new).otherwise(x))
-        looked_up = F.transform(F.filter(r, lambda _, k: k != i - 1), lambda x, k: F.when(k == i - 2, ranks.get(before)).when(k == i - 1, ranks.get(behind)).otherwise(x))
-        return F.struct(pieces.alias("p"), looked_up.alias("r"))
+    latin = "".join(map(chr, range(256)))
+    first = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), latin, of_byte)
+    letter = lambda text, at: F.substring(text, at, F.lit(1))
+    looked_up = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda k: joins.get(F.substring(p, k, F.lit(2))))
+    begin = bind(first, lambda p: F.struct(p.alias("p"), F.when(F.length(p) > 1, F.array_join(looked_up(p), "")).otherwise("").alias("r")))
 
     def step(s, _):
         p, r = s["p"], s["r"]
-        at = lambda low: bind(F.array_position(r, low).cast("int"), lambda i: bind(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), lambda new: merge(p, r, i, new)))
-        return bind(F.array_min(r), lambda low: F.when(low < NONE, at(low)).otherwise(s))
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.size(octets) - 1, F.lit(1)))
-    first = bind(octets, lambda p: F.struct(p.alias("p"), joins(p).alias("r")))
-    ids = F.aggregate(rounds, first, step, lambda s: F.array_join(F.transform(s["p"], ranks.get), ""))
-    return F.when(word == "", "").otherwise(ids)
+        def merge(new, i):
+            """Pieces i and i + 1, from 1, become ``new``."""
+            before = F.when(i > 1, joins.get(F.concat(letter(p, i - 1), new))).otherwise("")
+            behind = F.when(i < F.length(r), joins.get(F.concat(new, letter(p, i + 2)))).otherwise("")
+            return F.struct(
+                F.concat(F.substring(p, F.lit(1), i - 1), new, F.substr(p, i + 2)).alias("p"),
+                F.concat(F.substring(r, F.lit(1), i - 2), before, behind, F.substr(r, i + 2)).alias("r"),
+            )
+
+        return bind(F.array_min(F.split(r, "")), lambda low: F.when((low != "") & (low < NONE), bind(F.instr(r, low), lambda i: merge(low, i))).otherwise(s))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+    return F.aggregate(rounds, begin, step, lambda s: s["p"])
 
 
 def words(text: Column, pattern: str | None = None) -> Column:
@@ -125,25 +131,47 @@ def words(text: Column, pattern: str | None = None) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern or default_pattern()), F.lit(0))
 
 
-def rank_map(ranks: dict[bytes, int]) -> LiteralMap:
-    return LiteralMap(((piece.decode("latin-1"), chr(rank)) for piece, rank in ranks.items()), NONE)
+def letter_of(i: int) -> str:
+    return chr(i) if i else ZERO
+
+
+class Vocabulary:
+    """What the expressions need of a rank file."""
+
+    def __init__(self, path: str | None = None):
+        ranks = load_ranks(path)
+        self.of_byte = "".join(letter_of(ranks[bytes([b])]) for b in range(256))
+        self.joins = LiteralMap(self._joins(ranks), NONE)
+
+    @staticmethod
+    def _joins(ranks: dict[bytes, int]):
+        """(ids of two pieces, id of the piece of their bytes), for all pieces and all their cuts in two."""
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    yield letter_of(a) + letter_of(b), letter_of(rank)
+
+    def merged(self, word: Column) -> Column:
+        return merged(word, self.joins, self.of_byte)
 
 
-def frequent(docs: DataFrame, text: str, ranks: LiteralMap, most: int = HEAD, pattern: str | None = None) -> LiteralMap:
+def frequent(docs: DataFrame, text: str, vocabulary: Vocabulary, most: int = HEAD, pattern: str | None = None) -> LiteralMap:
     """The ids of the ``most`` most frequent words; UNKNOWN for others."""
     each = docs.select(F.explode(words(F.col(text), pattern)).alias("word")).filter(~F.col("word").rlike(f"[{OPEN}{CLOSE}{END}]"))
     head = each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return LiteralMap(((r["word"], r["ids"]) for r in head.repartition(tasks).select("word", merged(F.col("word"), ranks).alias("ids")).toLocalIterator()), UNKNOWN, 4 * BUCKETS)
+    rows = head.repartition(tasks).select("word", vocabulary.merged(F.col("word")).alias("ids"))
+    return LiteralMap(((r["word"], r["ids"]) for r in rows.toLocalIterator()), UNKNOWN, 2 * BUCKETS)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, head: int = HEAD, pattern: str | None = None) -> DataFrame:
     """``docs`` with the column ``ids``: its text's ids as little-endian 32-bit numbers."""
-    ranks = rank_map(load_ranks(path))
-    known = frequent(docs, text, ranks, head, pattern)
-    of = lambda w: bind(known.get(w), lambda ids: F.when(ids == UNKNOWN, merged(w, ranks)).otherwise(ids))
-    characters = F.array_join(F.transform(words(F.col(text), pattern), of), "")
-    return docs.withColumn("ids", F.encode(F.regexp_replace(characters, "(?s)(.)", "$1\u0000"), "UTF-16LE"))
+    vocabulary = Vocabulary(path)
+    known = frequent(docs, text, vocabulary, head, pattern)
+    of = lambda w: bind(known.get(w), lambda ids: F.when(ids == UNKNOWN, vocabulary.merged(w)).otherwise(ids))
+    letters = F.replace(F.array_join(F.transform(words(F.col(text), pattern), of), ""), F.lit(ZERO), F.lit("\0"))
+    return docs.withColumn("ids", F.encode(F.regexp_replace(letters, "(?s)(.)", "$1\u0000"), "UTF-16LE"))
 
 
 def count(ids: Column) -> Column:

@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 from copy import copy
 from functools import cache
 
@@ -133,6 +135,10 @@ def _plain(char: str) -> str:
     return like if len(like) == 1 and like.isascii() else char
 
 
+#: Ways to read runs of numbers.
+READINGS = ("apart", "close", "single")
+
+
 class Rewritten:
     """A text under rewriting; character i came from source[starts[i]:ends[i]]."""
 
@@ -206,10 +212,12 @@ class Rewritten:
             last = ends[n]
         self.replace(parts)
 
-    def spelled(self, apart: bool) -> None:
+    def spelled(self, reading: str) -> None:
         """Digits for every run of numbers in which some are words, or joined by spelled dots.
 
-        A space stays between figures, and with ``apart`` between words and figures.
+        A space stays between figures; if they are read ``apart``, between words
+        and figures too; if ``single``, not between figures of one digit in a
+        run with spelled dots.
         """
         if _NUMBER_HINTS.isdisjoint(_LETTERS.findall(self.text.lower())):
             return
@@ -220,11 +228,13 @@ class Rewritten:
                 return
             if all(w.isdigit() and (dot in (None, ".")) for w, _, _, dot in run):
                 return
+            dotted = reading == "single" and any(dot not in (None, ".") for *_, dot in run)
             for k, (w, a, b, dot) in enumerate(run):
                 if k:
-                    end = run[k - 1][2]
-                    figures = w.isdigit() + run[k - 1][0].isdigit()
-                    gap = "." if dot else " " if end < a and run[k - 1][0].lower() != "plus" and (figures == 2 or figures == 1 and apart) else ""
+                    end, before = run[k - 1][2], run[k - 1][0]
+                    figures = w.isdigit() + before.isdigit()
+                    spaced = figures == 1 and reading == "apart" or figures == 2 and not (dotted and len(w) == len(before) == 1)
+                    gap = "." if dot else " " if end < a and before.lower() != "plus" and spaced else ""
                     if text[end:a] != gap:
                         parts.append((end, a, gap))
                 if not w.isdigit():
@@ -245,27 +255,47 @@ class Rewritten:
         self.replace(parts)
 
 
+class Taken:
+    """Spans of each kind that do not overlap, in order; what overlaps a new one is found by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int, int]] = ()):
+        self.starts, self.ends = ([[] for _ in KINDS] for _ in "ab")
+        for start, kind, end in sorted(spans):
+            self.starts[kind].append(start)
+            self.ends[kind].append(end)
+
+    def over(self, start: int, kind: int, end: int) -> list[tuple[int, int]]:
+        first, last = bisect_right(self.ends[kind], start), bisect_left(self.starts[kind], end)
+        return list(zip(self.starts[kind][first:last], self.ends[kind][first:last]))
+
+    def add(self, start: int, kind: int, end: int) -> None:
+        k = bisect_left(self.starts[kind], start)
+        self.starts[kind].insert(k, start)
+        self.ends[kind].insert(k, end)
+
+
 def added_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of disguised identifiers; each is apart from, or larger than, any plain one of its kind."""
     said = Rewritten(text)
     if not text.isascii():
         said.fold()
     said.said()
-    found = []
-    for apart in (True, False):
+    found, known, read = [], Taken(plain), set()
+    for reading in READINGS:
         new = copy(said)
-        new.spelled(apart)
-        if new.text == (text if apart else said.text):  # nothing new to read
+        new.spelled(reading)
+        if new.text == (text if reading == "apart" else said.text) or new.text in read:  # nothing new to read
             continue
+        read.add(new.text)
         for a, kind, b in plain_spans(new.text):
             start, end = new.starts[a], new.ends[b - 1]
-            if text[start:end] != new.text[a:b] and not any(k == kind and (s < end and start < e) and not (start <= s and e <= end and end - start > e - s) for s, k, e in plain):
+            if text[start:end] != new.text[a:b] and all(start <= s and e <= end and end - start > e - s for s, e in known.over(start, kind, end)):
                 found.append((start, kind, end))
-    out = []  # of the two readings the larger span
+    out = Taken()  # of several readings the larger span
     for start, kind, end in sorted(set(found), key=lambda f: (f[0] - f[2], f)):
-        if not any(k == kind and s < end and start < e for s, k, e in out):
-            out.append((start, kind, end))
-    return sorted(out)
+        if not out.over(start, kind, end):
+            out.add(start, kind, end)
+    return sorted((start, kind, end) for kind in range(len(KINDS)) for start, end in zip(out.starts[kind], out.ends[kind]))
 
 
 def joined(spans) -> str:

@@ -112,18 +112,19 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS,
 
     With ``map_path`` the map is kept there: a first run makes and keeps its
     versions 0 and 1, a later one loads the last, counts the slots of its own
-    documents, and keeps the version it has edited from it.
+    documents, and keeps the version it has edited from it. A kept map's own
+    number of slots holds, whatever ``n_slots`` is.
     """
     spark = docs.sparkSession
+    kept = load_map(spark, map_path).select("version", "vslot", "shard") if map_path and _kept(spark, map_path) else None
+    n_slots = n_slots if kept is None else kept.count()
     records = cut(hash_records(docs, n_slots), "slot-records")
     loads = slot_loads(spark, records, n_slots)
-    base = first_map(loads, n_shards)
-    if map_path and _kept(spark, map_path):
-        base = load_map(spark, map_path).select("version", "vslot", "shard").join(loads, "vslot").select("version", "vslot", "shard", "bytes", "rows")
+    base = first_map(loads, n_shards) if kept is None else kept.join(loads, "vslot").select("version", "vslot", "shard", "bytes", "rows")
     base = cut(base, "slot-map-before")
     current = cut(rebalance(base, n_shards), "slot-map")
     if map_path:
-        for version in (current,) if _kept(spark, map_path) else (base, current):
+        for version in (base, current) if kept is None else (current,):
             save_map(version, map_path)
     return place(records, current), base.unionByName(current)
 

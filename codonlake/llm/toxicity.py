@@ -338,11 +338,12 @@ def fit_chain(bags: Bags, vocabulary: np.ndarray, marks: np.ndarray, fold: np.nd
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> DataFrame:
-    """(doc_id, fold, marks, ids) of the labelled documents used."""
+    """(doc_id, fold, marks, ids) of the labelled documents used, one row for each id: of several, that of the text with the smallest hash."""
     marks = labels.select(F.col("doc_id").cast("long"), *[F.expr(e).cast("double").alias(f"y{k}") for k, (_, e) in enumerate(categories)]).dropna()
     marks = marks.groupBy("doc_id").agg(F.array(*[F.max(f"y{k}") for k in range(len(categories))]).alias("marks"))
     used = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(used), "doc_id")  # max_rows rows
+    texts = texts.groupBy("doc_id", "marks").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "marks", "t.text")
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))  # copies share a fold
 
     def rows(batches):

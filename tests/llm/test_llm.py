@@ -644,3 +644,40 @@ def test_queries_run_over_given_tables(spark):
     docs = spark.read.parquet(f"{data}/documents.parquet").count()
     for name in ("op2_pii_spans", "op4_virtual_slots", "op6_toxicity_chain"):
         assert queries.QUERIES[name](spark, data).count() == docs
+
+
+def test_pii_single_figures_between_spelled_dots():
+    for text in ("host 1 9 2 dot 1 6 8 dot one dot one now", "host 1 0 dot 0 dot 0 dot 2 5 now"):
+        found = pii.added_spans(text, pii.plain_spans(text))
+        assert [text[a:b] for a, k, b in found if pii.KINDS[k] == "ip"] == [text[5:-4]]
+    text = "call 10 20 dot 30 dot 40 dot 50"
+    assert [text[a:b] for a, _, b in pii.added_spans(text, pii.plain_spans(text))] == ["20 dot 30 dot 40 dot 50"]
+
+
+def test_pii_spans_in_time_linear_in_their_number():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"user{k} (at) host{k} dot org, a{k}@b{k}.com" for k in range(n))
+        start = time.process_time()
+        plain = pii.plain_spans(text)
+        assert len(plain) == n == len(pii.added_spans(text, plain))
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0]
+
+
+def test_a_kept_slot_map_keeps_its_number_of_slots(spark, tmp_path):
+    docs = docs_of(spark, [f"text {k}" for k in range(300)])
+    slots.shard_documents(docs, 4, n_slots=64, map_path=str(tmp_path / "map"))
+    placed, versions = slots.shard_documents(docs, 4, n_slots=4096, map_path=str(tmp_path / "map"))
+    assert placed.count() == 300 and versions.select("vslot").distinct().count() == 64
+
+
+def test_toxicity_trains_on_one_row_of_an_id(spark):
+    rows = [(i % 3, f"text {i}") for i in range(300)] + [(5, "no label"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    used = toxicity.training_rows(docs, labels, max_rows=4).collect()
+    assert sorted(r["doc_id"] for r in used) == [0, 1, 2]
+    assert sorted(map(repr, used)) == sorted(map(repr, toxicity.training_rows(docs.repartition(7), labels, max_rows=4).collect()))
