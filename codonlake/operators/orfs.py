@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .strands import KEYS, look, part, positions, strands
+from .strands import KEYS, LEFT, TILE, look, positions, stored_tiles
 
 BLOCK = 1 << 16
 
@@ -41,12 +41,14 @@ def orf_positions(sequences: DataFrame, start_codons=None, stop_codons=None, lon
 
 def coding_orfs(sequences: DataFrame, min_aa: int = 30, start_codons=None, stop_codons=None, longest_only_per_stop: bool = False, keys=KEYS, tiles: DataFrame | None = None) -> DataFrame:
     """Every start codon with its stop, from ``min_aa`` amino acids on; ``tiles`` are stored tiles of the sequences, if there are any."""
-    found = orf_positions(sequences if tiles is None else tiles, start_codons, stop_codons, longest_only_per_stop, keys)
+    tiles = stored_tiles(sequences, keys) if tiles is None else tiles
+    found = orf_positions(tiles, start_codons, stop_codons, longest_only_per_stop, keys)
     length = F.col("stop") + 3 - F.col("i")
     found = found.withColumn("aa", F.floor(length / 3) - 1).filter(F.col("aa") >= min_aa)
-    rows = found.join(strands(sequences, keys), [*keys, "strand"])
+    rows = found.join(_texts(found, tiles, keys), [*keys, "strand", "frame", "stop"])
     end = F.col("stop") + 3
-    return rows.select(
+    sequence = F.substr(F.col("text"), (F.col("i") - F.col("at") + 1).cast("int"), length.cast("int"))
+    return rows.withColumn("sequence", sequence).select(
         *keys,
         "strand",
         "frame",
@@ -54,14 +56,28 @@ def coding_orfs(sequences: DataFrame, min_aa: int = 30, start_codons=None, stop_
         dna.forward_end(F.col("strand"), F.col("i"), end, F.col("n")).alias("end"),
         length.alias("length_nt"),
         F.col("aa").alias("peptide_length_aa"),
-        part(F.col("s"), F.col("i"), 3).alias("start_codon"),
-        part(F.col("s"), F.col("stop"), 3).alias("stop_codon"),
-        part(F.col("s"), F.col("i"), length).alias("sequence"),
+        F.substring("sequence", 1, 3).alias("start_codon"),
+        F.right("sequence", F.lit(3)).alias("stop_codon"),
+        "sequence",
         F.col("i").alias("start_index_in_strand"),
         F.col("stop").alias("stop_index_in_strand"),
     )
 
 
+def _texts(found: DataFrame, tiles: DataFrame, keys) -> DataFrame:
+    """(keys, strand, frame, stop, n, at, text): the letters of the tiles from the first start of each stop codon on.
+
+    Only the tiles of an ORF are read for it, so that a chromosome is work for
+    many tasks; ORFs with one stop codon share them.
+    """
+    frame = [*keys, "strand", "frame", "stop"]
+    spans = found.groupBy(*frame).agg(F.min("i").alias("first"))
+    spans = spans.withColumn("off", F.explode(F.sequence(F.floor(F.col("first") / TILE) * TILE, F.col("stop") + 2, F.lit(TILE).cast("long"))))
+    letters = tiles.select(*keys, "strand", "n", "off", F.substr(F.col("t"), F.lit(LEFT + 1), F.lit(TILE)).cast("string").alias("letters"))
+    parts = F.sort_array(F.collect_list(F.struct("off", "letters")))
+    return spans.join(letters, [*keys, "strand", "off"]).groupBy(*frame).agg(F.first("n").alias("n"), F.min("off").alias("at"), F.array_join(F.transform(parts, lambda x: x["letters"]), "").alias("text"))
+
+
 def order() -> list:
     """Longest first, then better start codons, the forward strand, and position."""
     return [F.desc("peptide_length_aa"), dna.start_priority(F.col("start_codon")), F.when(F.col("strand") == "+", 0).otherwise(1), F.asc("start"), F.asc("end")]
