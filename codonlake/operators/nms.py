@@ -31,28 +31,30 @@ def keep_best(hits: DataFrame, within: list[str], start: str, end: str, order: l
     """Rows of ``hits`` kept when taken by ``order``, each if it overlaps none kept before.
 
     Intervals are inclusive; ``order`` must be total within a group of
-    ``within``. ``hits`` are stored when this is called.
+    ``within``. ``hits`` and their islands are stored when this is called.
     """
     names = [f"_k{i}" for i in range(len(order))]
     rows = hits.withColumns({c: o for c, o in zip(names, order)} | {"_block": F.floor(F.col(start) / block)})
-    rows = stored(rows, "hits")
     by = W.partitionBy(*within, "_block").orderBy(start, end, *names)
     fresh = F.when(F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1)) >= F.col(start), 0).otherwise(1)
     rows = rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    rows = stored(rows, "islands")
     island = [*within, "_block", "_island"]
-    hard = _hard_islands(rows, within, start, end, block, most)
-    if hard.isEmpty():
-        return _folded(rows, island, start, end, names).select(hits.columns)
+    islands = rows.groupBy(*island).agg(F.count("*").alias("_n"), F.min(start).alias("_a"), F.max(end).alias("_b"))
+    seen = islands.agg(F.max("_n").alias("n"), F.max("_b").alias("b")).first()
+    easy = (seen["n"] or 0) <= most and (seen["b"] or 0) < block  # all in first blocks, as short sequences are
+    hard = None if easy else _hard_islands(islands, within, block, most)
+    if hard is None or hard.isEmpty():
+        return _folded(rows, island, start, end, names, hits.columns)
     same = [F.col(c).eqNullSafe(F.col(f"_h{k}")) for k, c in enumerate(island)]
     hard = hard.toDF(*[f"_h{k}" for k in range(len(island))])
-    easy = _folded(rows.join(hard, same, "left_anti"), island, start, end, names)
+    easy = _folded(rows.join(hard, same, "left_anti"), island, start, end, names, hits.columns)
     rest = _by_rounds(rows.join(hard, same, "left_semi").drop("_block", "_island"), within, start, end, names)
-    return easy.select(hits.columns).unionByName(rest.select(hits.columns))
+    return easy.unionByName(rest.select(hits.columns))
 
 
-def _hard_islands(rows: DataFrame, within: list[str], start: str, end: str, block: int, most: int) -> DataFrame:
+def _hard_islands(islands: DataFrame, within: list[str], block: int, most: int) -> DataFrame:
     """Islands of more than ``most`` rows, and those that may go on in another block."""
-    islands = rows.groupBy(*within, "_block", "_island").agg(F.count("*").alias("_n"), F.min(start).alias("_a"), F.max(end).alias("_b"))
     before = W.partitionBy(*within).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     place = [*within, "_block"]
     reach = islands.groupBy(*place).agg(F.max("_b").alias("_b")).withColumn("_reach", F.max("_b").over(before))
@@ -61,13 +63,11 @@ def _hard_islands(rows: DataFrame, within: list[str], start: str, end: str, bloc
     return rows.filter((F.col("_n") > most) | (F.col("_b") >= (F.col("_block") + 1) * block) | (F.col("_a") <= F.col("_reach"))).select(*place, "_island")
 
 
-def _folded(rows: DataFrame, island: list[str], start: str, end: str, names: list[str]) -> DataFrame:
-    keyed = F.struct(*names, F.struct(*rows.columns).alias("_row"))
-    groups = rows.groupBy(*island).agg(F.array_sort(F.collect_list(keyed)).alias("_hits"))
-    hits = F.transform("_hits", lambda h: h["_row"])
+def _folded(rows: DataFrame, island: list[str], start: str, end: str, names: list[str], columns: list[str]) -> DataFrame:
+    groups = rows.groupBy(*island).agg(F.array_sort(F.collect_list(F.struct(*names, *columns))).alias("_hits"))
     over = lambda a, b: (a[start] <= b[end]) & (b[start] <= a[end])
-    fold = F.aggregate(hits, F.filter(hits, lambda h: F.lit(False)), lambda kept, h: F.when(F.exists(kept, lambda k: over(k, h)), kept).otherwise(F.concat(kept, F.array(h))))
-    return groups.select(F.inline(fold))
+    fold = F.aggregate("_hits", F.filter("_hits", lambda h: F.lit(False)), lambda kept, h: F.when(F.exists(kept, lambda k: over(k, h)), kept).otherwise(F.concat(kept, F.array(h))))
+    return groups.select(F.inline(fold)).select(*columns)
 
 
 def _by_rounds(rows: DataFrame, within: list[str], start: str, end: str, names: list[str]) -> DataFrame:
