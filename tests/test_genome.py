@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codonlake.functions import dna
 from codonlake.functions.align import global_alignment
-from codonlake.operators import chunks, orfs, promoters, ranking, shine_dalgarno, similarity, strands, terminators, tracks
+from codonlake.operators import chunks, orfs, promoters, ranking, reports, shine_dalgarno, similarity, strands, terminators, tracks
 from codonlake.plans.analysis import Analysis
 
 COMP = str.maketrans("ACGTN", "TGCAN")
@@ -406,3 +406,41 @@ def test_document(spark, tmp_path):
         "  Spacing: 17 nt\n  Spacer sequence: N/A\n  Spacer AT fraction: 0.375\n  Score: 30"
     )
     assert text("b") == "DNA Analysis Results\n====================\n\nCoding ORFs (0)\n------------------------------\nPromoters (0)\n------------------------------"
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().toString()
+
+
+def test_sd_sites_and_hairpins_are_chosen_by_numbers(spark):
+    seqs = sequences(spark, ["ACGTN" * 20])
+    assert "lambdafunction" not in plan_of(shine_dalgarno.sd_sites(seqs))
+    assert "bit_count" in plan_of(terminators.raw_terminators(seqs))
+
+
+def test_long_arms_are_compared_as_strings(spark):
+    text = "".join(random.Random(7).choices("ACGT", k=200)) + "CCGCGGCACTTCAGTGCCGCGGTTTTTT" + "N" * 9 + "GCGCGCTTTTGCGCGCTTTTTNTTTTT"
+    few = terminators.raw_terminators(sequences(spark, [text]))
+    many = terminators.raw_terminators(sequences(spark, [text]), stem_max=14).filter("stem_length <= 10")
+    assert few.count() > 0 and sorted(few.collect()) == sorted(many.collect())
+
+
+def test_a_report_counts_what_is_ranked(spark):
+    seqs = sequences(spark, ["A" * 9 + "AGGAGGTTACATAATG", "CCC"])
+    hits = shine_dalgarno.sd_sites(seqs)
+    lines = reports.report(hits, "sd_sites", [*shine_dalgarno.order(), "linked_start_position"], seqs)
+    assert "bit_count" not in plan_of(lines) and lines.count() == hits.count() + 2
+
+
+def test_orfs_without_texts_read_no_letters_again(spark):
+    seqs = sequences(spark, ["ATG" + "GCA" * 1500 + "TAA" + "C" * 70_000 + "ATGGCATAA", "CC"])
+    narrow, full = orfs.coding_orfs(seqs, 30, texts=False), orfs.coding_orfs(seqs, 30)
+    assert "collect_list" not in plan_of(narrow)
+    assert sorted(narrow.collect()) == sorted(full.drop("sequence").collect())
+    rows = full.filter("strand = '+'").select("start", "sequence").collect()
+    assert ("ATG" + "GCA" * 1500 + "TAA") in [r["sequence"] for r in rows]
+
+
+def test_nothing_is_ranked_to_be_counted(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "rank_orfs", lambda *_, **__: pytest.fail("ranked"))
+    assert Analysis(sequences(spark, ["ATG" + "GCA" * 40 + "TAA"]), 5).summary().first()["coding_orfs"] > 0
