@@ -444,3 +444,31 @@ def test_orfs_without_texts_read_no_letters_again(spark):
 def test_nothing_is_ranked_to_be_counted(spark, monkeypatch):
     monkeypatch.setattr(ranking, "rank_orfs", lambda *_, **__: pytest.fail("ranked"))
     assert Analysis(sequences(spark, ["ATG" + "GCA" * 40 + "TAA"]), 5).summary().first()["coding_orfs"] > 0
+
+
+def test_scans_shuffle_nothing_and_read_in_pieces(spark, made, monkeypatch):
+    seqs = sequences(spark, made)
+    finders = [lambda: strands.motif_hits(seqs, "AGGAGG", 1), lambda: promoters.raw_promoters(seqs), lambda: shine_dalgarno.sd_sites(seqs), lambda: orfs.codons(seqs, apart=4)]
+    plans, whole = [plan_of(f()) for f in finders], [sorted(f().collect()) for f in finders]
+    assert all(whole) and not any("Repartition" in p or "explode(sequence" in p for p in plans)
+    monkeypatch.setattr(strands, "PIECE", 37)
+    assert [sorted(f().collect()) for f in finders] == whole
+
+
+def test_suppression_sends_on_what_is_kept_only(spark, made):
+    rows = promoters.promoters(sequences(spark, made))
+    assert "lambdafunction" not in plan_of(rows) and rows.count() > 0
+
+
+def test_suppression_across_arrow_batches(spark):
+    from codonlake.operators.nms import keep_best
+
+    rng = random.Random(8)
+    rows = [(n % 3, n, a := rng.randrange(3000), a + rng.randrange(0, 30), rng.randrange(9)) for n in range(900)] + [(4, n, n, n + 5, n % 7) for n in range(200)]
+    df = spark.createDataFrame(rows, "g long, n long, a long, b long, score long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [(r["g"], r["n"]) for r in keep_best(df, ["g"], "a", "b", [-F.col("score"), F.col("n")], most=20).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
