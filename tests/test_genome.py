@@ -472,3 +472,14 @@ def test_suppression_across_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(set(got)) and set(got) == greedy(rows)
+
+
+def test_positions_are_covered_by_bits(spark):
+    spans = [(0, "+", "orf", 1, 200), (0, "+", "box10", 60, 70), (0, "+", "polyT", 64, 127), (0, "-", "orf", 128, 128), (0, "-", "orf", -3, -1)]
+    rows = tracks.covered_positions(spark.createDataFrame(spans, "seq_id long, strand string, type string, start long, end long"))
+    want = {}
+    for s, strand, t, a, b in spans:
+        for p in range(a, b + 1):
+            want[s, strand, p] = min(want.get((s, strand, p), t), t, key=tracks.PRIORITY.index)
+    assert {(r["seq_id"], r["strand"], r["position"]): r["type"] for r in rows.collect()} == want
+    assert "bit_or" in plan_of(rows)
