@@ -77,8 +77,16 @@ def in_order(fasta: DataFrame) -> DataFrame:
 
 def first_records(fasta: DataFrame) -> DataFrame:
     """The first record of every file."""
-    first = fasta.groupBy("path").agg(F.min_by(F.struct(*fasta.columns), "record").alias("r"))
-    return first.select("r.*")
+    return counted_records(fasta).select(*fasta.columns)
+
+
+def counted_records(fasta: DataFrame) -> DataFrame:
+    """The first record of every file, and how many ``records`` it has: files are read once.
+
+    A task puts its records of a file together before any are shuffled.
+    """
+    first = F.min_by(F.struct(*fasta.columns), "record")
+    return fasta.groupBy("path").agg(first.alias("r"), F.count("*").alias("records")).select("r.*", "records")
 
 
 def read_joined(spark: SparkSession, path: str) -> DataFrame:

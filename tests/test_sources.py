@@ -229,3 +229,11 @@ def test_a_stored_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert state["status"] == "completed" and state["summary"] == {name: store.rows(one, m).count() for name, m in stored_run.COUNTS.items()} and state["summary"]["coding_orf_count"] > 0
     ranks = [r["rank"] for r in store.page(one, "ranked_coding_orfs", sort_field="rank").collect()]
     assert ranks == sorted(ranks) and ranks[0] == 1
+
+
+def test_first_records_and_their_number_come_from_one_reading(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">one x\nAC\nGT\n>two\nGG\n")
+    (tmp_path / "b.fa").write_text(">three\nTTT\n")
+    rows = fasta.counted_records(fasta.read_fasta(spark, str(tmp_path)))
+    assert sorted((r["header"], r["sequence"], r["records"]) for r in rows.collect()) == [("one", "ACGT", 2), ("three", "TTT", 1)]
+    assert "Join" not in rows._jdf.queryExecution().toString()
