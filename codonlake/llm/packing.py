@@ -20,7 +20,6 @@ import json
 import os
 import unicodedata
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, pieces_of, split_words
+from .common import cut, give_back, pieces_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -45,37 +44,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def split_pattern(tokenizer: dict):
-    """The pattern whose matches a tokenizer encodes one by one, or None where it isn't known to work so.
+#: The one pattern whose matches are found by classes of characters (fixed value), and the contractions that it takes first.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+SPACE, LETTER, SIGN, NUMBER, ODD = range(5)
+#: Characters with a class are those below COMMON and the punctuation at PUNCTUATION: they stay as they are in NFC.
+COMMON, PUNCTUATION = 0x590, range(0x2010, 0x2028)
 
-    Asked for are lower case, matches without white space, nothing kept between
-    them, no special tokens to find in lower-case words, and merges inside a match only.
-    """
-    import regex
 
+def split_pattern(tokenizer: dict) -> str | None:
+    """PATTERN, if a tokenizer encodes its matches in a lower-case text one by one; None where it isn't known to work so.
+
+    Asked for are lower case, nothing kept between matches, no special tokens
+    to find in lower-case texts, and merges inside a match only.
+    """
     steps = lambda part, name: part.get(name, [part]) if part else []
     before = [x["type"] for x in steps(tokenizer.get("normalizer"), "normalizers")]
     first, *rest = steps(tokenizer.get("pre_tokenizer"), "pretokenizers") or [{}]
-    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "Regex" in first.get("pattern", {})
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern") == {"Regex": PATTERN}
     plain = all(x["type"] == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in rest)
     if before[:1] != ["NFC"] or before[-1:] != ["Lowercase"] or not {*before} <= {"NFC", "Replace", "Lowercase"} or not split or not plain:
         return None
     if any(x["type"] == "Replace" and (x["pattern"].get("Regex"), x["content"]) != ("\\s+", " ") for x in steps(tokenizer["normalizer"], "normalizers")):
         return None
-    pattern = regex.compile(first["pattern"]["Regex"])
     odd = any(not x["special"] or x["normalized"] for x in tokenizer.get("added_tokens", []))
-    return None if odd or pattern.findall("a \t b") != ["a", "b"] or tokenizer["model"].get("end_of_word_suffix") is None else pattern
+    return None if odd or tokenizer["model"].get("end_of_word_suffix") is None else PATTERN
+
+
+def character_classes() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: its class, and its lower case. What follows the last of them is ODD."""
+    classes, lower = np.full(PUNCTUATION.stop + 1, ODD, np.uint8), np.arange(PUNCTUATION.stop + 1, dtype=np.uint16)
+    classes[[ord(c) for c in " \t\n\v\f\r"]] = SPACE
+    for i in [*range(0x21, 0x7F), *range(0xA1, COMMON)]:
+        small, kind = chr(i).lower(), unicodedata.category(chr(i))[0]
+        if len(small) == 1 and kind in "LNPS" and unicodedata.is_normalized("NFC", chr(i)) and unicodedata.category(small)[0] == kind:
+            classes[i], lower[i] = {"L": LETTER, "N": NUMBER}.get(kind, SIGN), ord(small)
+    classes[PUNCTUATION] = SIGN
+    return classes, lower
 
 
 class WordIds:
-    """Token ids of texts, by white-space separated words, each encoded once.
-
-    Holds for tokenizers with a ``split_pattern``: they drop white space and
-    never merge across it. Words of common letters are split by the pattern,
-    and all new parts encoded in one call, which tells them apart by the ends
-    of words among the ids. Texts with a special token's string, and all texts
-    of other tokenizers, are encoded whole. What is known of words and parts is
-    forgotten when it has grown over CACHED_WORDS.
+    """Token ids of texts, by the parts that the tokenizer's pattern makes, each encoded once.
+
+    Holds for tokenizers with a ``split_pattern``. Parts begin where the
+    class of characters changes. New parts are encoded in one call, which tells
+    them apart by the ends of words among the ids. Texts with a character of no
+    class or a special token's string, and all texts of other tokenizers, are
+    encoded whole. What is known of parts is forgotten when it has grown over
+    CACHED_WORDS.
     """
 
     def __init__(self, path: str):
@@ -91,17 +107,17 @@ class WordIds:
             suffix, vocabulary = described["model"]["end_of_word_suffix"], self.of.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
+            self.classes, self.lower = character_classes()
             del vocabulary
         del described
         give_back()
         self._forget()
 
     def _forget(self) -> None:
-        self.words = pa.array([], pa.string())
-        self.parts: dict[str, int] = {}
-        self.ids = np.empty(1 << 18, np.uint32)  # of every part and every word of several parts
+        self.parts = pa.array([], pa.string())
+        self.ids = np.empty(1 << 18, np.uint32)  # of every part
         self.n_ids = 0
-        self.word_at, self.part_at = np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)  # start and length
+        self.part_at = np.empty((2, 0), np.int64)  # start and length
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,56 +135,73 @@ class WordIds:
         ends = np.cumsum(size)
         return self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn(self, parts: pa.Array) -> None:
         new = []
         for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
+            some = parts.slice(at, 10_000).to_pylist()
             ids = self._whole([" ".join(some)])[0]
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 each = self._whole(some)
                 ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
             new.append(self._keep(ids, np.diff(ends, prepend=0)))
-        self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts))))
+        self.parts = pa.concat_arrays([self.parts, parts])
         self.part_at = np.concatenate([self.part_at, *new], axis=1)
 
-    def _learn(self, words: list[str]) -> None:
-        common = [w for w in words if w.isascii() or max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)]
-        split = list(map(self.pattern.findall, map(str.lower, common)))
-        every = list(chain.from_iterable(split))
-        self._learn_parts([x for x in dict.fromkeys(every) if x not in self.parts])
-        start, size = self.part_at[:, np.fromiter(map(self.parts.__getitem__, every), np.int64, len(every))]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        first, several = np.cumsum(n) - n, n != 1
-        total = np.diff(np.r_[0, np.cumsum(size)][np.r_[first, len(every)]])
-        at = np.stack([start[np.minimum(first, max(0, len(every) - 1))], total]) if len(every) else np.zeros((2, len(split)), np.int64)
-        of_several = np.repeat(several, n)
-        at[:, several] = self._keep(self._taken(start[of_several], size[of_several]), total[several])
-        known = set(common)
-        others = [w for w in words if w not in known]
-        each = self._whole(others)
-        rest = self._keep(np.concatenate(each) if each else np.empty(0, np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
-        self.words = pa.concat_arrays([self.words, pa.array(common, pa.string()), pa.array(others, pa.string())])
-        self.word_at = np.concatenate([self.word_at, at, rest], axis=1)
+    def _split(self, text: str, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, list[int]]:
+        """The parts of lines of text that end at ``ends``, the number of parts before each line's end, and the odd lines, left out."""
+        points = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(self.classes) - 1)
+        kind, points = self.classes[points], self.lower[points]
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == ODD))).tolist()
+        for i in odd:
+            kind[ends[i - 1] + 1 if i else 0 : ends[i]] = SPACE
+        begins = np.r_[True, kind[1:] != kind[:-1]] | (kind == NUMBER)
+        quotes = np.flatnonzero((points == ord("'")) & (kind == SIGN) & begins)
+        letters = np.r_[np.where(kind == LETTER, points, 0), 0, 0]
+        for rest in CONTRACTIONS:  # no two of them begin alike, so each quote meets one at most
+            found = quotes
+            for k, c in enumerate(rest, 1):
+                found = found[letters[found + k] == ord(c)]
+            begins[found + 1] = False
+            behind = found + 1 + len(rest)
+            begins[behind[letters[behind] > 0]] = True
+        kept = kind != SPACE
+        begins &= kept
+        points, begins_kept = points[kept], begins[kept]
+        wide = (points >= 0x80).astype(np.int8) + (points >= 0x800)
+        data = points.astype(np.uint8).tobytes() if not wide.any() else points.astype("<u4").tobytes().decode("utf-32-le").encode()
+        at = np.flatnonzero(begins_kept)
+        offsets = at if len(data) == len(points) else at + np.r_[0, np.cumsum(wide, dtype=np.int64)][at]
+        offsets = np.r_[offsets, len(data)].astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+        return parts, np.cumsum(begins, dtype=np.int64)[ends], odd
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if self.pattern is None:
-            return self._whole(texts.to_pylist())
-        bounds, numbers, different = split_words(texts)
-        if len(self.words) > CACHED_WORDS:
+        lines = texts.to_pylist()
+        if self.pattern is None or not lines:
+            return self._whole(lines)
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        parts, bounds, odd = self._split("\n".join(lines) + "\n", np.cumsum(size + 1) - 1)
+        coded = parts.dictionary_encode()
+        different = coded.dictionary
+        if len(self.parts) > CACHED_WORDS:
             self._forget()
-        new = different.filter(pc.invert(pc.is_in(different, value_set=self.words)))
-        if len(new):
-            self._learn(new.to_pylist())
-        place = pc.index_in(different, value_set=self.words).to_numpy()
-        start, size = self.word_at[:, place[numbers]]
+        place = pc.index_in(different, value_set=self.parts)
+        if place.null_count:
+            new, known = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False)), len(self.parts)
+            self._learn(different.take(pa.array(new)))
+            place = place.fill_null(0).to_numpy().copy()
+            place[new] = np.arange(known, known + len(new))
+        else:
+            place = place.to_numpy()
+        start, size = self.part_at[:, place[coded.indices.to_numpy()]]
         ids, ends = self._taken(start, size), np.cumsum(size)
-        at = np.r_[0, ends][bounds]
+        at = np.r_[0, np.r_[0, ends][bounds]]
         out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        for token in self.special:
-            for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
-                out[i] = self._whole([texts[i].as_py()])[0]
+        whole = {*odd}.union(*(np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist() for token in self.special))
+        for i in sorted(whole):
+            out[i] = self._whole([lines[i]])[0]
         return out
 
 

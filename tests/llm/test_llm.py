@@ -681,3 +681,15 @@ def test_toxicity_trains_on_one_row_of_an_id(spark):
     used = toxicity.training_rows(docs, labels, max_rows=4).collect()
     assert sorted(r["doc_id"] for r in used) == [0, 1, 2]
     assert sorted(map(repr, used)) == sorted(map(repr, toxicity.training_rows(docs.repartition(7), labels, max_rows=4).collect()))
+
+
+def test_parts_are_learned_once_whatever_stands_around_them(monkeypatch):
+    ids = packing.WordIds(packing.default_tokenizer())
+    learned = []
+    whole = ids._whole
+    monkeypatch.setattr(ids, "_whole", lambda texts: learned.extend(texts) or whole(texts))
+    texts = ["Don't stop, STREET 'street", "stop; (street) don't—stop!", "δρόμος Street's 42"]
+    assert [x.tolist() for x in ids.encode(pa.array(texts))] == [e.ids for e in ids.of.encode_batch(texts, add_special_tokens=False)]
+    assert len(learned) == 1 and len(set(learned[0].split(" "))) == len(learned[0].split(" "))
+    ids.encode(pa.array(["street, (stop) don't 2"]))
+    assert len(learned) == 1  # words are new, their parts are not
