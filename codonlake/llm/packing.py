@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, pieces_of
+from .common import cut, give_back, rows_per_batch, slices_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,6 +36,8 @@ RANK_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHED_WORDS = 200_000
 SLICE_BYTES = 2 << 20
+#: Rows that a task hands to Python at a time: it holds no more of its texts than these and a slice.
+BATCH_ROWS = 500
 
 
 def default_tokenizer() -> str:
@@ -214,15 +216,14 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
     def pieces(batches):
         words = WordIds(path)
-        for batch in batches:
-            for part in pieces_of(batch, most=SLICE_BYTES):
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text"))):
-                    data = np.r_[ids, end].astype("<u4").tobytes()
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        piece = data[at : at + 4 * capacity]
-                        rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        for part in slices_of(batches, most=SLICE_BYTES):
+            rows = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text"))):
+                data = np.r_[ids, end].astype("<u4").tobytes()
+                for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                    piece = data[at : at + 4 * capacity]
+                    rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         del words
         give_back()
 
@@ -321,5 +322,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    placed = place(cut(tokenize_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        pieces = cut(tokenize_pieces(docs, tokenizer, capacity), "pieces")
+    placed = place(pieces, capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, give_back, pieces_of, split_words
+from .common import cut, give_back, pieces_of, rows_per_batch, split_words
 
 #: (name, 0/1 expression over the labels), in the order of the chain
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -293,25 +293,29 @@ def one_of_copies(rows: list[np.ndarray], similar: float = 0.6, bands: int = 16,
     return first
 
 
-def often_seen(ids: np.ndarray, ends: np.ndarray, least: int = 3) -> tuple[Bags, np.ndarray]:
+def often_seen(ids: np.ndarray | list[np.ndarray], ends: np.ndarray, least: int = 3) -> tuple[Bags, np.ndarray]:
     """(numbers of the features of all rows, feature of each number), for features of ``least`` rows or more.
 
     ``ids`` are the features of all rows, each row's up to its entry in
-    ``ends``. They are numbered a sixteenth at a time: most are seen once, and
-    would fill a table of all of them.
+    ``ends``; several runs of them are not put together. They are numbered a
+    sixteenth at a time: most are seen once, and would fill a table of all of them.
     """
-    number, size, vocabulary = np.full(len(ids), -1, np.int32), 0, [np.empty(0, np.int64)]
+    ids = [ids] if isinstance(ids, np.ndarray) else ids
+    bounds = np.r_[0, np.cumsum([len(run) for run in ids], dtype=np.int64)]
+    number, size, vocabulary = np.full(bounds[-1], -1, np.int32), 0, [np.empty(0, np.int64)]
     for k in range(16):
-        at = np.flatnonzero(ids & 15 == k)
-        coded = pa.array(ids[at]).dictionary_encode()
+        coded = pa.chunked_array([pa.array(run[run & 15 == k]) for run in ids], pa.int64()).combine_chunks().dictionary_encode()
         code, names = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         often = np.bincount(code, minlength=len(names)) >= least
         of_code = np.where(often, size + np.cumsum(often) - 1, -1).astype(np.int32)
-        number[at] = of_code[code]
+        numbers, at = of_code[code], 0
+        for start, run in zip(bounds[:-1].tolist(), ids):
+            some = np.flatnonzero(run & 15 == k)
+            number[start + some] = numbers[at : (at := at + len(some))]
         vocabulary.append(names[often])
         size += int(often.sum())
     kept = number >= 0
-    ends = np.r_[0, np.cumsum(kept, dtype=np.int64)][ends]
+    ends = np.r_[0, np.cumsum(kept, dtype=np.int32 if len(kept) < 1 << 31 else np.int64)][ends]
     return Bags(number[kept], ends, size), np.concatenate(vocabulary)
 
 
@@ -358,18 +362,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> list[Linear]:
     """The fitted chain; empty if no labelled document is there."""
-    rows = cut(training_rows(docs, labels, categories, max_rows, folds), "toxicity-training")
+    with rows_per_batch(docs.sparkSession, 500):
+        rows = cut(training_rows(docs, labels, categories, max_rows, folds), "toxicity-training")
 
     def fit(batches):
         table = pa.Table.from_batches(batches)
         order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
         marks, fold = np.array(table.column("marks").to_pylist())[order], table.column("fold").to_numpy()[order]
         ends = np.cumsum(pc.list_value_length(table.column("ids")).to_numpy())
-        ids = np.concatenate([c.flatten().to_numpy() for c in table.column("ids").chunks])
-        del table
+        ids = [c.flatten().to_numpy() for c in table.column("ids").chunks]  # still the batches' own memory
+        del table, batches
         numbers, vocabulary = often_seen(ids, ends)
         del ids
-        models = fit_chain(numbers.only(order), vocabulary, marks, fold)
+        numbers = numbers.only(order)
+        give_back()  # nothing of the rows is held while models are fitted
+        models = fit_chain(numbers, vocabulary, marks, fold)
         out = [(k, m.words.tolist(), m.weights.tolist(), m.dense.tolist(), float(m.base)) for k, m in enumerate(models)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["k", "words", "weights", "dense", "base"])

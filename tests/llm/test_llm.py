@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake.llm import ann, chat, decontam, jaccard, langid, packing, pii, slots, toxicity, warc
+from codonlake.llm import ann, chat, common, decontam, jaccard, langid, packing, pii, slots, toxicity, warc
 
 WORDS = [a + b for a in "ka lo mi nu re so ta vi wo xu".split() for b in "ban del fir gos hum jat kel lon mur pif".split()]
 
@@ -693,3 +693,19 @@ def test_parts_are_learned_once_whatever_stands_around_them(monkeypatch):
     assert len(learned) == 1 and len(set(learned[0].split(" "))) == len(learned[0].split(" "))
     ids.encode(pa.array(["street, (stop) don't 2"]))
     assert len(learned) == 1  # words are new, their parts are not
+
+
+def test_features_of_many_batches_are_numbered_where_they_are():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 500, 40)) for _ in range(50)]
+    ends = np.cumsum([len(r) for r in rows])
+    one, names = toxicity.often_seen(np.concatenate(rows), ends)
+    several, same = toxicity.often_seen(rows, ends)
+    assert names.tolist() == same.tolist() and one.flat.tolist() == several.flat.tolist() and one.ends.tolist() == several.ends.tolist()
+
+
+def test_slices_put_short_batches_together_and_cut_long_ones():
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * n] * k}) for n, k in ((3, 2), (0, 1), (4, 9), (50, 1))]
+    slices = list(common.slices_of(iter(batches), most=12))
+    assert [t for s in slices for t in s.column("text").to_pylist()] == [t for b in batches for t in b.column("text").to_pylist()]
+    assert slices[0].num_rows == 4 and list(common.slices_of(iter([]))) == []
