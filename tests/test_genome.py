@@ -387,6 +387,16 @@ def test_visible_intervals(spark):
     assert len(rows) == len(want) and set(rows) == want
 
 
+def test_document_ranks_a_section_once(spark):
+    from codonlake.operators import document
+
+    seqs = spark.createDataFrame([("a", "x"), ("b", "y")], "seq_id string, seq string")
+    orf = spark.createDataFrame([("a", "+", 1, 4, 9, 6, 1, "ATG", "TAA", "ATGTAA")], "seq_id string, strand string, frame int, start long, end long, length_nt long, peptide_length_aa long, start_codon string, stop_codon string, sequence string")
+    prom = spark.createDataFrame([("a", "-", "TTGACA", 1, 6, 0, "TATAAT", 24, 29, 1, 17, "", 0.375, 30.0)], "seq_id string, strand string, box35_seq string, box35_start long, box35_end long, box35_mismatches long, box10_seq string, box10_start long, box10_end long, box10_mismatches long, spacing long, spacer_seq string, spacer_at_fraction double, score double")
+    plan = document.document(seqs, {"promoters": prom})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # the end of a document is known from the stored counts
+
+
 def test_document(spark, tmp_path):
     from codonlake.operators import document
 
