@@ -71,6 +71,31 @@ def test_jaccard_recursion_loses_no_link(spark, texts, monkeypatch):
     assert got == brute_components(near, 4, 85)
 
 
+def test_jaccard_common_phrases_make_no_companions(spark):
+    rng = random.Random(6)
+    line = " ".join(f"common{k}" for k in range(24))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    texts = [f"{t} {line}" for t in texts] + [f"{t} {line} more" for t in texts[:3]]
+    docs = docs_of(spark, texts)
+    met = jaccard._regions(jaccard._scanned(docs, 4, 85))
+    assert met.select("node").distinct().count() < 30  # 178 with hashed classes, most of them met in the line only
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(docs, 4, 85).collect()}
+    assert got == {k: k % 300 for k in range(303)}
+
+
+def test_jaccard_linked_sets_meet_under_any_counts():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        for n in (6, 7, 20, 41, 300):
+            for _ in range(20):
+                x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+                y = np.unique(np.r_[x[rng.permutation(len(x))[: len(x) - n * (100 - percent) // 200]], rng.integers(0, 2**64, n // 20, np.uint64)])
+                both = len(np.intersect1d(x, y))
+                counts = rng.integers(0, 5, jaccard.CELLS).astype(np.uint32)
+                met = np.intersect1d(*(jaccard.signatures(s, jaccard.Rings(percent), counts) for s in (x, y))).size
+                assert met or 100 * both < percent * (len(x) + len(y) - both)
+
+
 def test_jaccard_sketches_keep_every_link():
     rng = np.random.default_rng(26)
     for n in (1, 3, 63, 64, 65, 700):
