@@ -377,6 +377,30 @@ def test_kmer_pairs_lose_none(spark, threshold):
     assert got == want
 
 
+def test_alignments_by_bits_equal_tables_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    from codonlake.functions import align
+
+    monkeypatch.setattr(align, "COLUMNS", 7)
+    rng = random.Random(14)
+    for k in range(600):
+        letters = "ACDEFGHIKLMNPQRSTVWY"[: rng.choice([2, 3, 20])]
+        a = "".join(rng.choices(letters, k=rng.randrange(40)))
+        b = "".join(rng.choices(letters, k=rng.randrange(40))) if k % 2 else "".join(c if rng.random() > 0.1 else rng.choice(["", "W", c + "K"]) for c in a)
+        want = align._by_tables(a, [b], 2, -1, -2)[0]
+        assert align.global_alignments(a, [b]) == [want]
+        found = align.global_alignments(a, [b], least=0.9)[0]
+        assert found == want or found is None and want[0] < 0.9
+    monkeypatch.undo()
+    a = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=6000))
+    b = "".join(c if rng.random() > 0.02 else "W" for c in a)
+    tracemalloc.start()
+    assert align.global_alignment(a, b)[0] > 0.95
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20  # a table of numbers has 144 MB
+    tracemalloc.stop()
+
+
 def test_visible_intervals(spark):
     rng = random.Random(12)
     ranges = [(0, n, a := rng.randrange(1, 5000), a + rng.randrange(-1, 2500)) for n in range(40)]
