@@ -377,6 +377,26 @@ def test_kmer_pairs_lose_none(spark, threshold):
     assert got == want
 
 
+def test_kmer_pairs_meet_in_blocks_without_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    base = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=60))
+    some = ["".join(rng.choices("AC\u00c9\U0001f9ec", k=rng.randrange(1, 30))) for _ in range(20)] + [base[rng.randrange(15) :] for _ in range(20)] + ["A", "ACD", "ACD"]
+    df = spark.createDataFrame([(g, k + 1, p) for g in range(3) for k, p in enumerate(some)], "seq_id long, rank int, protein string")
+    rows = similarity.kmer_pairs(df, 0.5)
+    assert "Join" not in rows._jdf.queryExecution().toString()
+    want = sorted(map(tuple, rows.collect()))
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    monkeypatch.setattr(similarity, "WORDS", 100)
+    assert sorted(map(tuple, similarity.kmer_pairs(df, 0.5).collect())) == want and want
+
+
+def test_proteins_are_translated_as_by_columns(spark):
+    rng = random.Random(13)
+    some = ["".join(rng.choices("ACGTNacgu\u00e9", k=rng.randrange(0, 90))) for _ in range(200)] + [None, "", "AT", "TAA", "ATGTAA"]
+    df = spark.createDataFrame([(t,) for t in some], "t string").select(similarity.protein(F.col("t")).alias("a"), dna.protein(F.col("t")).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+
+
 def test_alignments_by_bits_equal_tables_in_little_memory(monkeypatch):
     import tracemalloc
 
