@@ -528,6 +528,16 @@ def test_suppression_across_arrow_batches(spark):
     assert len(got) == len(set(got)) and set(got) == greedy(rows)
 
 
+def test_suppression_of_chains_over_blocks_needs_no_rounds(spark, monkeypatch):
+    from codonlake.operators import nms
+
+    rows = [(1, n, 10 * n, 10 * n + 12, 5000 - n) for n in range(3000)] + [(2, n, 7 * n, 7 * n + 30, n % 13) for n in range(300)] + [(3, 0, 5, 6, 1)]
+    df = spark.createDataFrame(rows, "g long, n long, a long, b long, score long")
+    monkeypatch.setattr(nms, "_by_rounds", None)  # each interval is a little worse than the one before: a round for every two
+    got = [(r["g"], r["n"]) for r in nms.keep_best(df, ["g"], "a", "b", [-F.col("score"), F.col("n")], block=1000).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
+
+
 def test_positions_are_covered_by_bits(spark):
     spans = [(0, "+", "orf", 1, 200), (0, "+", "box10", 60, 70), (0, "+", "polyT", 64, 127), (0, "-", "orf", 128, 128), (0, "-", "orf", -3, -1)]
     rows = tracks.covered_positions(spark.createDataFrame(spans, "seq_id long, strand string, type string, start long, end long"))
