@@ -237,3 +237,26 @@ def test_first_records_and_their_number_come_from_one_reading(spark, tmp_path):
     rows = fasta.counted_records(fasta.read_fasta(spark, str(tmp_path)))
     assert sorted((r["header"], r["sequence"], r["records"]) for r in rows.collect()) == [("one", "ACGT", 2), ("three", "TTT", 1)]
     assert "Join" not in rows._jdf.queryExecution().toString()
+
+
+def test_a_stored_run_leaves_its_results_only(spark, tmp_path):
+    from pathlib import Path
+
+    from codonlake.operators import ranking
+    from codonlake.sources import scratch
+
+    rng = random.Random(17)
+    some = [(k, "TTGACATTTACGGATTCGCAATATATAATGCGCAAGGAGGTTACATA" + "".join(rng.choices(["ATG", "GCA", "TTC", "AAA", "TAA", "CCG"], k=150))) for k in range(4)]
+    seqs = spark.createDataFrame([*some, some[1]], "seq_id long, seq string")  # one of them twice
+    store = results.ResultStore(spark, str(tmp_path))
+    run = stored_run.StoredRun(store, seqs, min_aa=5, chunk_size=300, overlap=60)
+    folder = Path(scratch.fresh(spark, "x")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    one = run.begin("one")
+    run.run(one)
+    assert not folder.exists() or set(folder.iterdir()) == before
+    held = [run._stored(one, m) for m in ("coding_orfs", "shine_dalgarno", "promoters", "terminators")]
+    want, got = ranking.rank_orfs(*held), run._stored(one, "ranked_coding_orfs")
+    # equal rows of the sequence that is there twice may change places
+    shown = lambda rows: sorted(repr(tuple(r[c] for c in want.columns)) for r in rows.collect())
+    assert shown(got) == shown(want) and got.schema["orf"].dataType == want.schema["orf"].dataType and got.count() == held[0].count() > 20
