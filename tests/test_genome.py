@@ -538,6 +538,27 @@ def test_suppression_of_chains_over_blocks_needs_no_rounds(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == greedy(rows)
 
 
+def test_double_strands_are_written_in_batches(spark, monkeypatch):
+    from codonlake.operators import document
+
+    monkeypatch.setattr(document, "PIECE", 500)
+    some = ["".join(random.Random(n).choices("ACGTN", k=n)) for n in (1, 59, 60, 61, 300, 7)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in some], "t string").select("t", document.double_strand_text(F.col("t")).alias("x"))
+    for t, x in rows.collect():
+        parts = [(k, t[k : k + 60]) for k in range(0, len(t or ""), 60)]
+        want = "".join(f"    5' {p} 3'   [{k + 1}-{k + len(p)}]\n       {'|' * len(p)}\n    3' {p.translate(str.maketrans('ACGTN', 'TGCAN'))} 5'\n\n" for k, p in parts)
+        assert x == (want or "N/A\n")
+    assert "transform(" not in plan_of(rows)  # a function that is run letter by letter, without generated code
+
+
+def test_letters_are_turned_once_a_stop_codon(spark, made):
+    rows = orfs.coding_orfs(sequences(spark, made), 5)
+    plan = plan_of(rows)
+    turned = [k for k, line in enumerate(plan.splitlines()) if "reverse(" in line]
+    apart = [k for k, line in enumerate(plan.splitlines()) if "explode(_all" in line]
+    assert len(turned) == len(apart) and all(a < t for a, t in zip(apart, turned)) and turned  # what is lower in a plan comes first
+
+
 def test_positions_are_covered_by_bits(spark):
     spans = [(0, "+", "orf", 1, 200), (0, "+", "box10", 60, 70), (0, "+", "polyT", 64, 127), (0, "-", "orf", 128, 128), (0, "-", "orf", -3, -1)]
     rows = tracks.covered_positions(spark.createDataFrame(spans, "seq_id long, strand string, type string, start long, end long"))
