@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -734,3 +735,15 @@ def test_slices_put_short_batches_together_and_cut_long_ones():
     slices = list(common.slices_of(iter(batches), most=12))
     assert [t for s in slices for t in s.column("text").to_pylist()] == [t for b in batches for t in b.column("text").to_pylist()]
     assert slices[0].num_rows == 4 and list(common.slices_of(iter([]))) == []
+
+
+def test_words_are_hashed_as_arrays(monkeypatch):
+    monkeypatch.setitem(sys.modules, "xxhash", None)  # no call for each word
+    rng = random.Random(21)
+    words = list(dict.fromkeys(["".join(rng.choices("ab\u00e9 \0", k=rng.randrange(40))) for _ in range(20_000)] + ["x" * n for n in range(1, 500, 7)]))
+    got = jaccard._hashed(pa.array(words))
+    assert len(set(got.tolist())) == len(words) and (jaccard._hashed(pa.array(["q", *words, ""])[1:-1]) == got).all()
+    texts = [" ".join(rng.choices("abcdef", k=n)) for n in (0, 1, 3, 4, 300)]
+    for t, found in zip(texts, jaccard.shingle_sets(pa.array(texts), 3)):
+        w = t.split()
+        assert len(found) == len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} - {()}) and (np.diff(found) > 0).all()
